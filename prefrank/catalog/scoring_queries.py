@@ -115,8 +115,8 @@ def cached_scoring(spark, folder):
     age = F.when(third == 0, F.expr("INTERVAL 10 MINUTES")).otherwise(F.expr("INTERVAL 2 HOURS"))
     entries = requests.where(third < 2).select(
         key.alias("key"), stored.alias("value"), (now - age).alias("written_at"))
-    results, _, _ = plan.score_requests(requests, plan.fusion_scorer(v.example_head()), now, entries)
-    return _rounded(results.select("conversation_id", "from_cache", *PROBABILITIES, "winner", "latency_ms"),
+    outcome = plan.score_requests(requests, plan.fusion_scorer(v.example_head()), now, entries)
+    return _rounded(plan.results(outcome).select("conversation_id", "from_cache", *PROBABILITIES, "winner", "latency_ms"),
                     *PROBABILITIES)
 
 

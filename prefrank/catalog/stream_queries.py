@@ -15,9 +15,17 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 _STAMP_SQL = "'%Y-%m-%d %H:%M:%S'"
 
 
+def stream_table(spark, folder, name, schema=None):
+    """A check table as a stream.
+
+    As a glob the path may be a single file or a folder; a plain path must be a folder.
+    """
+    schema = schema or v.table(spark, folder, name).schema
+    return feeds.read_table(spark, f"{folder}/{name}.parque[t]", schema)
+
+
 def events(spark, folder):
-    path = f"{folder}/events.parquet"
-    stream = feeds.read_table(spark, path, spark.read.parquet(path).schema)
+    stream = stream_table(spark, folder, "events")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -113,8 +121,7 @@ def _chain_sql() -> str:
 @query("stream_redaction", f"""WITH {_chain_sql()} SELECT doc_id, s5 AS text,
   concat_ws(',', {_STEP_TYPES_SQL}) AS pii_types, {v.pii_sql('s5')} AS leak FROM c5""")
 def stream_redaction(spark, folder):
-    path = f"{folder}/documents.parquet"
-    stream = feeds.read_table(spark, path, "doc_id long, text string")
+    stream = stream_table(spark, folder, "documents", "doc_id long, text string")
     rows = run(spark, feeds.redact_messages(stream, "text"), "redacted")
     return rows.select("doc_id", "text", F.array_join("pii_types", ",").alias("pii_types"), "leak")
 

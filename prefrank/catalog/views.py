@@ -103,9 +103,9 @@ VECTORS_SQL = """vectors AS (
 
 
 def order_predictions(spark, folder) -> DataFrame:
-    """A large prediction table with many tied scores: return flag against line figures."""
+    """A large prediction table: return flag against price and discount of a line."""
     rows = table(spark, folder, "lineitem")
-    logits = F.array(F.col("l_quantity") / 25, F.col("l_discount") * 20, F.col("l_tax") * 20)
+    logits = F.array(F.col("l_extendedprice") / 50000, F.col("l_discount") * 20, F.lit(0.5))
     label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
     return rows.select(label.alias("label"), F.col("l_linestatus").alias("model"),
                        softmax(logits).alias("probabilities"))
@@ -113,7 +113,7 @@ def order_predictions(spark, folder) -> DataFrame:
 
 ORDERS_SQL = """lines AS (
   SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS label,
-         l_linestatus AS model, l_quantity / 25 AS l0, l_discount * 20 AS l1, l_tax * 20 AS l2
+         l_linestatus AS model, l_extendedprice / 50000 AS l0, l_discount * 20 AS l1, 0.5::DOUBLE AS l2
   FROM lineitem), """ + _softmax_sql("preds", "lines")
 
 

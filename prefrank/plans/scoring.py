@@ -25,11 +25,22 @@ from prefrank.functions.text import cache_key, input_text
 from prefrank.operators import cache as cache_ops
 from prefrank.operators import contracts
 from prefrank.operators.dataset import normalize_segment
-from prefrank.schemas import TEXT_COLUMNS
+from prefrank.schemas import RESULT, TEXT_COLUMNS
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """Pin expensive columns behind a generator.
+
+    The optimizer copies the expression of a column into every filter on it, and from
+    there into the expressions that expression uses. A one-row generator stops that: the
+    columns are computed once and filters above see plain values.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
 def fusion_scorer(head: scoring.FusionHead, embedding: str | None = None) -> Scorer:
     """Native scorer: fusion head over ``x_aux`` and an optional embedding column."""
 
@@ -44,26 +55,30 @@ def batch_scorer(function: Callable, batch_rows: int | None = None) -> Scorer:
     """Scorer around ``function(texts, aux) -> array of shape (n, 3)``.
 
     ``function`` may also be a class: it is then built once per task, for models that
-    are expensive to load. ``batch_rows`` caps the rows given to one call; the Arrow batch size
-    of the session applies otherwise.
+    are expensive to load. ``batch_rows`` caps the rows given to one call; the Arrow batch
+    size of the session applies otherwise. Rows whose ``input_text`` is null get no score.
     """
 
     def score(df: DataFrame) -> DataFrame:
-        schema = T.StructType(df.schema.fields + [T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
+        schema = T.StructType(df.schema.fields + [
+            T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
 
         def run(batches):
             model = function() if isinstance(function, type) else function
             for pdf in batches:
-                step = batch_rows or max(len(pdf), 1)
-                parts = []
-                for start in range(0, len(pdf), step):
-                    piece = pdf.iloc[start:start + step]
-                    aux = np.stack(piece["x_aux"].to_numpy()) if len(piece) else np.empty((0, 0))
-                    parts.append(np.asarray(model(piece["input_text"], aux), dtype="float64"))
-                rows = np.concatenate(parts) if parts else np.empty((0, fixed.NUM_CLASSES))
-                if rows.shape != (len(pdf), fixed.NUM_CLASSES):
-                    raise ValueError(f"scorer returned shape {rows.shape} for {len(pdf)} rows")
-                yield pdf.assign(probabilities=list(rows))
+                wanted = np.flatnonzero(pdf["input_text"].notna().to_numpy())
+                column = np.full(len(pdf), None, dtype=object)
+                step = batch_rows or max(len(wanted), 1)
+                for begin in range(0, len(wanted), step):
+                    places = wanted[begin:begin + step]
+                    piece = pdf.iloc[places]
+                    rows = np.asarray(model(piece["input_text"], np.stack(piece["x_aux"].to_numpy())),
+                                      dtype="float64")
+                    if rows.shape != (len(piece), fixed.NUM_CLASSES):
+                        raise ValueError(f"scorer returned shape {rows.shape} for {len(piece)} rows")
+                    for place, row in zip(places, rows):
+                        column[place] = row
+                yield pdf.assign(probabilities=column)
 
         return df.mapInPandas(run, schema)
 
@@ -71,10 +86,15 @@ def batch_scorer(function: Callable, batch_rows: int | None = None) -> Scorer:
 
 
 def prepare(df: DataFrame, dialect: Dialect = MAIN, segment: str = "segment") -> DataFrame:
-    """Redact the texts, flag rows left blank, add input text and features."""
-    df = df.withColumns({c: redact(c, dialect) for c in TEXT_COLUMNS})
+    """Redact the texts, flag blank rows, add input text and features.
+
+    A match always holds visible characters and so does its placeholder: a text is blank
+    after redaction exactly when it is blank before, and the flag can come from the raw
+    texts, where filters on it stay cheap.
+    """
     blank = is_blank("prompt") | is_blank("response_a") | is_blank("response_b")
     df = df.withColumn("rejected", blank)
+    df = df.withColumns({c: redact(c, dialect) for c in TEXT_COLUMNS})
     df = with_aux_vector(df, segment=segment)
     return df.withColumn("input_text", input_text(*TEXT_COLUMNS, segment))
 
@@ -96,46 +116,58 @@ def score_triples(df: DataFrame, scorer: Scorer, dialect: Dialect = MAIN) -> Dat
 
 def score_requests(requests: DataFrame, scorer: Scorer, now: Column, cache: DataFrame | None = None,
                    ttl: int = fixed.CACHE_TTL_SECONDS, policy: str = "reject",
-                   namespace: str = "pref:", dialect: Dialect = MAIN):
-    """Score a request table.
-
-    Returns three tables: results (hits and fresh scores), rejected rows with their
-    reason, and new cache entries. Keys cover the raw texts; only redacted texts reach
-    the scorer. Latencies of fresh rows are an input column ``latency_ms`` when present.
+                   namespace: str = "pref:", dialect: Dialect = MAIN) -> DataFrame:
+    """Score a request table in one pass: one outcome row per request.
+
+    Keys cover the raw texts; only redacted texts reach the scorer, and only those of
+    requests that are neither cached nor refused. ``reason`` says why a row has no
+    result and is null otherwise; see ``results``, ``refused`` and ``new_entries``. Write
+    the outcome once and derive the three from the written table. The latency of a fresh
+    row is the input column ``latency_ms`` when present.
     """
-    segment = normalize_segment("merchant_segment", policy)
-    keyed = requests.withColumn("segment", segment).withColumn(
-        "key", cache_key(*TEXT_COLUMNS, "segment", namespace=namespace))
-    unknown = keyed.where(F.col("segment").isNull() | F.col("key").isNull())
-    keyed = keyed.where(F.col("segment").isNotNull() & F.col("key").isNotNull())
+    df = requests.withColumn("segment", normalize_segment("merchant_segment", policy))
+    df = df.withColumn("key", cache_key(*TEXT_COLUMNS, "segment", namespace=namespace))
+    if "latency_ms" not in df.columns:
+        df = df.withColumn("latency_ms", F.lit(None).cast("double"))
     if cache is None:
-        looked_up = keyed.withColumn("from_cache", F.lit(False))
-        hits = None
+        df = df.withColumns({"cached": F.lit(None).cast(RESULT), "from_cache": F.lit(False)})
     else:
-        looked_up = cache_ops.with_cached(keyed, cache, now, ttl)
-        hits = looked_up.where("from_cache")
-        looked_up = looked_up.where(~F.col("from_cache")).drop("cached")
-
-    if "latency_ms" not in looked_up.columns:
-        looked_up = looked_up.withColumn("latency_ms", F.lit(None).cast("double"))
-    ready = prepare(looked_up, dialect)
-    blank = ready.where("rejected")
-    fresh = with_result_columns(scorer(ready.where(~F.col("rejected")).drop("rejected")))
-    checked = contracts.check_results(fresh)
+        df = cache_ops.with_cached(df, cache, now, ttl)
+
+    df = prepare(df, dialect)
+    missing = F.col("prompt").isNull() | F.col("response_a").isNull() | F.col("response_b").isNull()
+    df = df.withColumn("reason", F.when(F.col("segment").isNull(), "unknown segment")
+                       .when(missing, "missing text")
+                       .when(F.col("rejected"), "empty input after redaction"))
+    # Texts that need no scorer do not travel to it.
+    skip = F.col("from_cache") | F.col("reason").isNotNull()
+    df = df.withColumn("input_text", F.when(~skip, F.col("input_text"))).withColumn(
+        "x_aux", F.when(~skip, F.col("x_aux"))).drop(*TEXT_COLUMNS, "rejected")
+    df = computed_once(scorer(df), "probabilities")
+    fresh_ok = F.col("from_cache") | scoring.valid_probabilities("probabilities")
+    df = df.withColumn("reason", F.coalesce("reason", F.when(~fresh_ok, "invalid probabilities")))
+    good = F.col("reason").isNull()
+    df = with_result_columns(df)
+    merged = {name: F.when(good, F.when(F.col("from_cache"), F.col("cached")[name]).otherwise(F.col(name)))
+              for name in RESULT.fieldNames()}
     identity = [c for c in requests.columns if c not in TEXT_COLUMNS and c != "latency_ms"]
-    columns = identity + ["segment", "key", "prob_a_wins", "prob_b_wins", "prob_tie", "winner",
-                          "latency_ms", "from_cache"]
-    results = contracts.valid(checked).select(*columns)
-    if hits is not None:
-        stored = hits.select(*identity, "segment", "key", "cached.*", "from_cache")
-        results = results.unionByName(stored.select(*columns))
-    reasons = [
-        unknown.select(*identity, F.lit("segment or text missing or unknown").alias("reason")),
-        blank.select(*identity, F.lit("empty input after redaction").alias("reason")),
-        contracts.rejected(checked).select(*identity, F.array_join("errors", "; ").alias("reason")),
-    ]
-    rejected = reasons[0].unionByName(reasons[1]).unionByName(reasons[2])
-    return results, rejected, cache_ops.entries(results, now)
+    return df.select(*identity, "segment", "key", *[c.alias(n) for n, c in merged.items()],
+                     "from_cache", "reason")
+
+
+def results(outcome: DataFrame) -> DataFrame:
+    """Scored rows, from the cache or fresh."""
+    return outcome.where(F.col("reason").isNull()).drop("reason")
+
+
+def refused(outcome: DataFrame) -> DataFrame:
+    """Rows without a result, with their reason."""
+    return outcome.where(F.col("reason").isNotNull())
+
+
+def new_entries(outcome: DataFrame, now: Column) -> DataFrame:
+    """Cache rows to append for the fresh results."""
+    return cache_ops.entries(results(outcome), now)
 
 
 def score_batches(batches: DataFrame, head: scoring.FusionHead, items: str = "items") -> DataFrame:
