@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefrank.functions.scoring import FusionHead, softmax
+from prefrank.sources.tables import spread_small
+
+
+# Tables whose rows carry much work each: texts, and lines scored row by row.
+HEAVY = ("documents", "conversations", "lineitem", "embeddings")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small(df) if name in HEAVY else df
 
 
 def pick(values, index) -> Column:

@@ -18,6 +18,7 @@ UNICODE = "(?U)"
 
 # Whitespace as str.split() / str.strip() see it: Unicode White_Space plus U+001C..U+001F.
 SPACE = r"\s\x{1c}-\x{1f}\x{85}"
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Every digit pattern of both dialects needs at least ten digits of which neighbours are at
 # most two other characters apart, so text without such a run skips all digit patterns.
@@ -125,8 +126,12 @@ def pseudonymize(value, salt: str) -> Column:
 
 def strip(text) -> Column:
     """Trim Unicode whitespace on both ends."""
-    edges = f"(?U)\\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\\z"
-    return F.regexp_replace(_col(text), edges, "")
+    return F.btrim(_col(text), F.lit(SPACE_CHARACTERS))
+
+
+def rstrip(text) -> Column:
+    """Trim Unicode whitespace on the right."""
+    return F.rtrim(_col(text), F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(text) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,13 +12,27 @@ from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import _col
 
 
+def _entries(array, size: int = fixed.NUM_CLASSES) -> list[Column]:
+    """The entries of a short array as plain columns.
+
+    Spelled out instead of a lambda: this compiles into the surrounding code, and a
+    lambda would evaluate shared parts such as the maximum again for every entry.
+    """
+    array = _col(array)
+    return [F.get(array, F.lit(i)) for i in range(size)]
+
+
+def _total(columns) -> Column:
+    return reduce(lambda x, y: x + y, columns)
+
+
 def softmax(logits) -> Column:
-    """Numerically stable softmax of an array."""
-    logits = _col(logits)
-    peak = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - peak))
-    total = F.aggregate(exps, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(exps, lambda e: e / total)
+    """Numerically stable softmax of the class logits."""
+    values = _entries(logits)
+    peak = F.greatest(*values)
+    exps = [F.exp(x - peak) for x in values]
+    total = _total(exps)
+    return F.array(*[e / total for e in exps])
 
 
 def argmax(probabilities) -> Column:
@@ -40,11 +55,11 @@ def winner_text(winner_column, response_a, response_b) -> Column:
 def valid_probabilities(probabilities) -> Column:
     """All entries in [0, 1] and the sum within tolerance of 1."""
     p = _col(probabilities)
-    total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
-    in_range = F.forall(p, lambda v: (v >= 0) & (v <= 1))
+    values = _entries(p)
+    in_range = reduce(lambda x, y: x & y, [v.between(0.0, 1.0) for v in values])
     return F.coalesce(
         in_range & (F.size(p) == fixed.NUM_CLASSES)
-        & (F.abs(total - 1) < fixed.PROBABILITY_SUM_TOLERANCE),
+        & (F.abs(_total(values) - 1) < fixed.PROBABILITY_SUM_TOLERANCE),
         F.lit(False),
     )
 
@@ -105,21 +120,15 @@ def fusion_logits(head: FusionHead, embedding=None, aux=None) -> Column:
     return F.array(*logits)
 
 
-def log_softmax(logits) -> Column:
-    logits = _col(logits)
-    peak = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - peak))
-    return F.transform(logits, lambda x: x - peak - F.log(total))
-
-
 def smoothed_cross_entropy(logits, label, smoothing: float = fixed.LABEL_SMOOTHING,
                            classes: int = fixed.NUM_CLASSES) -> Column:
     """Row loss against a smoothed one-hot target."""
-    label = _col(label)
+    values, label = _entries(logits, classes), _col(label)
+    peak = F.greatest(*values)
+    log_total = peak + F.log(_total([F.exp(x - peak) for x in values]))
     low, high = smoothing / classes, 1.0 - smoothing + smoothing / classes
-    weighted = F.transform(
-        log_softmax(logits), lambda lp, i: F.when(i == label, F.lit(high)).otherwise(low) * lp)
-    return -F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v)
+    return _total([F.when(label == i, high).otherwise(low) * (log_total - x)
+                   for i, x in enumerate(values)])
 
 
 def margin_ranking(probabilities, label, margin: float = fixed.RANKING_MARGIN) -> Column:
@@ -131,7 +140,6 @@ def margin_ranking(probabilities, label, margin: float = fixed.RANKING_MARGIN) -
 
 def row_log_loss(probabilities, label, eps: float = 2.220446049250313e-16) -> Column:
     """Multiclass log-loss of one row, clipped and renormalised."""
-    clipped = F.transform(
-        _col(probabilities), lambda v: F.least(F.greatest(v, F.lit(eps)), F.lit(1.0 - eps)))
-    total = F.aggregate(clipped, F.lit(0.0), lambda s, v: s + v)
-    return -F.log(F.element_at(clipped, _col(label) + 1) / total)
+    clipped = [F.least(F.greatest(v, F.lit(eps)), F.lit(1.0 - eps)) for v in _entries(probabilities)]
+    hit = F.get(F.array(*clipped), _col(label))
+    return -F.log(hit / _total(clipped))

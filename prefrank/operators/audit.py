@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
-from prefrank.functions.privacy import SPACE, has_pii
+from prefrank.functions.privacy import has_pii, rstrip
 from prefrank.functions.text import cut
 
 LINE_BREAK = r"\r\n|\r|\n"
 
 
-def rstrip(text) -> Column:
-    return F.regexp_replace(text, f"(?U)(?<![{SPACE}])[{SPACE}]++\\z|\\A[{SPACE}]++\\z", "")
-
-
 def split_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Numbered lines of a text column, from 1; the text after a final break is no line."""
     pieces = df.select(*keep, F.split(text, LINE_BREAK, -1).alias("_pieces"))

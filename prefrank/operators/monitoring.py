@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import MAIN, Dialect, has_pii, redacted_types
-from prefrank.operators.ordering import exact_quantiles
+from prefrank.operators.ordering import count_below, exact_quantiles
 
 
 def label_counts(df: DataFrame, *labels: str) -> DataFrame:
@@ -85,7 +85,7 @@ def population_stability(baseline: DataFrame, current: DataFrame, value: str, bi
               .where(F.col("v").isNotNull()))
     v = F.col("v")
     counts = (tagged.withColumn("_edges", packed)
-              .withColumn("bin", F.size(F.filter("_edges", lambda e: e < v)))
+              .withColumn("bin", count_below("_edges", v, bins))
               .groupBy("bin").agg(F.sum("base").alias("b"), F.count_if(F.col("base") == 0).alias("c")))
     every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     frame = baseline.sparkSession.range(1).select(every)

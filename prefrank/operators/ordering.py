@@ -9,31 +9,44 @@ balance the work: results do not depend on where they fall.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
 
 
-def cut_points(df: DataFrame, order: str, buckets: int = BUCKETS, also=()):
-    """Approximate quantiles of ``order`` as a scalar-subquery array column.
+def cut_points(df: DataFrame, order: str, buckets: int = BUCKETS, also=()) -> Column:
+    """Approximate quantiles of ``order`` as a scalar-subquery column of doubles.
 
     ``also`` are aggregates evaluated alongside, so that this branch reads the same
     columns as the main one and Spark reuses the exchange below both.
     """
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = F.percentile_approx(F.col(order), shares, F.lit(20 * buckets))
-    return df.agg(F.struct(F.array_distinct(edges).alias("edges"),
+    edges = F.percentile_approx(F.col(order).cast("double"), shares, F.lit(8 * buckets))
+    known = F.coalesce(F.array_distinct(edges), F.array().cast("array<double>"))
+    return df.agg(F.struct(known.alias("edges"),
                            *[a.alias(f"also{i}") for i, a in enumerate(also)])).scalar()["edges"]
 
 
+def count_below(edges: str, value: Column, most: int) -> Column:
+    """How many of the sorted ``edges`` lie below ``value``, by binary search.
+
+    ``most`` bounds the number of edges. Positions past the end read as null and count
+    as not below.
+    """
+    steps = [1 << i for i in range(max(most, 1).bit_length())][::-1]
+    sorted_edges = F.col(edges)
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: F.when(F.get(sorted_edges, at + step - 1) < value, at + step).otherwise(at))
+
+
 def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS, out: str = "bucket",
                 also=()) -> DataFrame:
     """Add the number of cut points below ``order``; equal values share a bucket."""
-    edges = F.coalesce(cut_points(df, order, buckets, also), F.array().cast("array<double>"))
-    value = F.col(order)
-    below = F.size(F.filter("_edges", lambda e: e < value))
-    return df.withColumn("_edges", edges).withColumn(out, below).drop("_edges")
+    value = F.col(order).cast("double")
+    return (df.withColumn("_edges", cut_points(df, order, buckets, also))
+            .withColumn(out, count_below("_edges", value, buckets)).drop("_edges"))
 
 
 def bucket_offsets(totals: DataFrame, keys: list[str], amount: str, out: str,
