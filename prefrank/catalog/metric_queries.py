@@ -26,7 +26,8 @@ def _auc_sql(source: str, by: str = "") -> str:
         / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM ranked GROUP BY {lead}class)"""
 
 
-_LOSS = ("-ln(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)")
+_LOSS = ("-ln(least(greatest(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 2.220446049250313e-16), "
+         "1 - 2.220446049250313e-16))")
 _POINT = (f"round(avg((pred = label)::INT), 6) AS accuracy, round(avg({_LOSS}), 6) AS log_loss, "
           "round(avg(conf), 6) AS preference_score_mean, count(*) AS n")
 

@@ -115,7 +115,7 @@ def audit_lines(spark, folder):
          CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM found""")
 def audit_summary(spark, folder):
     docs = v.table(spark, folder, "documents")
-    return audit.audit_summary(docs, audit.violations(_lines(spark, folder)), path="doc_id")
+    return audit.audit_summary(audit.distinct_files(docs, "doc_id"), audit.violations(_lines(spark, folder)))
 
 
 @query("audit_report", f"""{_FOUND_SQL}

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prefrank.catalog import views as v
+from prefrank.catalog.metric_queries import _BINS, _ECE, _POINT, _auc_sql
 from prefrank.catalog.registry import query
 from prefrank.functions import scoring
 from prefrank.functions.text import cache_key
@@ -174,11 +175,13 @@ def best_candidate(spark, folder):
     return runs.best_per_prompt(scored).select("conversation_id", "preferred")
 
 
-@query("evaluate_triples")
+@query("evaluate_triples", f"""WITH {_SCORED_SQL}, {_auc_sql('preds')}, {_BINS}
+  SELECT round((SELECT avg(auc) FROM aucs), 6) AS auc, round({_ECE}, 6) AS ece, {_POINT} FROM preds""")
 def evaluate_triples(spark, folder):
     """Load, score, metric bundle; stores the predictions between scoring and metrics."""
     clean = dataset.clean_preferences(v.triples(spark, folder))
-    return evaluation.evaluate(clean, plan.fusion_scorer(v.example_head()), materialize=True)
+    result = evaluation.evaluate(clean, plan.fusion_scorer(v.example_head()))
+    return _rounded(result, "accuracy", "auc", "log_loss", "preference_score_mean", "ece")
 
 
 @query("train_classifier")
@@ -192,9 +195,9 @@ def train_classifier(spark, folder):
     return metrics.evaluation_metrics(training.predict(model, triples))
 
 
-@query("logistic_losses", f"""WITH {v.VECTORS_SQL} SELECT label, count(*) AS n,
+@query("log_loss_by_label", f"""WITH {v.VECTORS_SQL} SELECT label, count(*) AS n,
   round(avg(-ln(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)), 6) AS log_loss FROM preds GROUP BY label""")
-def logistic_losses(spark, folder):
+def log_loss_by_label(spark, folder):
     rows = v.vector_predictions(spark, folder).withColumn(
         "loss", scoring.row_log_loss("probabilities", "label"))
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("log_loss"))

@@ -31,7 +31,7 @@ def pair_features(spark, folder):
 
 
 @query("aux_vectors", f"""WITH {v.CLEAN_SQL}, {v.pair_features_sql('f', 'clean')}
-  SELECT conversation_id, {', '.join(f'round(x{i}, 4) AS x{i}' for i in range(12))} FROM f""")
+  SELECT conversation_id, {', '.join(f'round(x{i}::FLOAT::DOUBLE, 4) AS x{i}' for i in range(12))} FROM f""")
 def aux_vectors(spark, folder):
     rows = features.with_aux_vector(dataset.clean_preferences(v.triples(spark, folder)))
     return rows.select("conversation_id", *[

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
@@ -36,9 +36,13 @@ def file_totals(found: DataFrame, path: str = "path") -> DataFrame:
     return found.groupBy(path).agg(F.count("*").alias("violations"))
 
 
-def audit_summary(files: DataFrame, found: DataFrame, path: str = "path") -> DataFrame:
-    """Files scanned, findings, pass or fail. ``files`` lists every scanned file once or more."""
-    scanned = files.select(path).distinct().agg(F.count("*")).scalar()
+def distinct_files(files: DataFrame, path: str = "path") -> Column:
+    """Number of different files in a table, as a value for :func:`audit_summary`."""
+    return files.select(path).distinct().agg(F.count("*")).scalar()
+
+
+def audit_summary(scanned: Column, found: DataFrame) -> DataFrame:
+    """Files scanned, findings, pass or fail."""
     return found.agg(F.count("*").alias("total_violations")).select(
         scanned.alias("files_scanned"), "total_violations",
         F.when(F.col("total_violations") > 0, "FAIL").otherwise("PASS").alias("status"))

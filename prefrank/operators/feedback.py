@@ -11,35 +11,31 @@ def latest_before(predictions: DataFrame, feedback: DataFrame, key: str, timesta
     """Give every feedback row the last prediction of its key at or before its time.
 
     Both inputs share ``key`` and ``timestamp``; ``payload`` comes from the prediction and
-    is null without an earlier one. Time is cut into slices: inside a (key, slice) group
-    a running maximum finds the match, and feedback that precedes all predictions of its
-    slice takes the last prediction of the earlier slices. A key with very many rows is
-    thus spread over its slices, and each feedback row yields exactly one row.
+    is null without an earlier one; each feedback row yields exactly one row.
+
+    Rows first collapse to one point per (key, time), so many rows at one moment weigh
+    nothing. Time is cut into slices: inside a (key, slice) group a running maximum finds
+    the match, and points before the first prediction of their slice take the last one
+    of the earlier slices. A key with very many rows is thus spread over its slices.
     """
-    slice_of = F.floor(F.unix_seconds(F.col(timestamp).cast("timestamp")) / slice_seconds)
-    made = predictions.select(
-        key, timestamp, F.struct(F.col(timestamp).alias("at"), F.col(tie_breaker).alias("tie"),
-                                 F.col(payload).alias("payload")).alias("made"))
-    rows = made.unionByName(feedback, allowMissingColumns=True).withColumn("_slice", slice_of)
-    is_feedback = F.col("made").isNull()
-
-    inside = (Window.partitionBy(key, "_slice").orderBy(timestamp)
-              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    matched = rows.withColumn("_here", F.max("made").over(inside)).where(is_feedback)
-
-    ends = (made.withColumn("_slice", slice_of)
-            .groupBy(key, "_slice").agg(F.max("made").alias("_end")))
-    # Only slices that hold feedback or predictions: one narrow row each.
-    slices = matched.groupBy(key, "_slice").agg(F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"))
-    earlier = (Window.partitionBy(key).orderBy("_slice")
-               .rangeBetween(Window.unboundedPreceding, -1))
-    carried = (ends.unionByName(slices).groupBy(key, "_slice").agg(F.max("_end").alias("_end"))
-               .withColumn("_before", F.max("_end").over(earlier)).drop("_end"))
-    found = F.coalesce(F.col("_here"), F.col("_before"))
-    return (matched.join(carried, [key, "_slice"], "left")
-            .withColumn(payload, found["payload"])
-            .withColumn("predicted_at", found["at"])
-            .drop("made", "_slice", "_here", "_before"))
+    made = F.struct(F.col(timestamp).alias("at"), F.col(tie_breaker).alias("tie"),
+                    F.col(payload).alias("payload"))
+    offered = predictions.select(key, timestamp, made.alias("made"))
+    asked = feedback.select(key, timestamp, F.lit(None).cast(offered.schema["made"].dataType).alias("made"))
+    points = (offered.unionByName(asked).groupBy(key, timestamp).agg(F.max("made").alias("made"))
+              .withColumn("_slice", F.floor(
+                  F.unix_seconds(F.col(timestamp).cast("timestamp")) / slice_seconds)))
+
+    so_far = (Window.partitionBy(key, "_slice").orderBy(timestamp)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # One narrow row per slice that holds anything.
+    slices = points.groupBy(key, "_slice").agg(F.max("made").alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.withColumn("_before", F.max("_last").over(earlier)).drop("_last")
+    found = F.coalesce(F.max("made").over(so_far), F.col("_before"))
+    matches = points.join(carried, [key, "_slice"]).select(key, timestamp, found.alias("_found"))
+    return feedback.join(matches, [key, timestamp], "left").withColumns({
+        payload: F.col("_found.payload"), "predicted_at": F.col("_found.at")}).drop("_found")
 
 
 def realised_accuracy(matched: DataFrame, predicted: str, actual: str, by=()) -> DataFrame:

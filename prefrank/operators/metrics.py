@@ -23,24 +23,36 @@ def labelled(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _terms(df: DataFrame, by) -> DataFrame:
+    """Per-row inputs of all averaged metrics."""
     p = F.col("probabilities")
+    total = p[0] + p[1] + p[2]
     return labelled(df).select(
-        *by, "label", "probabilities",
-        F.array_max(p).alias("confidence"),
+        *by, F.array_max(p).alias("confidence"),
         (scoring.argmax(p) == F.col("label")).cast("double").alias("correct"),
+        scoring.row_log_loss(p, "label").alias("loss"),
+        # Tolerance of a row counting as a distribution in the AUC.
+        (F.abs(1 - total) > 1e-8 + 1e-5 * F.abs(total)).alias("off"),
     )
 
 
+def _averages(df: DataFrame, by, n_bins: int = 10) -> DataFrame:
+    """Every averaged metric from one pass: sums per confidence bin, then over the bins."""
+    rows = _terms(df, by).withColumn("bin", _bin_index(F.col("confidence"), n_bins))
+    bins = rows.groupBy(*by, "bin").agg(
+        F.count("*").alias("n"), F.bool_or("off").alias("off"),
+        *[F.sum(c).alias(c) for c in ("correct", "loss", "confidence")])
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(c), F.sum("n")), F.lit(0.0))
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("correct") - F.col("confidence"))).otherwise(0.0)
+    return bins.groupBy(*by).agg(
+        mean(F.col("correct")).alias("accuracy"), mean(F.col("loss")).alias("log_loss"),
+        mean(F.col("confidence")).alias("preference_score_mean"), mean(gap).alias("ece"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.bool_or("off"), F.lit(False)).alias("off"))
+
+
 def point_metrics(df: DataFrame, by=()) -> DataFrame:
-    """Accuracy, log-loss, mean confidence and row count in one aggregation."""
-    rows = _terms(df, by).withColumn("loss", scoring.row_log_loss("probabilities", "label"))
-    zero = F.lit(0.0)
-    return rows.groupBy(*by).agg(
-        F.coalesce(F.avg("correct"), zero).alias("accuracy"),
-        F.coalesce(F.avg("loss"), zero).alias("log_loss"),
-        F.coalesce(F.avg("confidence"), zero).alias("preference_score_mean"),
-        F.count("*").alias("n"),
-    )
+    """Accuracy, log-loss, mean confidence and row count."""
+    return _averages(df, by).drop("ece", "off")
 
 
 def auc_by_class(df: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
@@ -75,18 +87,10 @@ def auc_by_class(df: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def macro_auc(df: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
-    """Mean of the class AUCs; 0 when a class has no label or a row does not sum to 1."""
-    by = list(by)
-    per_class = auc_by_class(df, by, buckets)
+def _mean_auc(df: DataFrame, by, buckets: int) -> DataFrame:
+    """Mean of the class AUCs, 0 when a class has no label."""
     mean = F.when(F.count("auc") == fixed.NUM_CLASSES, F.avg("auc")).otherwise(0.0)
-    auc = per_class.groupBy(*by).agg(mean.alias("auc"))
-    p = F.col("probabilities")
-    total = p[0] + p[1] + p[2]
-    off = F.abs(1 - total) > 1e-8 + 1e-5 * F.abs(total)
-    sums = labelled(df).groupBy(*by).agg(F.coalesce(F.bool_or(off), F.lit(False)).alias("off"))
-    return (_side_by_side(auc, sums, by)
-            .withColumn("auc", F.when(F.col("off"), 0.0).otherwise(F.col("auc"))).drop("off"))
+    return auc_by_class(df, by, buckets).groupBy(*by).agg(mean.alias("auc"))
 
 
 def _side_by_side(left: DataFrame, right: DataFrame, by) -> DataFrame:
@@ -98,10 +102,21 @@ def _side_by_side(left: DataFrame, right: DataFrame, by) -> DataFrame:
     return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def evaluation_metrics(df: DataFrame, by=(), n_bins: int = 10, buckets: int = BUCKETS) -> DataFrame:
+    """Accuracy, macro AUC, log-loss, mean confidence, calibration error and row count.
+
+    Zeros for an empty table. The AUC is 0 when a class has no label or a row does not
+    sum to 1.
+    """
+    both = _side_by_side(_averages(df, by, n_bins), _mean_auc(df, by, buckets), by)
+    auc = F.when(F.col("off"), 0.0).otherwise(F.coalesce("auc", F.lit(0.0)))
+    return both.withColumn("auc", auc).select(
+        *by, "accuracy", "auc", "log_loss", "preference_score_mean", "ece", "n")
+
+
 def classification_metrics(df: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
-    """Accuracy, AUC, log-loss, mean confidence; zeros for an empty table."""
-    metrics = _side_by_side(point_metrics(df, by), macro_auc(df, by, buckets), by)
-    return metrics.select(*by, "accuracy", "auc", "log_loss", "preference_score_mean", "n")
+    """The bundle without calibration error."""
+    return evaluation_metrics(df, by, buckets=buckets).drop("ece")
 
 
 def _bin_index(confidence: Column, n_bins: int) -> Column:
@@ -122,15 +137,7 @@ def calibration_bins(df: DataFrame, by=(), n_bins: int = 10) -> DataFrame:
 
 def expected_calibration_error(df: DataFrame, by=(), n_bins: int = 10) -> DataFrame:
     """Count-weighted gap between accuracy and confidence over the bins."""
-    gap = F.when(F.col("bin").isNotNull(),
-                 F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))).otherwise(0.0)
-    return calibration_bins(df, by, n_bins).groupBy(*by).agg(
-        F.coalesce(F.try_divide(F.sum(gap), F.sum("n")), F.lit(0.0)).alias("ece"))
-
-
-def evaluation_metrics(df: DataFrame, by=(), n_bins: int = 10) -> DataFrame:
-    """The metric bundle plus calibration error."""
-    return _side_by_side(classification_metrics(df, by), expected_calibration_error(df, by, n_bins), by)
+    return _averages(df, by, n_bins).select(*by, "ece")
 
 
 def _discounted_gain(df: DataFrame, query: str, order: str, gain: str, k: int, out: str) -> DataFrame:

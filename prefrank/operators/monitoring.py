@@ -71,15 +71,20 @@ def cache_stats(df: DataFrame, flag: str = "from_cache") -> DataFrame:
 
 
 def population_stability(baseline: DataFrame, current: DataFrame, value: str, bins: int = 10,
-                         floor: float = 1e-6, threshold: float = fixed.PSI_THRESHOLD) -> DataFrame:
+                         floor: float = 1e-6, threshold: float = fixed.PSI_THRESHOLD,
+                         exact: bool = True) -> DataFrame:
     """Population stability index of ``current`` against the baseline's quantile bins.
 
-    Both sides reduce to at most ``bins`` counts. Shares are floored so that an empty
+    ``exact=False`` takes the bin edges from a mergeable sketch, which saves the shuffle of
+    the baseline's distinct values. Both sides reduce to at most ``bins`` counts. Shares are floored so that an empty
     bin stays finite. One row: psi, drifted.
     """
     shares = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(baseline, value, shares)
-    packed = edges.agg(F.sort_array(F.collect_list("quantile"))).scalar()
+    if exact:
+        edges = exact_quantiles(baseline, value, shares).agg(F.sort_array(F.collect_list("quantile")))
+    else:
+        edges = baseline.agg(F.percentile_approx(F.col(value).cast("double"), shares))
+    packed = edges.scalar()
     tagged = (baseline.select(F.col(value).alias("v"), F.lit(1).alias("base"))
               .unionByName(current.select(F.col(value).alias("v"), F.lit(0).alias("base")))
               .where(F.col("v").isNotNull()))

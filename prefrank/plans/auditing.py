@@ -5,24 +5,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
-from prefrank.functions.privacy import has_pii
 from prefrank.operators import audit
 from prefrank.sources.reports import write_json
-from prefrank.sources.text_files import TextScan, list_files
+from prefrank.sources.text_files import TextScan
 
 
 @dataclass(frozen=True)
 class Audit:
-    """Lazy tables of one audit."""
+    """Number of files and lazy table of findings of one audit."""
 
-    files: DataFrame
+    files: int
     violations: DataFrame
 
     @property
     def summary(self) -> DataFrame:
-        return audit.audit_summary(self.files, self.violations)
+        return audit.audit_summary(F.lit(self.files).cast("long"), self.violations)
 
     @property
     def per_file(self) -> DataFrame:
@@ -41,10 +41,5 @@ class Audit:
 def audit_files(spark: SparkSession, targets, extensions=fixed.AUDIT_EXTENSIONS) -> Audit:
     """Scan files and folders; overlapping targets count once, missing ones are skipped."""
     scan = TextScan(spark, targets, extensions)
-    files = list_files(spark, targets, extensions)
-    hits = scan.lines.where(has_pii("content"))
-    if scan.empty:
-        return Audit(files, hits.selectExpr("path", "row AS line", "content"))
-    # Overlapping targets read a file twice; equal lines then collapse to one.
-    found = audit.violations(scan.number(hits)).select("path", "line", "content")
-    return Audit(files, found.dropDuplicates(["path", "line"]))
+    found = scan.number(audit.violations(scan.lines)).select("path", "line", "content")
+    return Audit(scan.files, found)

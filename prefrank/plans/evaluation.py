@@ -16,12 +16,12 @@ class GateFailed(RuntimeError):
     """A metric misses a threshold that must hold."""
 
 
-def evaluate(triples: DataFrame, scorer: Scorer, by=(), materialize: bool = False) -> DataFrame:
+def evaluate(triples: DataFrame, scorer: Scorer, by=(), materialize: bool = True) -> DataFrame:
     """Score labelled triples and return the metric bundle with calibration error.
 
-    Unlabelled rows are left out before scoring. The metrics read the predictions in
-    three aggregations; ``materialize`` stores them in the shared folder first, which
-    pays off when the scorer is a model and not a few expressions.
+    Unlabelled rows are left out before scoring. The metrics read the predictions twice;
+    ``materialize`` stores them (a label and three numbers per row) in the shared folder
+    first, so that texts are redacted, featurised and scored once.
     """
     scored = score_triples(metrics.labelled(triples), scorer).select(*by, "label", "probabilities")
     if materialize:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prefrank import fixed_values as fixed
 from prefrank.operators import metrics
 from prefrank.plans.scoring import prepare
+from prefrank.session import reliable_checkpoint
 
 
 def smoothed_rows(df: DataFrame, label: str = "label", smoothing: float = fixed.LABEL_SMOOTHING,
@@ -35,12 +36,14 @@ def training_rows(triples: DataFrame, embedding: str | None = None) -> DataFrame
 
 
 def fit(triples: DataFrame, embedding: str | None = None, smoothing: float = fixed.LABEL_SMOOTHING,
-        max_iter: int = 30, reg_param: float = 0.01, depth: int = 2):
+        max_iter: int = 30, reg_param: float = 0.01, depth: int = 2, materialize: bool = True):
     """Fit scaler and multinomial regression; gradients sum over the executors by tree aggregation.
 
-    Returns the fitted model, saved and loaded with ``model.write()`` and ``PipelineModel.load``.
+    The feature rows are stored in the shared folder first (``materialize``), so that the
+    passes of the fit do not touch the texts again. Returns the fitted model, saved and loaded with ``model.write()`` and ``PipelineModel.load``.
     """
-    rows = smoothed_rows(training_rows(triples, embedding), smoothing=smoothing)
+    rows = training_rows(triples, embedding)
+    rows = smoothed_rows(reliable_checkpoint(rows) if materialize else rows, smoothing=smoothing)
     classifier = LogisticRegression(
         featuresCol="scaled", labelCol="target", weightCol="weight", probabilityCol="probability",
         family="multinomial", maxIter=max_iter, regParam=reg_param, aggregationDepth=depth)

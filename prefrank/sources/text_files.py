@@ -24,9 +24,9 @@ def existing_targets(spark: SparkSession, targets) -> list[str]:
     return found
 
 
-def _reader(spark: SparkSession, source: str, extensions):
+def _reader(spark: SparkSession, extensions):
     names = ",".join(e.lstrip(".") for e in extensions)
-    return (spark.read.format(source)
+    return (spark.read.format("text")
             .option("recursiveFileLookup", True)
             # At least one character before the dot: '.log' has no extension.
             .option("pathGlobFilter", "?*.{" + names + "}")
@@ -38,14 +38,6 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def list_files(spark: SparkSession, targets, extensions=fixed.AUDIT_EXTENSIONS) -> DataFrame:
-    """One row per file to scan, empty files included; contents are not read."""
-    targets = existing_targets(spark, targets)
-    if not targets:
-        return _empty(spark, "path string")
-    return _reader(spark, "binaryFile", extensions).load(targets).select("path").distinct()
-
-
 class TextScan:
     """Lines of text files, with numbers computed only for the lines asked for.
 
@@ -56,11 +48,13 @@ class TextScan:
 
     def __init__(self, spark: SparkSession, targets, extensions=fixed.AUDIT_EXTENSIONS):
         self.targets = existing_targets(spark, targets)
-        self.empty = not self.targets
-        if self.empty:
+        self.files = 0
+        if not self.targets:
             self._rows = _empty(spark, "path string, block long, row long, content string")
             return
-        raw = _reader(spark, "text", extensions).load(self.targets)
+        raw = _reader(spark, extensions).load(self.targets)
+        # The scan's own file list, each file once and empty ones included; only its length leaves the JVM.
+        self.files = len(raw._jdf.inputFiles())
         self._rows = raw.select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),

@@ -86,7 +86,11 @@ def redact_messages(df: DataFrame, text: str, dialect: Dialect = MAIN) -> DataFr
 
 def suppress_repeats(df: DataFrame, key: str, timestamp: str,
                      ttl: int = fixed.CACHE_TTL_SECONDS) -> DataFrame:
-    """First request of a key; repeats within the time to live are dropped."""
+    """First request of a key; repeats within the time to live are dropped.
+
+    A key is forgotten when the watermark passes its expiry, so a repeat in the moments
+    between the two can still count as one.
+    """
     return df.withWatermark(timestamp, f"{ttl} seconds").dropDuplicatesWithinWatermark([key])
 
 
