@@ -7,7 +7,9 @@ from prefrank.catalog import views as v
 from prefrank.catalog.privacy_queries import _TYPES
 from prefrank.catalog.quality_queries import FEEDBACK_ERRORS_SQL, FEEDBACK_SQL, feedback
 from prefrank.catalog.registry import query
+from prefrank.catalog.scoring_queries import _P_SQL, _SCORED_SQL, _WINNER_SQL, PROBABILITIES
 from prefrank.operators.ordering import exact_quantiles
+from prefrank.plans import scoring as plan
 from prefrank.sources.reports import feedback_json
 from prefrank.streaming import feeds
 
@@ -126,6 +128,19 @@ def stream_redaction(spark, folder):
     return rows.select("doc_id", "text", F.array_join("pii_types", ",").alias("pii_types"), "leak")
 
 
+@query("stream_scoring", f"WITH {_SCORED_SQL} SELECT conversation_id, {_P_SQL}, {_WINNER_SQL} FROM preds")
+def stream_scoring(spark, folder):
+    """Requests written as a table, then scored as a stream with a cache."""
+    out = session.scratch_path(spark, "scoring")
+    requests = v.triples(spark, folder).where(F.col("response_b").isNotNull()).drop("winner")
+    requests.write.parquet(f"{out}/requests")
+    stream = feeds.read_table(spark, f"{out}/requests", requests.schema)
+    scorer = plan.fusion_scorer(v.example_head())
+    feeds.score_stream(stream, scorer, f"{out}/outcome", f"{out}/cache", f"{out}/state").awaitTermination()
+    rows = plan.results(spark.read.parquet(f"{out}/outcome"))
+    return rows.select("conversation_id", *[F.round(c, 6).alias(c) for c in PROBABILITIES], "winner")
+
+
 @query("stream_feedback_ingest", f"""WITH {FEEDBACK_SQL}, c AS (SELECT *, {FEEDBACK_ERRORS_SQL} AS errors FROM feedback)
   SELECT errors = '' AS accepted, coalesce(channel, 'api') AS channel, actual_winner, count(*) AS n
   FROM c GROUP BY 1, 2, 3""")

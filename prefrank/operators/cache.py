@@ -15,8 +15,11 @@ def live_entries(cache: DataFrame, now: Column, ttl: int = fixed.CACHE_TTL_SECON
     The age filter reaches the scan; entries of one key meet as partial maxima, so a
     key written very often costs no more than any other. Malformed values are misses.
     """
-    fresh = cache.where((F.col("written_at") > now - F.expr(f"INTERVAL {int(ttl)} SECONDS"))
-                        & (F.col("written_at") <= now))
+    oldest = now - F.expr(f"INTERVAL {int(ttl)} SECONDS")
+    fresh = cache.where((F.col("written_at") > oldest) & (F.col("written_at") <= now))
+    if "day" in cache.columns:
+        # Partition folders of other days are never opened.
+        fresh = fresh.where(F.col("day").between(F.to_date(oldest), F.to_date(now)))
     latest = fresh.groupBy("key").agg(F.max_by("value", "written_at").alias("value"))
     parsed = latest.select("key", F.from_json("value", RESULT).alias("cached"))
     return parsed.where(F.col("cached.winner").isNotNull())

@@ -123,13 +123,13 @@ def within_retention(df: DataFrame, timestamp: str, now: Column | None = None,
 
 
 def with_consent(df: DataFrame, consent: DataFrame, key: str) -> DataFrame:
-    """Rows whose subject has consented."""
-    return df.join(consent.select(key), key, "left_semi")
+    """Rows whose subject has consented; repeated consents collapse before the join."""
+    return df.join(consent.select(key).distinct(), key, "left_semi")
 
 
 def without_consent(df: DataFrame, consent: DataFrame, key: str) -> DataFrame:
     """Rows whose subject has not."""
-    return df.join(consent.select(key), key, "left_anti")
+    return df.join(consent.select(key).distinct(), key, "left_anti")
 
 
 def traffic_split(key, fraction: float) -> Column:

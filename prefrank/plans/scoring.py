@@ -26,6 +26,7 @@ from prefrank.operators import cache as cache_ops
 from prefrank.operators import contracts
 from prefrank.operators.dataset import normalize_segment
 from prefrank.schemas import RESULT, TEXT_COLUMNS
+from prefrank.sources.tables import append_cache, path_exists, read_cache
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -170,6 +171,26 @@ def new_entries(outcome: DataFrame, now: Column) -> DataFrame:
     return cache_ops.entries(results(outcome), now)
 
 
+def score_and_store(requests: DataFrame, scorer: Scorer, now: Column, outcome_path: str,
+                    cache_path: str | None = None, **options) -> DataFrame:
+    """Score a request table, write the outcome once, then append the new cache entries.
+
+    The entries come from the written outcome, so texts are not scored again. A repeated
+    run overwrites its outcome and appends equal entries, of which lookups see one. Equal
+    requests inside one table are all scored; the cache serves later tables.
+    """
+    spark = requests.sparkSession
+    cache = None
+    if cache_path and path_exists(spark, cache_path):
+        cache = read_cache(spark, cache_path)
+    outcome = score_requests(requests, scorer, now, cache, **options)
+    outcome.write.mode("overwrite").parquet(outcome_path)
+    stored = spark.read.schema(outcome.schema).parquet(outcome_path)
+    if cache_path:
+        append_cache(new_entries(stored, now), cache_path)
+    return stored
+
+
 def score_batches(batches: DataFrame, head: scoring.FusionHead, items: str = "items") -> DataFrame:
     """Score batch requests inside their row: (batch_id, results, total_latency_ms).
 

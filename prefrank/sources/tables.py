@@ -6,6 +6,7 @@ import warnings
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from prefrank.operators import dataset
 from prefrank.schemas import CACHE_ENTRY, RUN_HISTORY
@@ -13,6 +14,11 @@ from prefrank.schemas import CACHE_ENTRY, RUN_HISTORY
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a table that fits one input split over all cores.
 
@@ -20,9 +26,10 @@ def spread_small(df: DataFrame) -> DataFrame:
     others idle. The shuffle moves at most one split; larger tables stay as they are.
     """
     spark = df.sparkSession
-    files = df.inputFiles()
+    # Stays in the JVM: a large table may have millions of files.
+    files = df._jdf.inputFiles()
     cores = spark.sparkContext.defaultParallelism
-    if not files or len(files) >= cores:
+    if len(files) == 0 or len(files) >= cores:
         return df
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -57,8 +64,8 @@ def warn_if_dropped(observation: Observation, split: str = "train") -> int:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The result cache; partitioned by day so that expiry prunes whole folders."""
-    schema = CACHE_ENTRY.add("day", "date") if "day" not in CACHE_ENTRY.fieldNames() else CACHE_ENTRY
-    return spark.read.schema(schema).parquet(path).drop("day")
+    schema = StructType([*CACHE_ENTRY.fields, StructField("day", DateType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_cache(entries: DataFrame, path: str) -> None:

@@ -8,16 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
+from prefrank.sources.tables import path_exists
 
 
 def existing_targets(spark: SparkSession, targets) -> list[str]:
     """Targets that exist, in order and once each; a missing one is warned about."""
     found = []
-    jvm = spark._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for target in targets:
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        if not path.getFileSystem(conf).exists(path):
+        if not path_exists(spark, target):
             warnings.warn(f"target does not exist: {target}", stacklevel=2)
         elif target not in found:
             found.append(target)

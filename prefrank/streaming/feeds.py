@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import MAIN, Dialect, has_pii, redact, redacted_types
 from prefrank.operators import contracts
+from prefrank.plans.scoring import score_and_store
 from prefrank.sources.reports import parse_feedback
 
 
@@ -108,6 +109,19 @@ def match_feedback(predictions: DataFrame, feedback: DataFrame, key: str, made_a
     return left.join(right, (F.col(key) == F.col("_key")) & timely, how).drop("_key")
 
 
+def score_stream(requests: DataFrame, scorer, outcome_path: str, cache_path: str,
+                 checkpoint: str) -> StreamingQuery:
+    """Score every micro-batch against the cache and extend it.
+
+    A replayed micro-batch overwrites its own outcome folder.
+    """
+    def score(batch: DataFrame, batch_id: int) -> None:
+        score_and_store(batch, scorer, F.current_timestamp(), f"{outcome_path}/batch_id={batch_id}", cache_path)
+
+    return (requests.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(score).start())
+
+
 def tumbling_counts(df: DataFrame, timestamp: str, *labels: str, window: str = "1 hour",
                     lateness: str = "1 hour") -> DataFrame:
     """Counter by label and tumbling window."""

@@ -90,6 +90,21 @@ def test_cache_round_trip(spark, requests, tmp_path):
     assert plan.refused(again).count() == 3
 
 
+def test_score_and_store(spark, requests, tmp_path):
+    scorer, where = plan.fusion_scorer(example_head()), [str(tmp_path / n) for n in ("out", "cache")]
+    now = F.to_timestamp(F.lit("2024-01-01 23:59:00"))
+    first = plan.score_and_store(requests, scorer, now, *where)
+    assert plan.results(first).where("from_cache").count() == 0
+    # A new day: the entries live in yesterday's partition.
+    later = F.to_timestamp(F.lit("2024-01-02 00:10:00"))
+    second = plan.score_and_store(requests, scorer, later, *where)
+    assert plan.results(second).where("from_cache").count() == 3
+    cache = tables.read_cache(spark, where[1])
+    assert cache.count() == 3
+    scan = plan.cache_ops.live_entries(cache, later)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in scan
+
+
 def test_invalid_scores_are_refused(requests):
     now = F.current_timestamp()
     outcome = plan.score_requests(requests, plan.batch_scorer(lambda t, a: np.tile([.6, .5, .4], (len(t), 1))), now)
