@@ -128,11 +128,15 @@ def psi_shifted(spark, folder):
   m AS (SELECT 'latency_p99_ms' AS metric, quantile_cont(value, 0.99) AS value FROM events
         UNION ALL SELECT 'psi', psi FROM psi
         UNION ALL SELECT 'pii_scrubbed_cpf', count(*)::DOUBLE FROM documents
-                  WHERE regexp_matches(text, '{v.MAIN_RULES_SQL[0][0]}')),
+                  WHERE regexp_matches(text, '{v.MAIN_RULES_SQL[0][0]}')
+        UNION ALL SELECT 'pii_scrubbed_card', count(*)::DOUBLE FROM documents
+                  WHERE {v.redact_sql('text', v.MAIN_RULES_SQL[:2])} <> {v.redact_sql('text', v.MAIN_RULES_SQL[:3])}),
   r(alert, metric, threshold, severity, action) AS (VALUES
     ('p99_breach', 'latency_p99_ms', 300.0, 'critical', 'page_oncall'),
     ('psi_drift', 'psi', 0.2, 'warning', 'trigger_retrain_pipeline'),
-    ('pii_leak', 'pii_scrubbed_cpf', 0.0, 'critical', 'block_and_audit'))
+    ('pii_leak', 'pii_scrubbed_cpf', 0.0, 'critical', 'block_and_audit'),
+    ('p99_watch', 'latency_p99_ms', 50.0, 'warning', 'notify'),
+    ('card_watch', 'pii_scrubbed_card', 0.0, 'warning', 'notify'))
   SELECT alert, metric, round(value, 6) AS value, threshold::DOUBLE AS threshold, severity, action
   FROM m JOIN r USING (metric) WHERE value > threshold""")
 def alerts(spark, folder):
@@ -143,7 +147,11 @@ def alerts(spark, folder):
     events = monitoring.pii_event_counts(v.table(spark, folder, "documents"), "text")
     pii = events.select(F.concat(F.lit("pii_scrubbed_"), "pii_type").alias("metric"),
                         F.col("n").cast("double").alias("value"))
-    return _rounded(monitoring.alerts(p99.unionByName(psi).unionByName(pii)), "value")
+    rules = monitoring.alert_rules(spark)
+    watched = spark.createDataFrame([("p99_watch", "latency_p99_ms", 50.0, "warning", "notify"),
+                                     ("card_watch", "pii_scrubbed_card", 0.0, "warning", "notify")], rules.schema)
+    found = monitoring.alerts(p99.unionByName(psi).unionByName(pii), rules.unionByName(watched))
+    return _rounded(found, "value")
 
 
 @query("retention", f"""WITH {v.REQUESTS_SQL} SELECT event_id FROM requests

@@ -98,8 +98,8 @@ def _side_by_side(left: DataFrame, right: DataFrame, by) -> DataFrame:
     keys = list(by)
     if keys:
         return left.join(right, keys)
-    # One row each: meet on a constant key.
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # One row each: the right one comes in as scalar subqueries, no join needed.
+    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
 
 
 def evaluation_metrics(df: DataFrame, by=(), n_bins: int = 10, buckets: int = BUCKETS) -> DataFrame:

@@ -85,21 +85,22 @@ def population_stability(baseline: DataFrame, current: DataFrame, value: str, bi
     else:
         edges = baseline.agg(F.percentile_approx(F.col(value).cast("double"), shares))
     packed = edges.scalar()
-    tagged = (baseline.select(F.col(value).alias("v"), F.lit(1).alias("base"))
-              .unionByName(current.select(F.col(value).alias("v"), F.lit(0).alias("base")))
+    tagged = (baseline.select(F.col(value).alias("v"), F.lit(True).alias("base"))
+              .unionByName(current.select(F.col(value).alias("v"), F.lit(False).alias("base")))
               .where(F.col("v").isNotNull()))
-    v = F.col("v")
-    counts = (tagged.withColumn("_edges", packed)
-              .withColumn("bin", count_below("_edges", v, bins))
-              .groupBy("bin").agg(F.sum("base").alias("b"), F.count_if(F.col("base") == 0).alias("c")))
-    every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    frame = baseline.sparkSession.range(1).select(every)
-    filled = frame.join(counts, "bin", "left").na.fill(0, ["b", "c"])
-    totals = counts.agg(F.struct(F.sum("b").alias("b"), F.sum("c").alias("c"))).scalar()
-    p = F.greatest(F.col("b") / totals["b"], F.lit(floor))
-    q = F.greatest(F.col("c") / totals["c"], F.lit(floor))
-    psi = F.sum((q - p) * F.log(q / p))
-    return filled.agg(psi.alias("psi")).select("psi", (F.col("psi") > threshold).alias("drifted"))
+    placed = tagged.withColumn("_edges", packed).select(
+        "base", count_below("_edges", F.col("v"), bins).alias("bin"))
+    counts = placed.groupBy("bin").agg(F.count_if("base").alias("b"), F.count_if(~F.col("base")).alias("c"))
+    wide = counts.agg(
+        F.sum("b").alias("b"), F.sum("c").alias("c"),
+        *[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col(side))), F.lit(0)).alias(f"{side}{i}")
+          for i in range(bins) for side in "bc"])
+    psi = F.lit(0.0)
+    for i in range(bins):
+        p = F.greatest(F.try_divide(f"b{i}", "b"), F.lit(floor))
+        q = F.greatest(F.try_divide(f"c{i}", "c"), F.lit(floor))
+        psi = psi + (q - p) * F.log(q / p)
+    return wide.select(psi.alias("psi")).select("psi", (F.col("psi") > threshold).alias("drifted"))
 
 
 def alert_rules(spark) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefrank.session import computed_once
+
 BUCKETS = 256
 
 
@@ -45,8 +47,9 @@ def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS, out: str = "b
                 also=()) -> DataFrame:
     """Add the number of cut points below ``order``; equal values share a bucket."""
     value = F.col(order).cast("double")
-    return (df.withColumn("_edges", cut_points(df, order, buckets, also))
-            .withColumn(out, count_below("_edges", value, buckets)).drop("_edges"))
+    placed = (df.withColumn("_edges", cut_points(df, order, buckets, also))
+              .withColumn(out, count_below("_edges", value, buckets)).drop("_edges"))
+    return computed_once(placed, out)
 
 
 def bucket_offsets(totals: DataFrame, keys: list[str], amount: str, out: str,

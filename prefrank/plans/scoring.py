@@ -26,22 +26,12 @@ from prefrank.operators import cache as cache_ops
 from prefrank.operators import contracts
 from prefrank.operators.dataset import normalize_segment
 from prefrank.schemas import RESULT, TEXT_COLUMNS
+from prefrank.session import computed_once
 from prefrank.sources.tables import append_cache, path_exists, read_cache
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def computed_once(df: DataFrame, *names: str) -> DataFrame:
-    """Pin expensive columns behind a generator.
-
-    The optimizer copies the expression of a column into every filter on it, and from
-    there into the expressions that expression uses. A one-row generator stops that: the
-    columns are computed once and filters above see plain values.
-    """
-    others = [c for c in df.columns if c not in names]
-    return df.select(*others, F.inline(F.array(F.struct(*names))))
-
-
 def fusion_scorer(head: scoring.FusionHead, embedding: str | None = None) -> Scorer:
     """Native scorer: fusion head over ``x_aux`` and an optional embedding column."""
 

@@ -62,3 +62,17 @@ def reliable_checkpoint(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def computed_once(df, *names: str):
+    """Pin computed columns behind a one-row generator.
+
+    The optimizer copies the expression of a column into every filter on it, and from
+    there into the expressions that expression uses; with a scalar subquery inside, the
+    whole subplan is copied along. A generator stops that: the columns are computed once
+    and everything above sees plain values.
+    """
+    from pyspark.sql import functions as F
+
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
