@@ -9,21 +9,13 @@ from prefrank.functions import privacy
 from prefrank.operators import audit, monitoring
 from prefrank.plans.auditing import audit_files
 
-PORTUGUESE_SQL = (
-    (r"(\d{3}\.?\d{3}\.?\d{3}-?\d{2})", "[CPF_REMOVIDO]"),
-    (r"(\b(?:\d[ -]?){13,19}\b)", "[CARTAO_REMOVIDO]"),
-    (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[EMAIL_REMOVIDO]"),
-    (r"(\(?\d{2}\)?\s?\d{4,5}-?\d{4})", "[TELEFONE_REMOVIDO]"),
-)
-
-
 @query("redact_documents", f"SELECT doc_id, {v.redact_sql('text')} AS text FROM documents")
 def redact_documents(spark, folder):
     return v.table(spark, folder, "documents").select("doc_id", privacy.redact("text").alias("text"))
 
 
 @query("redact_documents_portuguese",
-       f"SELECT doc_id, {v.redact_sql('text', PORTUGUESE_SQL)} AS text FROM documents")
+       f"SELECT doc_id, {v.redact_sql('text', v.PORTUGUESE_RULES_SQL)} AS text FROM documents")
 def redact_documents_portuguese(spark, folder):
     docs = v.table(spark, folder, "documents")
     return docs.select("doc_id", privacy.redact("text", privacy.PORTUGUESE).alias("text"))

@@ -149,12 +149,9 @@ def stream_feedback_ingest(spark, folder):
     out = session.scratch_path(spark, "feedback")
     feedback_json(feedback(spark, folder)).write.text(f"{out}/inbox")
     raw = feeds.read_json_lines(spark, f"{out}/inbox")
-    for started in feeds.ingest_feedback(raw, f"{out}/good", f"{out}/bad", f"{out}/state"):
-        started.awaitTermination()
-    columns = ["channel", "actual_winner"]
-    good = spark.read.parquet(f"{out}/good").select(F.lit(True).alias("accepted"), *columns)
-    bad = spark.read.parquet(f"{out}/bad").select(F.lit(False).alias("accepted"), *columns)
-    return good.unionByName(bad).groupBy("accepted", *columns).agg(F.count("*").alias("n"))
+    feeds.ingest_feedback(raw, f"{out}/events", f"{out}/state").awaitTermination()
+    return feeds.read_feedback(spark, f"{out}/events").groupBy("accepted", "channel", "actual_winner").agg(
+        F.count("*").alias("n"))
 
 
 _BASE = ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 10))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefrank import fixed_values as fixed
 from prefrank.functions.scoring import FusionHead, softmax
 from prefrank.sources.tables import spread_small
 
@@ -221,13 +222,8 @@ def softmax_sql(name: str, source: str) -> str:
     return _softmax_sql(name, source)
 
 
-MAIN_RULES_SQL = (
-    (r"\b\d{3}[.\-]?\d{3}[.\-]?\d{3}[-]?\d{2}\b", "[CPF_REDACTED]"),
-    (r"\b\d{2}[.\-]?\d{3}[.\-]?\d{3}[/]?\d{4}[-]?\d{2}\b", "[CNPJ_REDACTED]"),
-    (r"\b(?:\d[ -]?){13,19}\b", "[CARD_REDACTED]"),
-    (r"\(?\d{2}\)?[\s\-]?9\d{4}[\s\-]?\d{4}\b", "[PHONE_REDACTED]"),
-    (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Z|a-z]{2,}\b", "[EMAIL_REDACTED]"),
-)
+MAIN_RULES_SQL = tuple((pattern, placeholder) for _, pattern, placeholder in fixed.PII_MAIN)
+PORTUGUESE_RULES_SQL = tuple((pattern, placeholder) for _, pattern, placeholder in fixed.PII_PORTUGUESE)
 
 
 def redact_sql(text: str, rules=MAIN_RULES_SQL) -> str:

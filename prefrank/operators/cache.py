@@ -43,6 +43,7 @@ def misses(requests: DataFrame, cache: DataFrame, now: Column,
 
 
 def entries(results: DataFrame, now: Column) -> DataFrame:
-    """Rows to append for freshly scored results."""
-    value = F.to_json(F.struct(*RESULT.fieldNames()))
-    return results.where(~F.col("from_cache")).select("key", value.alias("value"), now.alias("written_at"))
+    """Rows to append for freshly scored results, one per key."""
+    fresh = results.where(~F.col("from_cache"))
+    one = fresh.groupBy("key").agg(F.first(F.struct(*RESULT.fieldNames())).alias("value"))
+    return one.select("key", F.to_json("value").alias("value"), now.alias("written_at"))

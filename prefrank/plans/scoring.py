@@ -25,7 +25,7 @@ from prefrank.functions.text import cache_key, input_text
 from prefrank.operators import cache as cache_ops
 from prefrank.operators import contracts
 from prefrank.operators.dataset import normalize_segment
-from prefrank.schemas import RESULT, TEXT_COLUMNS
+from prefrank.schemas import CACHE_ENTRY, RESULT, TEXT_COLUMNS
 from prefrank.session import computed_once
 from prefrank.sources.tables import append_cache, path_exists, read_cache
 
@@ -108,42 +108,62 @@ def score_triples(df: DataFrame, scorer: Scorer, dialect: Dialect = MAIN) -> Dat
 def score_requests(requests: DataFrame, scorer: Scorer, now: Column, cache: DataFrame | None = None,
                    ttl: int = fixed.CACHE_TTL_SECONDS, policy: str = "reject",
                    namespace: str = "pref:", dialect: Dialect = MAIN) -> DataFrame:
-    """Score a request table in one pass: one outcome row per request.
+    """Score a request table: one outcome row per request.
 
     Keys cover the raw texts; only redacted texts reach the scorer, and only those of
     requests that are neither cached nor refused. ``reason`` says why a row has no
     result and is null otherwise; see ``results``, ``refused`` and ``new_entries``. Write
     the outcome once and derive the three from the written table. The latency of a fresh
     row is the input column ``latency_ms`` when present.
+
+    Without a cache this is one scan and no shuffle. With one, equal requests collapse on
+    the map side before anything wide is shuffled; each different request is looked up and
+    scored once, and its result is joined back to narrow rows. The join has one row per
+    key on the result side, so a busy key can be split.
     """
     df = requests.withColumn("segment", normalize_segment("merchant_segment", policy))
     df = df.withColumn("key", cache_key(*TEXT_COLUMNS, "segment", namespace=namespace))
     if "latency_ms" not in df.columns:
         df = df.withColumn("latency_ms", F.lit(None).cast("double"))
-    if cache is None:
-        df = df.withColumns({"cached": F.lit(None).cast(RESULT), "from_cache": F.lit(False)})
-    else:
-        df = cache_ops.with_cached(df, cache, now, ttl)
-
-    df = prepare(df, dialect)
     missing = F.col("prompt").isNull() | F.col("response_a").isNull() | F.col("response_b").isNull()
+    blank = is_blank("prompt") | is_blank("response_a") | is_blank("response_b")
     df = df.withColumn("reason", F.when(F.col("segment").isNull(), "unknown segment")
-                       .when(missing, "missing text")
-                       .when(F.col("rejected"), "empty input after redaction"))
-    # Texts that need no scorer do not travel to it.
-    skip = F.col("from_cache") | F.col("reason").isNotNull()
-    df = df.withColumn("input_text", F.when(~skip, F.col("input_text"))).withColumn(
-        "x_aux", F.when(~skip, F.col("x_aux"))).drop(*TEXT_COLUMNS, "rejected")
-    df = computed_once(scorer(df), "probabilities")
-    fresh_ok = F.col("from_cache") | scoring.valid_probabilities("probabilities")
-    df = df.withColumn("reason", F.coalesce("reason", F.when(~fresh_ok, "invalid probabilities")))
+                       .when(missing, "missing text").when(blank, "empty input after redaction"))
+
+    identity = [c for c in requests.columns if c not in TEXT_COLUMNS and c != "latency_ms"]
+    narrow = identity + ["segment", "key", "latency_ms", "reason"]
+    if cache is None:
+        open_rows = F.col("reason").isNull()
+        scored = _score_open(df, scorer, dialect, open_rows, narrow).withColumns({
+            "cached": F.lit(None).cast(RESULT), "from_cache": F.lit(False)})
+    else:
+        distinct = (df.where(F.col("reason").isNull()).groupBy("key")
+                    .agg(*[F.first(c).alias(c) for c in (*TEXT_COLUMNS, "segment")]))
+        looked_up = cache_ops.with_cached(distinct, cache, now, ttl)
+        answers = _score_open(looked_up, scorer, dialect, ~F.col("from_cache"),
+                              ["key", "cached", "from_cache"]).withColumnRenamed("key", "_key")
+        # Refused rows match nothing; a key from their content keeps them off one partition.
+        spread = F.concat(F.lit("-"), F.hex(F.xxhash64(*TEXT_COLUMNS, *identity)))
+        rows = df.withColumn("_key", F.when(F.col("reason").isNull(), F.col("key")).otherwise(spread))
+        scored = (rows.select(*narrow, "_key").join(answers, "_key", "left").drop("_key")
+                  .withColumn("from_cache", F.coalesce("from_cache", F.lit(False))))
+
+    usable = F.col("from_cache") | scoring.valid_probabilities("probabilities")
+    scored = scored.withColumn("reason", F.coalesce("reason", F.when(~usable, "invalid probabilities")))
     good = F.col("reason").isNull()
-    df = with_result_columns(df)
+    scored = with_result_columns(scored)
     merged = {name: F.when(good, F.when(F.col("from_cache"), F.col("cached")[name]).otherwise(F.col(name)))
               for name in RESULT.fieldNames()}
-    identity = [c for c in requests.columns if c not in TEXT_COLUMNS and c != "latency_ms"]
-    return df.select(*identity, "segment", "key", *[c.alias(n) for n, c in merged.items()],
-                     "from_cache", "reason")
+    return scored.select(*identity, "segment", "key", *[c.alias(n) for n, c in merged.items()],
+                         "from_cache", "reason")
+
+
+def _score_open(df: DataFrame, scorer: Scorer, dialect: Dialect, wanted: Column, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``probabilities``; texts of unwanted rows do not travel to the scorer."""
+    ready = prepare(df, dialect)
+    ready = ready.select(*keep, F.when(wanted, F.col("input_text")).alias("input_text"),
+                         F.when(wanted, F.col("x_aux")).alias("x_aux"))
+    return computed_once(scorer(ready).select(*keep, "probabilities"), "probabilities")
 
 
 def results(outcome: DataFrame) -> DataFrame:
@@ -157,7 +177,7 @@ def refused(outcome: DataFrame) -> DataFrame:
 
 
 def new_entries(outcome: DataFrame, now: Column) -> DataFrame:
-    """Cache rows to append for the fresh results."""
+    """Cache rows to append for the fresh results, one per key."""
     return cache_ops.entries(results(outcome), now)
 
 
@@ -166,13 +186,13 @@ def score_and_store(requests: DataFrame, scorer: Scorer, now: Column, outcome_pa
     """Score a request table, write the outcome once, then append the new cache entries.
 
     The entries come from the written outcome, so texts are not scored again. A repeated
-    run overwrites its outcome and appends equal entries, of which lookups see one. Equal
-    requests inside one table are all scored; the cache serves later tables.
+    run overwrites its outcome and appends equal entries, of which lookups see one.
     """
     spark = requests.sparkSession
     cache = None
-    if cache_path and path_exists(spark, cache_path):
-        cache = read_cache(spark, cache_path)
+    if cache_path:
+        exists = path_exists(spark, cache_path)
+        cache = read_cache(spark, cache_path) if exists else spark.createDataFrame([], CACHE_ENTRY)
     outcome = score_requests(requests, scorer, now, cache, **options)
     outcome.write.mode("overwrite").parquet(outcome_path)
     stored = spark.read.schema(outcome.schema).parquet(outcome_path)

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import MAIN, Dialect, has_pii, redact, redacted_types
 from prefrank.operators import contracts
 from prefrank.plans.scoring import score_and_store
+from prefrank.schemas import FEEDBACK
 from prefrank.sources.reports import parse_feedback
 
 
@@ -36,10 +37,10 @@ def read_json_lines(spark: SparkSession, path: str, max_files: int | None = None
     return reader.text(path)
 
 
-def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-          available_now: bool = True) -> StreamingQuery:
-    """Write a stream to Parquet; with ``available_now`` it ends after the present input."""
-    writer = df.writeStream.format("parquet").outputMode(mode)
+def start(df: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+          partition_by=()) -> StreamingQuery:
+    """Append a stream to Parquet; with ``available_now`` it ends after the present input."""
+    writer = df.writeStream.format("parquet").outputMode("append").partitionBy(*partition_by)
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -70,12 +71,20 @@ def feedback_events(raw: DataFrame) -> DataFrame:
     return contracts.check_feedback(contracts.with_feedback_defaults(parse_feedback(raw)))
 
 
-def ingest_feedback(raw: DataFrame, accepted_path: str, rejected_path: str,
-                    checkpoint: str) -> list[StreamingQuery]:
-    """Append acceptable feedback and set the rest aside."""
-    checked = feedback_events(raw)
-    return [start(contracts.valid(checked), accepted_path, f"{checkpoint}/accepted"),
-            start(contracts.rejected(checked), rejected_path, f"{checkpoint}/rejected")]
+def ingest_feedback(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append feedback in one pass, acceptable and broken events in folders of their own.
+
+    See :func:`read_feedback`.
+    """
+    checked = feedback_events(raw).withColumn("accepted", F.size("errors") == 0)
+    return start(checked, path, checkpoint, partition_by=["accepted"])
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """Stored feedback with its ``errors`` and the partition column ``accepted``."""
+    schema = StructType([*FEEDBACK.fields, StructField("errors", ArrayType(StringType())),
+                         StructField("accepted", BooleanType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def redact_messages(df: DataFrame, text: str, dialect: Dialect = MAIN) -> DataFrame:

@@ -90,6 +90,24 @@ def test_cache_round_trip(spark, requests, tmp_path):
     assert plan.refused(again).count() == 3
 
 
+def test_equal_requests_are_scored_once(spark, requests, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def scorer(texts, aux):
+        with open(log, "a") as f:
+            f.writelines("x" for _ in texts)
+        return np.tile([0.2, 0.7, 0.1], (len(texts), 1))
+
+    many = requests.where("conversation_id = 'r0'").crossJoin(spark.range(40)).drop("id")
+    table = many.unionByName(requests)
+    where = [str(tmp_path / n) for n in ("out", "cache")]
+    stored = plan.score_and_store(table, plan.batch_scorer(scorer), F.current_timestamp(), *where)
+    assert stored.count() == 46 and plan.results(stored).count() == 43
+    assert len(open(log).read()) == 3
+    assert tables.read_cache(spark, where[1]).count() == 3
+    assert plan.refused(stored).count() == 3
+
+
 def test_score_and_store(spark, requests, tmp_path):
     scorer, where = plan.fusion_scorer(example_head()), [str(tmp_path / n) for n in ("out", "cache")]
     now = F.to_timestamp(F.lit("2024-01-01 23:59:00"))

@@ -42,12 +42,12 @@ def test_feedback_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "e.json").write_text("\n".join(map(json.dumps, events)) + "\nnot json\n")
     raw = feeds.read_json_lines(spark, str(tmp_path / "in"))
-    for query in feeds.ingest_feedback(raw, *(str(tmp_path / n) for n in ("good", "bad", "state"))):
-        query.awaitTermination()
-    accepted = spark.read.parquet(str(tmp_path / "good")).collect()
+    feeds.ingest_feedback(raw, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stored = feeds.read_feedback(spark, str(tmp_path / "out"))
+    accepted = stored.where("accepted").collect()
     assert len(accepted) == 2 and {r.channel for r in accepted} == {"api"}
     assert accepted[0].timestamp == dt.datetime(2024, 1, 1, 10)
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == 2
+    assert stored.where("not accepted").count() == 2
 
 
 def test_repeats_within_time_to_live(spark, tmp_path):
