@@ -83,8 +83,8 @@ def cache_stats(spark, folder):
 
 
 _EDGES_SQL = ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 10))
-_PSI_SQL = f"""edges AS (SELECT [{_EDGES_SQL}] AS e FROM events WHERE event_id % 2 = 0),
-  binned AS (SELECT len(list_filter(e, lambda x: x < value)) AS bin, event_id % 2 = 0 AS base FROM events, edges),
+_PSI_SQL = f"""edges AS (SELECT [{_EDGES_SQL}] AS e FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+  binned AS (SELECT len(list_filter(e, lambda x: x < value)) AS bin, ts < TIMESTAMP '2024-01-16' AS base FROM events, edges),
   counts AS (SELECT bin, count(*) FILTER (WHERE base) AS b, count(*) FILTER (WHERE NOT base) AS c
              FROM binned GROUP BY bin),
   shares AS (SELECT greatest(coalesce(b, 0)::DOUBLE / (SELECT sum(b) FROM counts), 1e-6) AS p,
@@ -94,14 +94,14 @@ _PSI_SQL = f"""edges AS (SELECT [{_EDGES_SQL}] AS e FROM events WHERE event_id %
 
 
 def _psi(spark, folder):
-    e = v.table(spark, folder, "events")
-    even = F.col("event_id") % 2 == 0
-    return monitoring.population_stability(e.where(even), e.where(~even), "value")
+    e = v.requests(spark, folder).withColumnRenamed("latency_ms", "value")
+    early = F.col("ts") < F.to_timestamp(F.lit("2024-01-16 00:00:00"))
+    return monitoring.population_stability(e.where(early), e.where(~early), "value")
 
 
 @query("psi_drift", f"WITH {_PSI_SQL} SELECT round(psi, 6) AS psi, psi > 0.2 AS drifted FROM psi")
 def psi_drift(spark, folder):
-    """Two samples of one distribution: no drift expected."""
+    """The second half of the month against the first."""
     return _rounded(_psi(spark, folder), "psi")
 
 

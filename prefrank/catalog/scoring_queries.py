@@ -8,7 +8,7 @@ from prefrank.catalog.metric_queries import _BINS, _ECE, _POINT, _auc_sql
 from prefrank.catalog.registry import query
 from prefrank.functions import scoring
 from prefrank.functions.text import cache_key
-from prefrank.operators import cache, dataset, metrics, runs
+from prefrank.operators import cache, dataset, metrics
 from prefrank.plans import evaluation, training
 from prefrank.plans import scoring as plan
 
@@ -172,7 +172,7 @@ def batch_requests(spark, folder):
 def best_candidate(spark, folder):
     clean = dataset.clean_preferences(v.triples(spark, folder))
     scored = plan.score_triples(clean, plan.fusion_scorer(v.example_head()))
-    return runs.best_per_prompt(scored).select("conversation_id", "preferred")
+    return plan.with_preferred_text(scored).select("conversation_id", "preferred")
 
 
 @query("evaluate_triples", f"""WITH {_SCORED_SQL}, {_auc_sql('preds')}, {_BINS}

@@ -48,10 +48,3 @@ def top_checkpoints(history: DataFrame, keep: int = fixed.KEEP_CHECKPOINTS, run:
     """The best ``keep`` epochs of every run, the earlier one on ties."""
     order = Window.partitionBy(run).orderBy(F.desc(metric), epoch)
     return history.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
-
-
-def best_per_prompt(results: DataFrame) -> DataFrame:
-    """The text each scored triple prefers; null on a tie."""
-    from prefrank.functions.scoring import winner_text
-
-    return results.withColumn("preferred", winner_text("winner", "response_a", "response_b"))

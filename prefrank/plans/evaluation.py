@@ -32,7 +32,7 @@ def evaluate(triples: DataFrame, scorer: Scorer, by=(), materialize: bool = True
 def gate_and_report(result: DataFrame, path: str | None = None, rules=fixed.EVALUATION_GATE) -> DataFrame:
     """Apply the gate, then write the report; a failed rule raises before anything is written."""
     gate = metrics.acceptance_gate(result, rules)
-    failed = [r.asDict() for r in gate.where(F.col("status") == "fail").collect()]
+    failed = [r.asDict() for r in gate.where(F.col("status") == "fail").limit(20).collect()]
     if failed:
         raise GateFailed(f"acceptance gate failed: {failed}")
     if path:

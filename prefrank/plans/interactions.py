@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,16 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefrank import fixed_values as fixed
 from prefrank.functions import text
 from prefrank.functions.privacy import PORTUGUESE, Dialect, redact
 from prefrank.operators import routing
 
-from prefrank import fixed_values as fixed
-
 
 def prepare_interactions(df: DataFrame, company: str, rules=fixed.INTENT_RULES,
                          dialect: Dialect = PORTUGUESE) -> DataFrame:
-    """Redact ``message`` and add ``intent`` and the reasoning ``prompt``."""
+    """Redact ``message`` and add ``intent`` and the reasoning ``prompt``.
+
+    Raises ``TypeError`` when the message is not text.
+    """
+    kind = df.schema["message"].dataType
+    if not isinstance(kind, T.StringType):
+        raise TypeError(f"message must be a string column, not {kind.simpleString()}")
     return (df.withColumn("message", redact("message", dialect))
             .withColumn("intent", routing.detect_intent("message", rules))
             .withColumn("prompt", routing.reasoning_prompt("message", "segment", "intent", company)))
@@ -29,8 +35,6 @@ def generate(df: DataFrame, function: Callable, prompt: str = "prompt", out: str
 
     A class is built once per task. ``latency_ms`` is the batch time shared by its rows.
     """
-    import time
-
     schema = T.StructType(df.schema.fields + [
         T.StructField(out, T.StringType()), T.StructField("latency_ms", T.DoubleType())])
 

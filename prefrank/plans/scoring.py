@@ -99,6 +99,11 @@ def with_result_columns(df: DataFrame) -> DataFrame:
     })
 
 
+def with_preferred_text(df: DataFrame) -> DataFrame:
+    """Add the text each scored triple prefers; null on a tie."""
+    return df.withColumn("preferred", scoring.winner_text("winner", "response_a", "response_b"))
+
+
 def score_triples(df: DataFrame, scorer: Scorer, dialect: Dialect = MAIN) -> DataFrame:
     """Score clean triples (with ``segment``); rows blank after redaction are left out."""
     ready = prepare(df, dialect).where(~F.col("rejected")).drop("rejected")

@@ -65,7 +65,11 @@ class TextScan:
         return self._rows
 
     def number(self, chosen: DataFrame) -> DataFrame:
-        """Replace (block, row) of the chosen lines by their line number from 1."""
+        """Replace (block, row) of the chosen lines by their line number from 1.
+
+        Both reads of the files cut them into the same splits, which is what ties a line's
+        place to its split; files must not change in between.
+        """
         splits = self._rows.groupBy("path", "block").agg(
             F.min("row").alias("first"), F.count("*").alias("n"))
         earlier = (Window.partitionBy("path").orderBy("block")
@@ -73,5 +77,7 @@ class TextScan:
         starts = splits.select(
             "path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
         line = F.col("before") + F.col("row") - F.col("first") + 1
+        # Spark reports paths percent-encoded; a plus sign stands for itself in them.
+        plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
         return (chosen.join(starts, ["path", "block"])
-                .withColumn("line", line).drop("block", "row", "first", "before"))
+                .withColumns({"line": line, "path": plain}).drop("block", "row", "first", "before"))

@@ -204,6 +204,10 @@ def test_audit_of_files(spark, tmp_path):
     assert not result.passed and result.per_file.count() == 2
     result.write_report(str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "violations")).count() == 2
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a+b c%.log").write_text("x@y.co")
+    odd = auditing.audit_files(spark, [str(tmp_path / "odd")])
+    assert [r.path.rsplit("/", 1)[1] for r in odd.violations.collect()] == ["a+b c%.log"]
     clean = auditing.audit_files(spark, [str(tmp_path / "sub")], (".csv",))
     assert clean.passed and clean.summary.first().status == "PASS"
 
@@ -238,7 +242,7 @@ def test_interactions_and_submission(spark, tmp_path):
             ("i2", "VAREJO", "quero cancelar por causa da taxa", "cancelamento")]
     df = spark.createDataFrame(rows, "id string, segment string, message string, expected_intent string")
     answered = interactions.answer_interactions(
-        df, lambda prompts: [f"<think>pensa</think>{'CPF' in p} \"a, b\" " + "x" * 600 for p in prompts], "Loja")
+        df, lambda prompts: [f"<think>pensa</think>{'CPF' in p} \"a, b\"\n" + "x" * 600 for p in prompts], "Loja")
     got = {r.id: r for r in answered.collect()}
     assert got["i1"].intent == got["i2"].intent == "reclamacao_taxa"
     assert "[CPF_REMOVIDO]" in got["i1"].prompt and got["i1"].thinking == "pensa"
@@ -248,6 +252,8 @@ def test_interactions_and_submission(spark, tmp_path):
     lines = [r for f in glob.glob(f"{path}/*.csv") for r in csv.DictReader(open(f, newline=""))]
     assert sorted(r["id"] for r in lines) == ["i1", "i2"]
     assert all(len(r["prediction"]) == 500 and '"a, b"' in r["prediction"] for r in lines)
+    with pytest.raises(TypeError):
+        interactions.prepare_interactions(df.withColumn("message", F.lit(1)), "Loja")
     empty = str(tmp_path / "empty")
     reports.write_submission(answered.limit(0), empty)
     assert open(glob.glob(f"{empty}/*.csv")[0]).read().strip() == "id,prediction"
