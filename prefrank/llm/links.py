@@ -2,8 +2,8 @@
 
 Items that fall into one bucket are not paired with each other. One item leads the bucket
 and is compared with the others; what it links becomes one component, and later rounds
-compare only items of different components. When few such pairs are left they are all
-compared. Every pair of one bucket thus ends in one component or has been compared,
+compare only items of different components. When few such pairs are left, or a round has
+not made them much fewer, they are all compared. Every pair of one bucket thus ends in one component or has been compared,
 unless both ends already are connected; no link between components is lost and a bucket
 of n copies costs about n comparisons, not n * n.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from prefrank.llm.scratch import Scratch
 
-MAX_ROUNDS = 6
+MAX_ROUNDS = 4
 #: The rest is compared at once when it has at most so many pairs for each member row.
 REST_PAIRS = 2
 
@@ -70,7 +70,7 @@ def bucket_components(scratch: Scratch, members: DataFrame, verify: Callable[[Da
     to those that are links.
     """
     spark = members.sparkSession
-    labels = checked = None
+    labels = checked = pending = None
     open_rows = members
     for turn in range(MAX_ROUNDS + 1):
         if labels is None:
@@ -92,7 +92,9 @@ def bucket_components(scratch: Scratch, members: DataFrame, verify: Callable[[Da
         if turn:
             state = state.join(heads.select("bucket"), "bucket", "left_semi")
         state = scratch.save(state, "state")
-        rest = turn == MAX_ROUNDS or size["pairs"] <= REST_PAIRS * size["n"]
+        stuck = pending is not None and size["pairs"] > 0.7 * pending
+        rest = turn == MAX_ROUNDS or stuck or size["pairs"] <= REST_PAIRS * size["n"]
+        pending = size["pairs"]
         if rest:
             tagged = state.join(heads.select("bucket", "major"), "bucket")
             minor = tagged.where("comp <> major").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))

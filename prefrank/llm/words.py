@@ -124,7 +124,3 @@ class Words:
         """Code points before each byte of the batch."""
         return np.r_[0, np.cumsum((self.data & 0xC0) != 0x80)]
 
-
-def exact_shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of one text and how often each occurs."""
-    return np.unique(Words(pa.array([text], pa.large_string())).shingles(size)[1], return_counts=True)
