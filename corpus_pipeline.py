@@ -1,11 +1,25 @@
-"""Training-corpus pipeline over ``documents``: a chain of stages, each stored before the next one reads it."""
+"""Training-corpus pipeline over ``documents``: a chain of stages, each stored before the next one reads it.
+
+Every stage but the last returns the columns of its input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from prefrank.llm.decontamination import clean_of_items
 from prefrank.llm.near_dedup import keep_first
+from prefrank.llm.packing_queries import packed
 from prefrank.llm.scratch import Scratch
+from prefrank.llm.secrets import redact_secrets
+from prefrank.llm.toxicity import score_toxicity, train_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. The model learns from the labelled ones among them."""
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +27,34 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return clean_of_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, secrets in their texts are replaced by a mark; ``n_chars`` follows."""
+    columns = docs.columns
+    clean = redact_secrets(docs)
+    if "n_chars" in columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token pieces with their places in sequences."""
+    return packed(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("secrets", secrets), ("packing", packing)]
 
 #: Learned scores, sketches and sub-word tokens have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is stored in the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

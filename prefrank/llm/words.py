@@ -106,20 +106,31 @@ class Words:
         first = self.first[longer]
         return longer, self.part(first, first + size)
 
-    def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    def shingles(self, size: int = SHINGLE, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of ``size`` words inside a text.
 
-        A text of 1 to ``size - 1`` words has one shingle, all its words.
+        A text of 1 to ``size - 1`` words has one shingle, all its words. ``bounds`` (first words
+        of parts, then the number of words) keeps runs inside smaller parts than texts.
         """
         n = len(self.hash)
-        end = self.bounds[1:][self.doc]
+        if bounds is None:
+            bounds, part = self.bounds, self.doc
+        else:
+            part = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        end = bounds[1:][part]
         total, at = np.zeros(n, _U), np.arange(n)
         for j in range(size):
             there = at + j < end
             total[there] += self.hash[at[there] + j] * _PLACE[j]
-        keep = (at + size <= end) | (at == self.bounds[:-1][self.doc])
+        keep = (at + size <= end) | (at == bounds[:-1][part])
         return at[keep], mix(total[keep])
 
+    def lines(self) -> np.ndarray:
+        """First word of every line that has a word, then the number of words."""
+        mark = np.cumsum(self.data == 10)[self.first] if len(self.first) else self.first
+        new = (mark[1:] != mark[:-1]) | (self.doc[1:] != self.doc[:-1])
+        return np.r_[np.flatnonzero(np.r_[True, new]), len(mark)] if len(mark) else np.zeros(1, np.int64)
+
     def chars(self) -> np.ndarray:
         """Code points before each byte of the batch."""
         return np.r_[0, np.cumsum((self.data & 0xC0) != 0x80)]
