@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefrank.llm.scratch import small_batches, tidy
-from prefrank.llm.words import Words, slices
+from prefrank.llm.words import SHINGLE, Words, slices
 
 PASSAGE = 64
 STRIDE = PASSAGE // 2
@@ -44,10 +44,15 @@ _EPS = 1e-9
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """The last sentence of an item is its answer, what comes before its question; one sentence is a question."""
+    """The last sentence of an item is its answer, what comes before its question.
+
+    An item without five words before its last sentence is a question as a whole.
+    """
     body = text.strip()
     ends = [m.end() for m in re.finditer(r"[.!?:]\s+|\n+", body)]
-    return (body[:ends[-1]], body[ends[-1]:]) if ends else (body, "")
+    if not ends or len(Words(pa.array([body[:ends[-1]]])).hash) < SHINGLE:
+        return body, ""
+    return body[:ends[-1]], body[ends[-1]:]
 
 
 class Postings:

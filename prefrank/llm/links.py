@@ -40,15 +40,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     while last[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.save(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-            .distinct(), "large")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = scratch.save(
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-            .union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+            .union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         scratch.drop(edges)
-        scratch.drop(large)
         edges, now = small, _fingerprint(small)
         if now == last:
             break
@@ -57,6 +54,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _nearer(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every label becomes the least of its own and its neighbours'; ``edges`` (node, via) go both ways."""
+    seen = edges.join(labels.withColumnRenamed("node", "via"), "via").select("node", "root")
+    return seen.union(labels).groupBy("node").agg(F.min("root").alias("root"))
+
+
 def shared_buckets(members: DataFrame) -> DataFrame:
     """Rows of (bucket, node) whose bucket holds two or more nodes; rows must be distinct."""
     several = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -70,28 +73,21 @@ def bucket_components(scratch: Scratch, members: DataFrame, verify: Callable[[Da
     to those that are links.
     """
     spark = members.sparkSession
-    labels = checked = pending = None
-    open_rows = members
+    kind = members.schema["node"].dataType.simpleString()
+    labels = checked = links = pending = None
+    state = members.withColumn("comp", F.col("node"))
     for turn in range(MAX_ROUNDS + 1):
-        if labels is None:
-            state = open_rows.withColumn("comp", F.col("node"))
-        else:
-            state = open_rows.select("bucket", "node").join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("root", "node").alias("comp"))
         parts = state.groupBy("bucket", "comp").agg(
             F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("lead"))
-        heads = parts.groupBy("bucket").agg(
+        heads = scratch.save(parts.groupBy("bucket").agg(
             F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"),
             F.max(F.struct("n", "comp"))["comp"].alias("major"),
             F.min(F.struct("lead", "comp")).alias("first")).where("comps > 1").select(
-            "bucket", "n", "n2", "major", F.col("first.lead.node").alias("lead"), F.col("first.comp").alias("lead_comp"))
-        heads = scratch.save(heads, "heads")
+            "bucket", "n", "n2", "major", F.col("first.lead.node").alias("lead"),
+            F.col("first.comp").alias("lead_comp")), "heads")
         size = heads.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs")).first()
         if not size["n"]:
             break
-        if turn:
-            state = state.join(heads.select("bucket"), "bucket", "left_semi")
-        state = scratch.save(state, "state")
         stuck = pending is not None and size["pairs"] > 0.7 * pending
         rest = turn == MAX_ROUNDS or stuck or size["pairs"] <= REST_PAIRS * size["n"]
         pending = size["pairs"]
@@ -107,15 +103,31 @@ def bucket_components(scratch: Scratch, members: DataFrame, verify: Callable[[Da
         if checked is not None:
             pairs = pairs.join(checked, ["u", "v"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
-        links = verify(pairs)
-        if labels is not None:
-            links = links.union(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        labels = components(scratch, scratch.save(links, "links"))
+        found = scratch.save(verify(pairs), "links")
+        links = found if links is None else links.union(found)
         if rest:
             break
         checked = pairs if checked is None else checked.union(pairs)
-        open_rows = state
-    if labels is None:
-        kind = members.schema["node"].dataType.simpleString()
+        # Two steps take the whole star of a leader to one label.
+        edges = found.select(F.col("u").alias("node"), F.col("v").alias("via")).union(
+            found.select(F.col("v").alias("node"), F.col("u").alias("via")))
+        own = edges.select("node", F.col("node").alias("root")).distinct()
+        if labels is not None:
+            own = own.union(labels).groupBy("node").agg(F.min("root").alias("root"))
+        labels = scratch.save(_nearer(_nearer(own, edges), edges), "labels")
+        open_rows = members.join(heads.select("bucket"), "bucket", "left_semi")
+        state = scratch.save(open_rows.join(labels, "node", "left").select(
+            "bucket", "node", F.coalesce("root", "node").alias("comp")), "state")
+    if links is None:
         return spark.createDataFrame([], f"node {kind}, root {kind}")
-    return labels
+    if labels is None:
+        return components(scratch, links)
+    # Labels stay inside components; components of the labels that links still connect join them.
+    one, two = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+    joint = links.join(one, "u", "left").join(two, "v", "left").select(
+        F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    above = components(scratch, joint.union(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
+                                            .join(labels.select(F.col("root").alias("u")).distinct(), "u", "left_semi")))
+    merged = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return labels.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
+        above.join(labels.select("node"), "node", "left_anti"))

@@ -21,7 +21,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def _after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+    return F.when(at > 0, F.substr(url, at + 3))
 
 
 def url_host(url: Column) -> Column:
@@ -62,8 +62,8 @@ def _block(value: Column, blocks: int) -> Column:
 
 def _bits(value: Column) -> list[Column]:
     code = F.xxhash64(value, F.lit(1))
-    return [F.shiftleft(F.lit(1).cast("bigint"), F.shiftrightunsigned(code, 6 * i).bitwiseAND(63).cast("int"))
-            for i in range(BLOCK_WORDS)]
+    place = [F.shiftrightunsigned(code, 6 * i).bitwiseAND(63).cast("int") for i in range(BLOCK_WORDS)]
+    return [F.call_function("shiftleft", F.lit(1).cast("bigint"), at) for at in place]
 
 
 def blocked_bloom(values: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
