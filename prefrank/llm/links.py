@@ -3,23 +3,26 @@
 Items that fall into one bucket are not paired with each other. One item leads the bucket
 and is compared with the others; what it links becomes one component, and later rounds
 compare only items of different components. When few such pairs are left, or a round has
-not made them much fewer, they are all compared. Every pair of one bucket thus ends in one component or has been compared,
+not made them much fewer, they are all compared: as pairs in small buckets, in large ones as
+blocks of items against blocks of items, so that no row stands for a pair. Every pair of one bucket thus ends in one component or has been compared,
 unless both ends already are connected; no link between components is lost and a bucket
 of n copies costs about n comparisons, not n * n.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefrank.llm.scratch import Scratch
+from prefrank.llm.scratch import Scratch, small_batches
+from prefrank.llm.similarity import alike, links_between
 
 MAX_ROUNDS = 4
 #: The rest is compared at once when it has at most so many pairs for each member row.
 REST_PAIRS = 2
+#: Items in a block, and the largest bucket whose rest is compared as pairs.
+BLOCK = 128
+PAIRED = 32
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -66,12 +69,35 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket", "left_semi")
 
 
-def bucket_components(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of all nodes that verified links connect.
+def _block_links(scratch: Scratch, tagged: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """Links between the items outside a bucket's largest component and all its items."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
+    rows = tagged.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).join(bodies.withColumnRenamed("key", "node"), "node")
+    fields = F.collect_list(F.struct("node", "comp", "text"))
+    every = rows.groupBy("bucket", "block").agg(fields.alias("a")).select(
+        "bucket", F.col("a.node").alias("n1"), F.col("a.comp").alias("c1"), F.col("a.text").alias("t1"))
+    minor = rows.where("comp <> major").groupBy("bucket", "block").agg(fields.alias("a")).select(
+        "bucket", F.col("a.node").alias("n2"), F.col("a.comp").alias("c2"), F.col("a.text").alias("t2"))
+    compare = links_between(threshold)
+    small_batches(tagged.sparkSession, 8)  # a row holds up to two blocks of whole texts
+    found = scratch.save(minor.join(every, "bucket").select(
+        F.inline(compare("n1", "c1", "t1", "n2", "c2", "t2"))).distinct(), "block-links")
+    small_batches(tagged.sparkSession)
+    return found
+
+
+def bucket_components(scratch: Scratch, members: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) of all nodes that links of ``threshold`` or more connect.
 
-    ``members``: distinct (bucket, node), saved. ``verify``: from distinct pairs (u, v), u < v,
-    to those that are links.
+    ``members``: distinct (bucket, node), saved. ``bodies``: (key, text) of every node, saved.
     """
+    left = bodies.select(F.col("key").alias("u"), F.col("text").alias("left_text"))
+    right = bodies.select(F.col("key").alias("v"), F.col("text").alias("right_text"))
+    same = alike(threshold)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.join(right, "v").join(left, "u").where(same("left_text", "right_text")).select("u", "v")
+
     spark = members.sparkSession
     kind = members.schema["node"].dataType.simpleString()
     labels = checked = links = pending = None
@@ -92,7 +118,9 @@ def bucket_components(scratch: Scratch, members: DataFrame, verify: Callable[[Da
         rest = turn == MAX_ROUNDS or stuck or size["pairs"] <= REST_PAIRS * size["n"]
         pending = size["pairs"]
         if rest:
-            tagged = state.join(heads.select("bucket", "major"), "bucket")
+            tagged = state.join(heads.select("bucket", "major", "n"), "bucket")
+            large = tagged.where(F.col("n") > PAIRED)
+            tagged = tagged.where(F.col("n") <= PAIRED)
             minor = tagged.where("comp <> major").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
             pairs = minor.join(tagged, "bucket").where("ca <> comp and (comp = major or a < node)").select(
                 "a", F.col("node").alias("b"))
@@ -106,6 +134,7 @@ def bucket_components(scratch: Scratch, members: DataFrame, verify: Callable[[Da
         found = scratch.save(verify(pairs), "links")
         links = found if links is None else links.union(found)
         if rest:
+            links = links.union(_block_links(scratch, large, bodies, threshold))
             break
         checked = pairs if checked is None else checked.union(pairs)
         # Two steps take the whole star of a leader to one label.

@@ -11,8 +11,6 @@ are compared exactly, and linked texts form classes.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,9 +18,9 @@ from pyspark.sql import functions as F
 
 from prefrank.llm.links import bucket_components, shared_buckets
 from prefrank.llm.scratch import Scratch, small_batches, tidy
+from prefrank.llm.similarity import THRESHOLD, weighted_shingles
 from prefrank.llm.words import MASK, Words, mix, slices
 
-THRESHOLD = 0.8
 #: 36 bands of 7 registers: a pair at similarity 0.8 shares a band with probability 0.9998, one at 0.4 with 0.06.
 BANDS = 36
 ROWS = 7
@@ -57,26 +55,6 @@ def probminhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
     return sketch.reshape(docs, registers)
 
 
-def weighted_shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, weight) of each distinct shingle of each text, in this order."""
-    at, shingle = words.shingles()
-    doc = words.doc[at]
-    order = np.lexsort((shingle, doc))
-    doc, shingle = doc[order], shingle[order]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])]) if len(doc) else at
-    return doc[new], shingle[new], 1.0 + np.log(np.diff(np.r_[new, len(doc)]))
-
-
-def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted distinct shingles and their weights, for each text."""
-    out = []
-    for part in slices(texts):
-        doc, shingle, weight = weighted_shingles(Words(part))
-        at = np.searchsorted(doc, np.arange(len(part) + 1))
-        out += [(shingle[i:j], weight[i:j]) for i, j in zip(at, at[1:])]
-    return out
-
-
 def band_keys(bands: int = BANDS, rows: int = ROWS):
     """UDF: band keys of each text; empty for a text without words."""
 
@@ -98,45 +76,6 @@ def band_keys(bands: int = BANDS, rows: int = ROWS):
     return keys
 
 
-def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
-                        i: np.ndarray, j: np.ndarray) -> float:
-    """Sum over shared elements k of 1 / sum_l max(a_l / a_k, b_l / b_k); ``i``, ``j`` are their places."""
-    x, y = a[1][i], b[1][j]
-    order = np.argsort(x / y, kind="stable")
-    x, y = x[order], y[order]
-    ratio = x / y
-    above = a[1].sum() - x.sum() + np.r_[np.cumsum(x[::-1])[::-1], 0.0]
-    below = b[1].sum() - y.sum() + np.r_[0.0, np.cumsum(y)]
-    at = np.searchsorted(ratio, ratio, side="left")
-    return float((1.0 / (above[at] / x + below[at] / y)).sum())
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the exact probability Jaccard and the plain Jaccard of two bags."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    i = np.flatnonzero(b[0][at] == a[0])
-    if not len(i):
-        return 0.0
-    plain = len(i) / (len(a[0]) + len(b[0]) - len(i))
-    if a[1].max() == 1.0 == b[1].max():
-        return plain  # equal weights: both measures are the same
-    return max(plain, probability_jaccard(a, b, i, at[i]))
-
-
-def alike(threshold: float = THRESHOLD):
-    """UDF: whether the exact similarity of two texts reaches ``threshold``."""
-
-    @F.arrow_udf("boolean")
-    def check(left: pa.Array, right: pa.Array) -> pa.Array:
-        left = left.dictionary_encode()  # a leader meets many texts
-        heads, at = bags(left.dictionary), left.indices.to_numpy()
-        return pa.array([similarity(heads[i], b) >= threshold for i, b in zip(at, bags(right), strict=True)], pa.bool_())
-
-    return check
-
-
 def content_key(text: str) -> Column:
     """128-bit key of the raw text; null is an empty text."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
@@ -164,14 +103,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", id_column: str =
     bodies = scratch.save(
         rows_.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")),
         "bodies")
-    left = bodies.select(F.col("key").alias("u"), F.col("text").alias("left_text"))
-    right = bodies.select(F.col("key").alias("v"), F.col("text").alias("right_text"))
-    same = alike(threshold)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.join(right, "v").join(left, "u").where(same("left_text", "right_text")).select("u", "v")
-
-    labels = bucket_components(scratch, members, verify)
+    labels = bucket_components(scratch, members, bodies, threshold)
     named = texts.select("key", "id", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "id", "n", F.coalesce("root", "key").alias("root"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")

@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefrank.llm.links import bucket_components, shared_buckets
-from prefrank.llm.near_dedup import alike
 from prefrank.llm.scratch import Scratch, small_batches
+from prefrank.llm.similarity import THRESHOLD
 from prefrank.llm.url_filter import blocked_bloom, probe
 from prefrank.llm.words import Words, mix, slices
 
-THRESHOLD = 0.8
 RECALL = 0.995
 HASHES = 30
 PARAGRAPH_WORDS = 20
@@ -190,14 +189,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_column: str = "doc
     wanted = scratch.save(members.select(F.col("node").alias("key")).distinct(), "wanted")
     found = _only(scratch, source.select(F.inline(_paragraph_texts()("text"))), wanted, wanted.count())
     bodies = scratch.save(found.groupBy("key").agg(F.first("text").alias("text")), "bodies")
-    left = bodies.select(F.col("key").alias("u"), F.col("text").alias("left_text"))
-    right = bodies.select(F.col("key").alias("v"), F.col("text").alias("right_text"))
-    same = alike(threshold)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.join(right, "v").join(left, "u").where(same("left_text", "right_text")).select("u", "v")
-
-    labels = bucket_components(scratch, members, verify).select(F.col("node").alias("key"), "root")
+    labels = bucket_components(scratch, members, bodies, threshold).select(F.col("node").alias("key"), "root")
     # A key that is no paragraph's, or is linked with none, is a class of its own; most are, and stay out of the join.
     alone = keys.join(labels, "key", "left_anti").where("low < high").select(
         "key", F.col("key").alias("root"), F.col("n").alias("occurrences"), "first")
