@@ -89,10 +89,15 @@ def stream_sessions(spark, folder):
     return run(spark, sessions, "sessions").select("user_id", stamp("session_start"), "turns")
 
 
-@query("stream_repeat_suppression", "SELECT DISTINCT user_id FROM events")
+@query("stream_repeat_suppression", f"""WITH RECURSIVE kept(user_id, ts) AS (
+    SELECT user_id, min(ts) FROM events GROUP BY user_id
+    UNION ALL
+    SELECT k.user_id, min(e.ts) FROM kept k JOIN events e ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 3600 SECONDS
+    GROUP BY k.user_id)
+  SELECT user_id, strftime(ts, {_STAMP_SQL}) AS ts FROM kept""")
 def stream_repeat_suppression(spark, folder):
     first = feeds.suppress_repeats(events(spark, folder).select("user_id", "ts"), "user_id", "ts")
-    return run(spark, first, "repeats").select("user_id").distinct()
+    return run(spark, first, "repeats").select("user_id", stamp("ts"))
 
 
 @query("stream_feedback_join", """SELECT v.event_id AS predicted_id, p.event_id AS feedback_id

@@ -24,10 +24,11 @@ _NAMES = list(zip(
 
 
 @query("pair_features", f"""WITH {v.PAIRS_SQL}, {v.pair_features_sql('f', 'pairs')}
-  SELECT doc_id, {', '.join(f'round(x{i}, 6) AS {n}' for n, i in _NAMES)} FROM f""")
+  SELECT doc_id, {', '.join(f'floor(x{i} * 1e6 + 0.5) / 1e6 AS {n}' for n, i in _NAMES)} FROM f""")
 def pair_features(spark, folder):
     rows = features.with_pair_features(v.document_pairs(spark, folder))
-    return rows.select("doc_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n, _ in _NAMES])
+    # Ratios can be exact ties, which round() breaks differently in different engines.
+    return rows.select("doc_id", *[(F.floor(F.col(n).cast("double") * 1e6 + 0.5) / 1e6).alias(n) for n, _ in _NAMES])
 
 
 @query("aux_vectors", f"""WITH {v.CLEAN_SQL}, {v.pair_features_sql('f', 'clean')}

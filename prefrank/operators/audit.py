@@ -14,11 +14,11 @@ LINE_BREAK = r"\r\n|\r|\n"
 
 def split_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Numbered lines of a text column, from 1; the text after a final break is no line."""
-    pieces = df.select(*keep, F.split(text, LINE_BREAK, -1).alias("_pieces"))
-    lines = pieces.select(*keep, F.size("_pieces").alias("_n"),
-                          F.posexplode("_pieces").alias("_at", "content"))
-    final = (F.col("_at") == F.col("_n") - 1) & (F.col("content") == "")
-    return lines.where(~final).select(*keep, (F.col("_at") + 1).alias("line"), "content")
+    # The final break is cut off before the lines are, so that no line row has to carry the array.
+    body = F.regexp_replace(F.col(text), rf"({LINE_BREAK})\z", "")
+    lines = df.where(F.col(text) != "").select(
+        *keep, F.posexplode(F.split(body, LINE_BREAK, -1)).alias("_at", "content"))
+    return lines.select(*keep, (F.col("_at") + 1).alias("line"), "content")
 
 
 def violations(lines: DataFrame, content: str = "content") -> DataFrame:
@@ -41,11 +41,12 @@ def distinct_files(files: DataFrame, path: str = "path") -> Column:
     return files.select(path).distinct().agg(F.count("*")).scalar()
 
 
-def audit_summary(scanned: Column, found: DataFrame) -> DataFrame:
-    """Files scanned, findings, pass or fail."""
+def audit_summary(scanned: Column, found: DataFrame, skipped: int = 0) -> DataFrame:
+    """Files scanned, findings and status: FAIL with findings, INCOMPLETE if files were passed over, else PASS."""
+    clean = "INCOMPLETE" if skipped else "PASS"
     return found.agg(F.count("*").alias("total_violations")).select(
-        scanned.alias("files_scanned"), "total_violations",
-        F.when(F.col("total_violations") > 0, "FAIL").otherwise("PASS").alias("status"))
+        scanned.alias("files_scanned"), F.lit(skipped).cast("long").alias("files_skipped"), "total_violations",
+        F.when(F.col("total_violations") > 0, "FAIL").otherwise(clean).alias("status"))
 
 
 def report_rows(found: DataFrame, path: str = "path", lines_per_row: int = 10_000) -> DataFrame:

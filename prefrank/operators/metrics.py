@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
 from prefrank.functions import scoring
-from prefrank.operators.ordering import BUCKETS, bucket_offsets, with_bucket
+from prefrank.operators.ordering import bucket_offsets, with_bucket
 
 
 def labelled(df: DataFrame, label: str = "label") -> DataFrame:
@@ -55,7 +55,7 @@ def point_metrics(df: DataFrame, by=()) -> DataFrame:
     return _averages(df, by).drop("ece", "off")
 
 
-def auc_by_class(df: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
+def auc_by_class(df: DataFrame, by=(), buckets: int | None = None) -> DataFrame:
     """One-vs-rest area under the ROC curve of every class.
 
     Pairs are counted as positives times negatives below plus half the ties. Scores
@@ -87,7 +87,7 @@ def auc_by_class(df: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def _mean_auc(df: DataFrame, by, buckets: int) -> DataFrame:
+def _mean_auc(df: DataFrame, by, buckets: int | None) -> DataFrame:
     """Mean of the class AUCs, 0 when a class has no label."""
     mean = F.when(F.count("auc") == fixed.NUM_CLASSES, F.avg("auc")).otherwise(0.0)
     return auc_by_class(df, by, buckets).groupBy(*by).agg(mean.alias("auc"))
@@ -102,7 +102,7 @@ def _side_by_side(left: DataFrame, right: DataFrame, by) -> DataFrame:
     return left.withColumns({c: right.select(c).scalar() for c in right.columns})
 
 
-def evaluation_metrics(df: DataFrame, by=(), n_bins: int = 10, buckets: int = BUCKETS) -> DataFrame:
+def evaluation_metrics(df: DataFrame, by=(), n_bins: int = 10, buckets: int | None = None) -> DataFrame:
     """Accuracy, macro AUC, log-loss, mean confidence, calibration error and row count.
 
     Zeros for an empty table. The AUC is 0 when a class has no label or a row does not
@@ -114,7 +114,7 @@ def evaluation_metrics(df: DataFrame, by=(), n_bins: int = 10, buckets: int = BU
         *by, "accuracy", "auc", "log_loss", "preference_score_mean", "ece", "n")
 
 
-def classification_metrics(df: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
+def classification_metrics(df: DataFrame, by=(), buckets: int | None = None) -> DataFrame:
     """The bundle without calibration error."""
     return evaluation_metrics(df, by, buckets=buckets).drop("ece")
 

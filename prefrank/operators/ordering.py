@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 
 from prefrank.session import computed_once
 
+#: Pieces an ordered domain is cut into at least; more where the session has more shuffle partitions.
 BUCKETS = 256
 
 
-def cut_points(df: DataFrame, order: str, buckets: int = BUCKETS, also=()) -> Column:
+def pieces(df: DataFrame, buckets: int | None) -> int:
+    """``buckets``, or four for each shuffle partition of the session, `BUCKETS` at least."""
+    return buckets or max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def cut_points(df: DataFrame, order: str, buckets: int | None = None, also=()) -> Column:
     """Approximate quantiles of ``order`` as a scalar-subquery column of doubles.
 
     ``also`` are aggregates evaluated alongside, so that this branch reads the same
     columns as the main one and Spark reuses the exchange below both.
     """
+    buckets = pieces(df, buckets)
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = F.percentile_approx(F.col(order).cast("double"), shares, F.lit(8 * buckets))
     known = F.coalesce(F.array_distinct(edges), F.array().cast("array<double>"))
@@ -43,10 +50,11 @@ def count_below(edges: str, value: Column, most: int) -> Column:
         lambda at, step: F.when(F.get(sorted_edges, at + step - 1) < value, at + step).otherwise(at))
 
 
-def with_bucket(df: DataFrame, order: str, buckets: int = BUCKETS, out: str = "bucket",
+def with_bucket(df: DataFrame, order: str, buckets: int | None = None, out: str = "bucket",
                 also=()) -> DataFrame:
     """Add the number of cut points below ``order``; equal values share a bucket."""
     value = F.col(order).cast("double")
+    buckets = pieces(df, buckets)
     placed = (df.withColumn("_edges", cut_points(df, order, buckets, also))
               .withColumn(out, count_below("_edges", value, buckets)).drop("_edges"))
     return computed_once(placed, out)
@@ -61,10 +69,10 @@ def bucket_offsets(totals: DataFrame, keys: list[str], amount: str, out: str,
 
 
 def with_position(df: DataFrame, order: str, out: str = "position",
-                  buckets: int = BUCKETS) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """Add the global 0-based position by a unique numeric column ``order``.
 
-    A task sorts ``1 / buckets`` of the rows, so raise ``buckets`` with the table.
+    A task sorts about ``1 / buckets`` of the rows.
     """
     placed = with_bucket(df, order, buckets)
     totals = placed.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -79,14 +87,14 @@ def with_position(df: DataFrame, order: str, out: str = "position",
 
 
 def chunk(df: DataFrame, order: str, size: int, out: str = "chunk",
-          buckets: int = BUCKETS) -> DataFrame:
+          buckets: int | None = None) -> DataFrame:
     """Number fixed-size chunks of rows in global order."""
     return (with_position(df, order, "_position", buckets)
             .withColumn(out, F.floor(F.col("_position") / size))
             .drop("_position"))
 
 
-def exact_quantiles(df: DataFrame, value: str, shares, by=(), buckets: int = BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, shares, by=(), buckets: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles, exact at any size.
 
     Rows collapse to (keys, value, count) before anything is ordered. The bucket

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import _col
 
-MAX_RULES = 10_000
-
 
 def detect_intent(message, rules=fixed.INTENT_RULES, default: str = fixed.DEFAULT_INTENT) -> Column:
     """Intent of the first rule whose keyword the lower-cased message contains."""
@@ -23,18 +21,24 @@ def match_rule_table(df: DataFrame, rules: DataFrame, message: str = "message",
                      default: str = fixed.DEFAULT_INTENT, out: str = "intent") -> DataFrame:
     """The same with rules from a table (ord, keyword, intent).
 
-    The rules travel as one array value, so no row pairs are built. A table over
-    ``MAX_RULES`` rows stops the query instead of growing that value.
+    Keywords meet messages in an equi-join on their first three characters (shorter ones on
+    all they have), so neither table has to fit anywhere. Equal messages are matched once. The
+    rule with the smallest ``ord`` wins; an empty keyword is in every message.
     """
-    packed = rules.agg(F.sort_array(F.collect_list(F.struct("ord", "keyword", "intent"))).alias("r"))
-    checked = packed.select(
-        F.when(F.size("r") <= MAX_RULES, F.col("r"))
-        .otherwise(F.raise_error(F.lit(f"rule table exceeds {MAX_RULES} rows"))))
     lower = F.lower(F.col(message))
-    hits = F.filter("_rules", lambda r: F.contains(lower, r["keyword"]))
-    first = F.try_element_at(hits, F.lit(1))["intent"]
-    return (df.withColumn("_rules", checked.scalar())
-            .withColumn(out, F.coalesce(first, F.lit(default))).drop("_rules"))
+    texts = df.where(F.col(message).isNotNull()).select(lower.alias("_text")).distinct().withColumn("_key", F.md5("_text"))
+    chars = F.regexp_extract_all("_text", F.lit("(?s)."), F.lit(0))  # substring() would count from the start each time
+    grams = F.get(F.transform(F.array(chars), lambda c: F.array_distinct(F.concat(
+        F.array(F.lit("")), c, F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.get(c, i + 1), F.lit("")))),
+        F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.get(c, i + 1), F.lit("")), F.coalesce(F.get(c, i + 2), F.lit(""))))
+    ))), 0)
+    keyed = rules.where(F.col("keyword").isNotNull()).select(
+        F.substring("keyword", 1, 3).alias("_gram"), "ord", "keyword", "intent")
+    near = texts.select("_key", F.explode(grams).alias("_gram")).join(keyed, "_gram").drop("_gram")
+    hits = near.join(texts, "_key").where(F.contains("_text", F.col("keyword")))
+    best = hits.groupBy("_text").agg(F.min_by("intent", F.struct("ord", "keyword", "intent")).alias("_intent"))
+    return (df.withColumn("_lower", lower).join(best, F.col("_lower") == F.col("_text"), "left")
+            .withColumn(out, F.coalesce("_intent", F.lit(default))).drop("_lower", "_text", "_intent"))
 
 
 def _lookup(mapping: dict, key, default: str) -> Column:

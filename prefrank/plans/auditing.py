@@ -15,14 +15,15 @@ from prefrank.sources.text_files import TextScan
 
 @dataclass(frozen=True)
 class Audit:
-    """Number of files and lazy table of findings of one audit."""
+    """Number of files, lazy table of findings and number of files passed over of one audit."""
 
     files: int
     violations: DataFrame
+    skipped: int = 0
 
     @property
     def summary(self) -> DataFrame:
-        return audit.audit_summary(F.lit(self.files).cast("long"), self.violations)
+        return audit.audit_summary(F.lit(self.files).cast("long"), self.violations, self.skipped)
 
     @property
     def per_file(self) -> DataFrame:
@@ -30,7 +31,7 @@ class Audit:
 
     @property
     def passed(self) -> bool:
-        return audit.first_violation(self.violations).isEmpty()
+        return not self.skipped and audit.first_violation(self.violations).isEmpty()
 
     def write_report(self, path: str) -> None:
         """Summary and findings as JSON, below ``path``."""
@@ -39,7 +40,11 @@ class Audit:
 
 
 def audit_files(spark: SparkSession, targets, extensions=fixed.AUDIT_EXTENSIONS) -> Audit:
-    """Scan files and folders; overlapping targets count once, missing ones are skipped."""
+    """Scan files and folders; overlapping targets count once, missing ones are skipped.
+
+    A file that cannot be read is an error. Files with hidden names are counted, and an audit
+    that passed over any is INCOMPLETE, never a PASS.
+    """
     scan = TextScan(spark, targets, extensions)
     found = scan.number(audit.violations(scan.lines)).select("path", "line", "content")
-    return Audit(scan.files, found)
+    return Audit(scan.files, found, scan.skipped)

@@ -11,32 +11,12 @@ from pyspark.sql.types import DateType, StructField, StructType
 from prefrank.operators import dataset
 from prefrank.schemas import CACHE_ENTRY, RUN_HISTORY
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table that fits one input split over all cores.
-
-    Such a table often sits in one row group and would keep one core busy while the
-    others idle. The shuffle moves at most one split; larger tables stay as they are.
-    """
-    spark = df.sparkSession
-    # Stays in the JVM: a large table may have millions of files.
-    files = df._jdf.inputFiles()
-    cores = spark.sparkContext.defaultParallelism
-    if len(files) == 0 or len(files) >= cores:
-        return df
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    size = sum(path_of(f).getFileSystem(conf).getFileStatus(path_of(f)).getLen() for f in files)
-    return df.repartition(cores) if size <= SPLIT_BYTES else df
-
-
 def read_preferences(spark: SparkSession, path: str, max_rows: int | None = None,
                      order: str | None = None,
                      observation: Observation | None = None) -> DataFrame:

@@ -27,9 +27,31 @@ def _reader(spark: SparkSession, extensions):
     return (spark.read.format("text")
             .option("recursiveFileLookup", True)
             # At least one character before the dot: '.log' has no extension.
-            .option("pathGlobFilter", "?*.{" + names + "}")
-            .option("ignoreCorruptFiles", True)
-            .option("ignoreMissingFiles", True))
+            .option("pathGlobFilter", "?*.{" + names + "}"))
+
+
+def hidden_files(spark: SparkSession, targets, extensions=fixed.AUDIT_EXTENSIONS) -> int:
+    """Files with a wanted extension that Spark's file sources pass over.
+
+    These sources skip names, and folders, that begin with ``_`` or ``.``. The listing reads
+    file names only.
+    """
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = set()
+    for target in targets:
+        top = path_of(target)
+        store = top.getFileSystem(conf)
+        base = store.makeQualified(top).toString().rstrip("/")
+        listing = store.listFiles(top, True)
+        while listing.hasNext():
+            name = listing.next().getPath().toString()
+            below = name[len(base):].strip("/").split("/") if name.startswith(base) else [name.rsplit("/", 1)[-1]]
+            parts = below if below != [""] else [name.rsplit("/", 1)[-1]]
+            wanted = any(parts[-1].endswith(e) and len(parts[-1]) > len(e) for e in extensions)
+            if wanted and any(p.startswith(("_", ".")) for p in parts):
+                found.add(name)
+    return len(found)
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -46,11 +68,12 @@ class TextScan:
 
     def __init__(self, spark: SparkSession, targets, extensions=fixed.AUDIT_EXTENSIONS):
         self.targets = existing_targets(spark, targets)
-        self.files = 0
+        self.files = self.skipped = 0
         if not self.targets:
             self._rows = _empty(spark, "path string, block long, row long, content string")
             return
         raw = _reader(spark, extensions).load(self.targets)
+        self.skipped = hidden_files(spark, self.targets, extensions)
         # The scan's own file list, each file once and empty ones included; only its length leaves the JVM.
         self.files = len(raw._jdf.inputFiles())
         self._rows = raw.select(

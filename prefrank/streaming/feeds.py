@@ -2,14 +2,18 @@
 
 Every function maps a streaming DataFrame to a streaming DataFrame (and works on a
 batch one); ``start`` attaches a Parquet sink with its checkpoint below a shared
-folder. State is bounded by watermarks throughout.
+folder. State is bounded by watermarks, but for the aggregates of `start_replacing`:
+complete mode keeps every window.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from prefrank import fixed_values as fixed
@@ -96,12 +100,38 @@ def redact_messages(df: DataFrame, text: str, dialect: Dialect = MAIN) -> DataFr
 
 def suppress_repeats(df: DataFrame, key: str, timestamp: str,
                      ttl: int = fixed.CACHE_TTL_SECONDS) -> DataFrame:
-    """First request of a key; repeats within the time to live are dropped.
-
-    A key is forgotten when the watermark passes its expiry, so a repeat in the moments
-    between the two can still count as one.
+    """Requests of a key that are not answered by an earlier one within its time to live.
+
+    A request is kept, and answers others, if it comes ``ttl`` seconds or more after the last
+    kept one of its key; of equal times one is kept. State is the last kept time of a key,
+    forgotten when the watermark passes its expiry: what comes later would be kept anyway.
+    So the rows kept do not depend on how the input was cut into micro-batches, as long as
+    rows are at most ``ttl`` seconds late. One key's rows of one micro-batch are held in
+    memory together; bound micro-batches with ``max_files``.
     """
-    return df.withWatermark(timestamp, f"{ttl} seconds").dropDuplicatesWithinWatermark([key])
+    micros = ttl * 1_000_000
+
+    def keep(_, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True)
+        times = rows[timestamp].astype("datetime64[us]").astype("int64").to_numpy()
+        order = np.argsort(times, kind="stable")
+        ordered, chosen = times[order], []
+        at = int(np.searchsorted(ordered, state.get[0] + micros)) if state.exists else 0
+        while at < len(ordered):
+            chosen.append(order[at])
+            at = int(np.searchsorted(ordered, ordered[at] + micros))
+        if chosen:
+            state.update((int(times[chosen[-1]]),))
+        if state.exists:
+            state.setTimeoutTimestamp(max(state.get[0] // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[chosen]
+
+    timed = df.where(F.col(timestamp).isNotNull()).withWatermark(timestamp, f"{ttl} seconds")
+    return timed.groupBy(key).applyInPandasWithState(
+        keep, df.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def match_feedback(predictions: DataFrame, feedback: DataFrame, key: str, made_at: str,

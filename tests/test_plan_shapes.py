@@ -6,7 +6,6 @@ import re
 import pytest
 
 from __spark_entry__ import queries
-from prefrank.catalog import views
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="check tables are absent")
@@ -24,11 +23,9 @@ EAGER = {"train_classifier", "evaluate_triples", "audit_file_tree"}
 @pytest.fixture(scope="module")
 def plan(spark):
     """Executed plan as a large table would get it: nothing small enough to broadcast by itself."""
-    before, heavy = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), views.HEAVY
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    views.HEAVY = ()
     yield lambda name: queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    views.HEAVY = heavy
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 

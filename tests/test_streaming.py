@@ -62,6 +62,23 @@ def test_repeats_within_time_to_live(spark, tmp_path):
     assert sorted(r.ts for r in spark.read.parquet(out).where("key = 'k'").collect()) == [BEGIN, BEGIN + dt.timedelta(minutes=180)]
 
 
+@pytest.mark.parametrize("files", [1, 5, 40])
+def test_repeats_do_not_depend_on_micro_batches(spark, tmp_path, files):
+    rows = [(f"u{i * 7 % 5}", BEGIN + dt.timedelta(minutes=(i * 11) // 3)) for i in range(400)]
+    want, last = [], {}
+    for key, ts in rows:
+        if key not in last or ts >= last[key] + dt.timedelta(hours=1):
+            want.append((key, ts))
+            last[key] = ts
+    schema, source, out = "key string, ts timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+    size = len(rows) // files
+    for i in range(files):
+        write(spark, rows[i * size:(i + 1) * size], schema, f"{source}/{i:03d}")
+    stream = feeds.suppress_repeats(feeds.read_table(spark, f"{source}/*", schema, max_files=10), "key", "ts")
+    feeds.start(stream, out, str(tmp_path / "state")).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == sorted(want)
+
+
 def test_streams_equal_batch(spark, tmp_path):
     rows = [(f"u{i % 7}", BEGIN + dt.timedelta(minutes=13 * i), float(i % 50)) for i in range(200)]
     schema, source = "k string, ts timestamp, v double", str(tmp_path / "in")
