@@ -22,5 +22,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     share = min(1.0, max_rows / max(1, known.count()))
     cut = int(share * 1_000_000)
     chosen = lambda: F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < cut
+    # The labels of the sample are bounded by max_rows, so they go to the texts and not the texts to them.
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out() & chosen()).join(
-        known.where(chosen()), "doc_id").select("text", "y")
+        F.broadcast(known.where(chosen())), "doc_id").select("text", "y")
