@@ -24,9 +24,9 @@ from prefrank.llm.words import Words, mix, slices
 MAX_DOCUMENTS = 20_000
 MAX_FEATURES = 4096
 #: A feature is kept when so many toxic documents hold it and its excess is so many standard errors.
-LEAST_DOCUMENTS = 3
-LEAST_Z = 4.0
-PREFIXES = (4, 5, 6)
+LEAST_DOCUMENTS = 4
+LEAST_Z = 6.0
+PREFIXES = (4, 5, 6, 7, 8, 9)
 TOXIC_FROM = 0.7
 
 _U = np.uint64
@@ -144,9 +144,12 @@ def _encoded(features: np.ndarray):
 
 
 def fit_noisy_or(y: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, features: int,
-                 steps: int = 300, rate: float = 0.1, decay: float = 3e-5) -> tuple[np.ndarray, float]:
+                 steps: int = 300, rate: float = 0.1, decay: float = 1e-3,
+                 positive: float = 2.0) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the noisy-or likelihood of ``y``, by Adam over all rows.
 
+    A toxic document counts ``positive`` times, ``decay`` pulls weights to 0.
+
     ``doc``, ``sentence``, ``feature``: one entry for each known feature of each sentence.
     """
     w, b = np.zeros(features), -3.0
@@ -157,7 +160,7 @@ def fit_noisy_or(y: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature:
         z = b + np.bincount(of, weights=w[feature], minlength=many)
         p = 1 / (1 + np.exp(-z))
         total = np.bincount(bag, weights=np.logaddexp(0, z), minlength=len(y))  # -log of the noisy-or's complement
-        pull = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)
+        pull = np.where(y == 1, -positive / np.expm1(np.maximum(total, 1e-9)), 1.0)
         slope = pull[bag] * p / max(1, len(y))
         grad = np.r_[np.bincount(feature, weights=slope[of], minlength=features) + decay * w, slope.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
