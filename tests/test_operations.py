@@ -31,7 +31,7 @@ def test_intents(spark, column):
 
 def test_rule_tables_of_any_size(spark):
     rules = spark.range(20_000).selectExpr("cast(id as int) ord", "concat('k', id, '.') keyword", "concat('i', id) intent")
-    short = spark.createDataFrame([(50_000, "ü", "one"), (60_000, "ab", "two"), (70_000, None, "none")], rules.schema)
+    short = spark.createDataFrame([(50_000, "ü", "one"), (60_000, "ab", "two"), (70_000, None, "none")], "ord int, keyword string, intent string")
     df = spark.createDataFrame([("x K19999. k7. y",), ("nothing",), (None,), ("Über",), ("ab",), ("ab",)], "message string")
     got = sorted((r.message or "", r.intent) for r in routing.match_rule_table(df, rules.union(short)).collect())
     assert got == sorted([("x K19999. k7. y", "i7"), ("nothing", "outros"), ("", "outros"), ("Über", "one"), ("ab", "two"), ("ab", "two")])

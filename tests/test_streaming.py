@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from prefrank.streaming import feeds
 
 BEGIN = dt.datetime(2024, 1, 1)
