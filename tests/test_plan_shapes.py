@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from prefrank.catalog.registry import load_all
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="check tables are absent")
@@ -25,7 +25,7 @@ def plan(spark):
     """Executed plan as a large table would get it: nothing small enough to broadcast by itself."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    yield lambda name: queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    yield lambda name: load_all()[0][name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
@@ -35,7 +35,7 @@ def test_row_wise_queries_do_not_shuffle(plan, name):
 
 
 def test_no_query_pairs_all_rows(plan):
-    for name in queries():
+    for name in load_all()[0]:
         if name.startswith("stream_") or name in EAGER:
             continue
         text = plan(name)
