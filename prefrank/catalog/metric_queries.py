@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from prefrank import session
 from prefrank.catalog import views as v
 from prefrank.catalog.registry import query
 from prefrank.operators import metrics, runs
 from prefrank.operators.ordering import chunk
+from prefrank.plans.evaluation import gate_and_report
 
 
 def _rounded(df, *names):
@@ -107,6 +109,23 @@ def strict_gate(spark, folder):
     return _rounded(metrics.acceptance_gate(result, STRICT_GATE), "value")
 
 
+_SEGMENT_RULES = (("auc", "min", 0.0, "fail"), ("accuracy", "min", 0.4, "warn"))
+
+
+@query("gate_report", f"""WITH {v.VECTORS_SQL}, {_auc_sql('preds', 'segment')},
+  m AS (SELECT segment, avg(auc) AS auc FROM aucs GROUP BY segment),
+  a AS (SELECT segment, avg((pred = label)::INT) AS accuracy, count(*) AS n FROM preds GROUP BY segment)
+  SELECT segment, 'auc' AS metric, round(auc, 6) AS value, 0.0 AS threshold, 'ok' AS status, n FROM m JOIN a USING (segment)
+  UNION ALL SELECT segment, 'accuracy', round(accuracy, 6), 0.4, CASE WHEN accuracy >= 0.4 THEN 'ok' ELSE 'warn' END, n FROM a""")
+def gate_report(spark, folder):
+    """Gate of each segment beside the row counts of the report, which is written and read back."""
+    path = session.scratch_path(spark, "gate-report")
+    result = session.reliable_checkpoint(metrics.evaluation_metrics(v.vector_predictions(spark, folder), ["segment"]))
+    gate = gate_and_report(result, path, _SEGMENT_RULES, by=["segment"])
+    report = spark.read.schema("segment string, n long").json(path)
+    return _rounded(gate, "value").join(report, "segment")
+
+
 def _dcg_sql(name: str, order: str) -> str:
     """Per query: every row's discount by rank, averaged inside tied groups."""
     return f"""{name}_r AS (SELECT q, {order} AS o, rel,

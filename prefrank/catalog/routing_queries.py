@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from prefrank import session
 from prefrank.catalog import views as v
 from prefrank.catalog.registry import query
 from prefrank.functions import text
 from prefrank.operators import routing
 from prefrank.plans import interactions
-from prefrank.sources.reports import rule_table, submission_rows
+from prefrank.sources.reports import rule_table, submission_rows, write_submission
 
 # The check tables hold no Portuguese support messages, so the rules look for common words.
 RULES = (("que", "reclamacao_taxa"), ("der", "duvida_taxa_mdr"), ("ing", "problema_terminal"),
@@ -141,6 +142,17 @@ def submission(spark, folder):
     return submission_rows(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prediction")))
 
 
+@query("submission_csv", """SELECT CAST(doc_id AS VARCHAR) AS id, substring(text, 1, 500) AS prediction
+  FROM documents""")
+def submission_csv(spark, folder):
+    """The submission written as CSV and read back, line breaks and quotes included."""
+    path = session.scratch_path(spark, "submission")
+    docs = v.table(spark, folder, "documents")
+    write_submission(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prediction")), path)
+    return (spark.read.schema("id string, prediction string").option("header", True).option("escape", '"')
+            .option("multiLine", True).csv(path))
+
+
 class Parrot:
     """Stand-in generator: repeats the prompt's length after an empty line of thought."""
 

@@ -20,7 +20,9 @@ def submission_rows(df: DataFrame, prediction: str = "prediction") -> DataFrame:
 def write_submission(df: DataFrame, path: str, prediction: str = "prediction") -> None:
     """CSV with header, written in parallel; an empty table still gets its header."""
     (submission_rows(df, prediction).write.mode("overwrite")
-     .option("header", True).option("escape", '"').option("emptyValue", "").csv(path))
+     .option("header", True).option("escape", '"').option("emptyValue", "")
+     # The writer would trim values by default.
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_json(df: DataFrame, path: str) -> None:

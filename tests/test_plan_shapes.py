@@ -17,7 +17,7 @@ ROW_WISE = (
     "answer_interactions", "retention",
 )
 # These run a job while they are built.
-EAGER = {"train_classifier", "evaluate_triples", "audit_file_tree"}
+EAGER = {"train_classifier", "evaluate_triples", "audit_file_tree", "gate_report", "submission_csv"}
 
 
 @pytest.fixture(scope="module")
