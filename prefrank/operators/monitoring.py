@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import MAIN, Dialect, has_pii, redacted_types
 from prefrank.operators.ordering import count_below, exact_quantiles
+from prefrank.session import computed_once
 
 
 def label_counts(df: DataFrame, *labels: str) -> DataFrame:
@@ -17,7 +18,8 @@ def label_counts(df: DataFrame, *labels: str) -> DataFrame:
 
 def pii_event_counts(df: DataFrame, text: str, dialect: Dialect = MAIN, by=()) -> DataFrame:
     """Messages changed by each redaction step."""
-    changed = df.select(*by, redacted_types(text, dialect).alias("types"))
+    # Pinned: the filter that comes with explode() would evaluate every pattern a second time.
+    changed = computed_once(df.select(*by, redacted_types(text, dialect).alias("types")), "types")
     return (changed.select(*by, F.explode("types").alias("pii_type"))
             .groupBy(*by, "pii_type").agg(F.count("*").alias("n")))
 
