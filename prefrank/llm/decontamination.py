@@ -6,7 +6,7 @@ the segment's BM25 mass that it holds. Passages are overlapping windows over who
 segments that reach the threshold are found with block-max WAND: list maxima choose a pivot,
 maxima of blocks of postings let it jump. Before that, maxima over a fixed number of segment
 groups discard, in numpy, passages that cannot reach the threshold in any group. A retrieved
-item counts when the text really holds its question and its answer.
+item counts when the text really holds its question and, near any part of it, its answer.
 
 The index comes from tables that Spark computes. It is built in shards of bounded size, and
 every text meets every shard.
@@ -114,6 +114,14 @@ def block_max_wand(lists: list[Postings], threshold: float) -> list[tuple[int, f
                     advance(cursor, doc)
 
 
+def _around(first: np.ndarray, end: np.ndarray, reach: int, size: int) -> np.ndarray:
+    """Which of ``size`` places are at most ``reach`` away from one of the ranges."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, np.maximum(0, first - reach), 1)
+    np.add.at(steps, np.minimum(size, end + reach), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
 class Shard:
     """Index of some items: postings of segments, group maxima, and what verification needs."""
 
@@ -122,7 +130,7 @@ class Shard:
         """``term``, ``segment``, ``impact``: postings; ``owner``: the item of each segment."""
         self.ids, self.owner = ids, owner.tolist()
         self.parts = [tuple(Words(pa.array([side])) for side in question_and_answer(t)) for t in texts]
-        self.parts = [(np.unique(q.shingles()[1]), np.unique(a.hash)) for q, a in self.parts]
+        self.parts = [(np.unique(q.shingles()[1]), np.unique(a.hash), len(a.hash)) for q, a in self.parts]
         self.terms, number = np.unique(term, return_inverse=True)
         order = np.lexsort((segment, number))
         number, segment, impact = number[order], segment[order], impact[order]
@@ -188,14 +196,20 @@ class Shard:
         cuts = np.searchsorted(words.doc[at], np.arange(words.docs + 1))
         chars = words.chars()
         for doc, items in found.items():
-            shingles = np.unique(shingle[cuts[doc]:cuts[doc + 1]])
+            shingles, place = shingle[cuts[doc]:cuts[doc + 1]], at[cuts[doc]:cuts[doc + 1]] - words.bounds[doc]
             vocabulary = words.hash[words.bounds[doc]:words.bounds[doc + 1]]
             for item, (score, first, end) in sorted(items.items()):
-                question, answer = self.parts[item]
-                asked = float(np.isin(question, shingles).mean()) if len(question) else 0.0
-                near = vocabulary[max(0, first - PASSAGE - words.bounds[doc]):end + PASSAGE - words.bounds[doc]]
+                question, answer, size = self.parts[item]
+                there = np.isin(shingles, question)
+                asked = float(np.isin(question, shingles[there]).mean()) if len(question) else 0.0
+                if asked < LEAST_QUESTION:
+                    continue
+                # The best passage may lie in any part of a long item: the answer is sought around all of its question.
+                reach = max(PASSAGE, size)
+                near = vocabulary[_around(np.r_[place[there], first - words.bounds[doc]],
+                                          np.r_[place[there] + SHINGLE, end - words.bounds[doc]], reach, len(vocabulary))]
                 told = float(np.isin(answer, near).mean()) if len(answer) else 1.0
-                if asked >= LEAST_QUESTION and told >= LEAST_ANSWER:
+                if told >= LEAST_ANSWER:
                     base = chars[words.offsets[doc]]
                     out.setdefault(doc, []).append({
                         "item_id": self.ids[item], "score": score, "question_overlap": asked, "answer_overlap": told,

@@ -58,6 +58,20 @@ def test_planted_items_are_found_and_no_others(table, items):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - want.keys()
 
 
+def test_long_items_are_found_at_all_offsets(spark, table):
+    sizes = [58, 93, 113, 123, 143, 185, 249, 393]
+    rows = [(i, f"{prose(800 + i, n)}. {prose(900 + i, 7)}.") for i, n in enumerate(sizes)]
+    rows.append((8, f"{prose(808, 150)}. {prose(908, 150)}."))  # the answer is longer than a passage
+    docs, want = [], {}
+    for offset in range(64):
+        for i, text in rows:
+            docs.append((len(docs), f"{prose(6000 + offset, 64 + offset)} {text} {prose(7000 + i, 200)}"))
+            want[docs[-1][0]] = [i]
+    docs.append((len(docs), f"{prose(1, 40)} {rows[5][1].split('. ')[0]} {prose(2, 200)}"))  # no answer
+    found = find_contamination(table(docs), spark.createDataFrame(rows, "item_id bigint, text string")).collect()
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found if r.leaks} == want
+
+
 def test_shards_find_the_same(table, items, monkeypatch):
     rows, frame = items
     docs = [(i, f"{prose(i, 30)} {t} {prose(i + 1, 30)}") for i, t in rows]
