@@ -5,8 +5,9 @@ a line repeated over and over does not outweigh the rest of its text. Every shin
 exponential arrivals at a rate of its weight to random registers; a register keeps the
 shingle that came first. A shingle stops as soon as its next arrival is later than the
 latest register (Ertl, "ProbMinHash", 2020). Two texts agree in a register with the
-probability Jaccard of their bags. Registers are cut into bands; texts that share a band
-are compared exactly, and linked texts form classes.
+probability Jaccard of their bags, or with their plain Jaccard where all weights are 1. A text
+with repeated shingles has both sketches, other texts have one that serves as both. Registers
+are cut into bands; texts that share a band are compared exactly, and linked texts form classes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from prefrank.llm.scratch import Scratch, small_batches, tidy
 from prefrank.llm.similarity import THRESHOLD, weighted_shingles
 from prefrank.llm.words import MASK, Words, mix, slices
 
-#: 36 bands of 7 registers: a pair at similarity 0.8 shares a band with probability 0.9998, one at 0.4 with 0.06.
+#: 36 bands of 7 registers: a pair at plain or probability Jaccard 0.8 shares a band with probability 0.9998, one at 0.4 with 0.06.
 BANDS = 36
 ROWS = 7
 
@@ -56,21 +57,34 @@ def probminhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
 
 
 def band_keys(bands: int = BANDS, rows: int = ROWS):
-    """UDF: band keys of each text; empty for a text without words."""
+    """UDF: distinct band keys of the weighted and the plain sketch of each text; empty for a text without words."""
+
+    def coded(sketch: np.ndarray) -> np.ndarray:
+        sketch = sketch.reshape(-1, bands, rows)
+        code = np.broadcast_to(np.arange(bands, dtype=_U), sketch.shape[:2]).copy()
+        for j in range(rows):
+            code = mix(code * _STEP + sketch[:, :, j])
+        return code
 
     @F.arrow_udf("array<bigint>")
     def keys(texts: pa.Array) -> pa.Array:
         parts = [pa.array([], pa.list_(pa.int64()))]
         for part in slices(texts):
             words = Words(part)
-            sketch = probminhash(*weighted_shingles(words), words.docs, bands * rows).reshape(words.docs, bands, rows)
-            code = np.broadcast_to(np.arange(bands, dtype=_U), (words.docs, bands)).copy()
-            for j in range(rows):
-                code = mix(code * _STEP + sketch[:, :, j])
+            doc, shingle, weight = weighted_shingles(words)
+            code = coded(probminhash(doc, shingle, weight, words.docs, bands * rows))
             filled = np.diff(words.bounds) > 0
-            offsets = np.r_[0, np.cumsum(np.where(filled, bands, 0))]
-            parts.append(pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(code[filled].ravel().view(np.int64))))
+            repeats = np.zeros(words.docs, bool)
+            repeats[doc[weight > 1]] = True
+            own, number = repeats[doc], np.cumsum(repeats) - 1
+            plain = coded(probminhash(number[doc[own]], shingle[own], np.ones(own.sum()), int(repeats.sum()), bands * rows))
+            held = np.zeros((words.docs, 2, bands), bool)
+            held[filled, 0] = True
+            held[repeats, 1] = plain != code[repeats]
+            codes = np.stack([code, code], axis=1)
+            codes[repeats, 1] = plain
+            offsets = np.r_[0, np.cumsum(held.sum((1, 2)))]
+            parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes[held].view(np.int64))))
         return pa.concat_arrays(parts)
 
     return keys

@@ -119,6 +119,24 @@ def test_one_group_with_many_near_copies(spark, table):
     assert dict(zip(got.doc_id, got.class_id)) == dict(enumerate(want)) and 11 < len(set(want)) < 60
 
 
+def test_copies_with_a_repeated_line_are_found(spark, table):
+    texts = []
+    for i in range(24):
+        line = prose(2000 + i, 20)
+        texts += [prose(1000 + i, 104), f"{prose(1000 + i, 104)} " + f"{line}\n" * (5, 10, 20, 50)[i % 4]]
+    want = brute_classes(texts)
+    assert want == [i - i % 2 for i in range(48)]
+    assert max(probability(texts[i], texts[i + 1]) for i in range(0, 48, 2)) < 0.7
+    got = near_duplicates(table(list(enumerate(texts)))).toPandas()
+    assert dict(zip(got.doc_id, got.class_id)) == dict(enumerate(want))
+
+
+def probability(a, b):
+    a, b = bags(pa.array([a, b]))
+    i, j = np.intersect1d(a[0], b[0], return_indices=True)[1:]
+    return probability_jaccard(a, b, i, j)
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark, table):
     text = prose(5, 50)
     docs = table([(None, text), (None, text), (3, text), (3, text), (None, prose(6, 50))], "n_chars")
