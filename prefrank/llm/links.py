@@ -69,7 +69,7 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket", "left_semi")
 
 
-def _block_links(scratch: Scratch, tagged: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+def _block_links(scratch: Scratch, tagged: DataFrame, bodies: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     """Links between the items outside a bucket's largest component and all its items."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
     rows = tagged.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).join(bodies.withColumnRenamed("key", "node"), "node")
@@ -78,7 +78,7 @@ def _block_links(scratch: Scratch, tagged: DataFrame, bodies: DataFrame, thresho
         "bucket", F.col("a.node").alias("n1"), F.col("a.comp").alias("c1"), F.col("a.text").alias("t1"))
     minor = rows.where("comp <> major").groupBy("bucket", "block").agg(fields.alias("a")).select(
         "bucket", F.col("a.node").alias("n2"), F.col("a.comp").alias("c2"), F.col("a.text").alias("t2"))
-    compare = links_between(threshold)
+    compare = links_between(threshold, weighted)
     small_batches(tagged.sparkSession, 8)  # a row holds up to two blocks of whole texts
     found = scratch.save(minor.join(every, "bucket").select(
         F.inline(compare("n1", "c1", "t1", "n2", "c2", "t2"))).distinct(), "block-links")
@@ -86,14 +86,16 @@ def _block_links(scratch: Scratch, tagged: DataFrame, bodies: DataFrame, thresho
     return found
 
 
-def bucket_components(scratch: Scratch, members: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+def bucket_components(scratch: Scratch, members: DataFrame, bodies: DataFrame, threshold: float,
+                      weighted: bool = True) -> DataFrame:
     """(node, root) of all nodes that links of ``threshold`` or more connect.
 
     ``members``: distinct (bucket, node), saved. ``bodies``: (key, text) of every node, saved.
+    ``weighted``: a link is a plain or a probability Jaccard of ``threshold``, else a plain one alone.
     """
     left = bodies.select(F.col("key").alias("u"), F.col("text").alias("left_text"))
     right = bodies.select(F.col("key").alias("v"), F.col("text").alias("right_text"))
-    same = alike(threshold)
+    same = alike(threshold, weighted)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(right, "v").join(left, "u").where(same("left_text", "right_text")).select("u", "v")
@@ -134,7 +136,7 @@ def bucket_components(scratch: Scratch, members: DataFrame, bodies: DataFrame, t
         found = scratch.save(verify(pairs), "links")
         links = found if links is None else links.union(found)
         if rest:
-            links = links.union(_block_links(scratch, large, bodies, threshold))
+            links = links.union(_block_links(scratch, large, bodies, threshold, weighted))
             break
         checked = pairs if checked is None else checked.union(pairs)
         # Two steps take the whole star of a leader to one label.

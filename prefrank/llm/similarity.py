@@ -44,8 +44,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (above[at] / x + below[at] / y)).sum())
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the exact probability Jaccard and the plain Jaccard of two bags."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weighted: bool = True) -> float:
+    """The larger of the exact probability Jaccard and the plain Jaccard of two bags; the plain one if not ``weighted``."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
@@ -53,25 +53,26 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     if not len(i):
         return 0.0
     plain = len(i) / (len(a[0]) + len(b[0]) - len(i))
-    if a[1].max() == 1.0 == b[1].max():
+    if not weighted or a[1].max() == 1.0 == b[1].max():
         return plain  # equal weights: both measures are the same
     return max(plain, probability_jaccard(a, b, i, at[i]))
 
 
-def alike(threshold: float = THRESHOLD):
+def alike(threshold: float = THRESHOLD, weighted: bool = True):
     """UDF: whether the exact similarity of two texts reaches ``threshold``."""
 
     @F.arrow_udf("boolean")
     def check(left: pa.Array, right: pa.Array) -> pa.Array:
         left = left.dictionary_encode()  # a leader meets many texts
         heads, at = bags(left.dictionary), left.indices.to_numpy()
-        return pa.array([similarity(heads[i], b) >= threshold for i, b in zip(at, bags(right), strict=True)], pa.bool_())
+        return pa.array([similarity(heads[i], b, weighted) >= threshold for i, b in zip(at, bags(right), strict=True)],
+                        pa.bool_())
 
     return check
 
 
 def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]],
-           threshold: float) -> np.ndarray:
+           threshold: float, weighted: bool = True) -> np.ndarray:
     """Which pairs of two lists of bags have a `similarity` of ``threshold`` or more, all at once."""
     sizes = [np.array([len(b[0]) for b in side]) for side in (left, right)]
     owner = np.concatenate([np.repeat(np.arange(len(s)) + i * len(sizes[0]), s) for i, s in enumerate(sizes)])
@@ -88,6 +89,8 @@ def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarr
     both = there[one] @ there[two].T
     result = both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6
     result &= both > 0
+    if not weighted:
+        return result
     # The probability Jaccard is at most the share of weight that either text has in common with the other.
     bound = np.minimum((heavy[one] @ there[two].T) / np.maximum(total[one], 1e-9)[:, None],
                        (there[one] @ heavy[two].T) / np.maximum(total[two], 1e-9)[None, :])
@@ -96,7 +99,7 @@ def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarr
     return result
 
 
-def links_between(threshold: float = THRESHOLD):
+def links_between(threshold: float = THRESHOLD, weighted: bool = True):
     """UDF: links (u, v), u < v, between texts of two blocks that are in different components.
 
     A block is three arrays: nodes, components, texts. Of the links found between the two
@@ -110,7 +113,7 @@ def links_between(threshold: float = THRESHOLD):
         for i in range(len(nodes)):
             left, right = nodes[i].as_py(), others[i].as_py()
             ours, theirs = comps[i].as_py(), their_comps[i].as_py()
-            found = linked(bags(texts[i].values), bags(their_texts[i].values), threshold)
+            found = linked(bags(texts[i].values), bags(their_texts[i].values), threshold, weighted)
             parent: dict[bytes, bytes] = {}
 
             def top(x: bytes) -> bytes:

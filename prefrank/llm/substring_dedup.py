@@ -189,7 +189,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", id_column: str = "doc
     wanted = scratch.save(members.select(F.col("node").alias("key")).distinct(), "wanted")
     found = _only(scratch, source.select(F.inline(_paragraph_texts()("text"))), wanted, wanted.count())
     bodies = scratch.save(found.groupBy("key").agg(F.first("text").alias("text")), "bodies")
-    labels = bucket_components(scratch, members, bodies, threshold).select(F.col("node").alias("key"), "root")
+    labels = bucket_components(scratch, members, bodies, threshold, weighted=False).select(F.col("node").alias("key"), "root")
     # A key that is no paragraph's, or is linked with none, is a class of its own; most are, and stay out of the join.
     alone = keys.join(labels, "key", "left_anti").where("low < high").select(
         "key", F.col("key").alias("root"), F.col("n").alias("occurrences"), "first")

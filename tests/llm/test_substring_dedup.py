@@ -1,6 +1,9 @@
 import random
 import re
 
+import pyarrow as pa
+
+from prefrank.llm.similarity import bags, linked, similarity
 from prefrank.llm.substring_dedup import repeated_passages, tune_bands
 from samples import prose
 
@@ -61,3 +64,16 @@ def test_repeats_inside_one_document_and_repeated_rows(table):
     twice = repeated_passages(table([(1, line), (1, line), (None, line)])).toPandas()
     assert twice.removed.sum() == (~twice.removed).sum() * 2 and (twice.first_doc_id == 1).all()
     assert repeated_passages(table([])).count() == 0
+
+
+def test_paragraphs_are_compared_by_plain_jaccard(table):
+    rows = []
+    for i in range(8):
+        loop = " ".join([prose(400 + i, 10)] * 25)  # 10 shingles found about 25 times each
+        rows += [(2 * i, f"{prose(500 + i, 5)} {loop}"), (2 * i + 1, f"{prose(600 + i, 5)} {loop}")]
+    held = bags(pa.array([text for _, text in rows]))
+    for a, b in zip(held[::2], held[1::2]):
+        assert similarity(a, b) > 0.8 > 0.6 > similarity(a, b, weighted=False)
+        assert linked([a], [b], 0.8).all() and not linked([a], [b], 0.8, weighted=False).any()
+    got = repeated_passages(table(rows)).toPandas()
+    assert not got.paragraph.any()
