@@ -100,8 +100,8 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", id_column: str =
     """(key, class_id, class_size, first_id, first_key) of every different text.
 
     ``key`` is `content_key`; equal texts have one key. ``class_id`` is the smallest id of the
-    class (a hash of its first key if all its ids are null); (``first_id``, ``first_key``) names
-    the row to keep. Texts without a word are linked with nothing but their exact copies.
+    class (a hash of its first key if all its ids are null, or if a class with a smaller first key
+    has the same smallest id); (``first_id``, ``first_key``) names the row to keep. Texts without a word are linked with nothing but their exact copies.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -121,9 +121,16 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", id_column: str =
     named = texts.select("key", "id", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "id", "n", F.coalesce("root", "key").alias("root"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    classes = named.groupBy("root").agg(F.sum("n").alias("class_size"), F.min(order).alias("first"))
+    classes = scratch.save(
+        named.groupBy("root").agg(F.sum("n").alias("class_size"), F.min(order).alias("first")), "named")
+    # Rows of one id may be in different classes: one of them keeps it as its name. Such ids are few, or none.
+    shared = scratch.save(classes.where("first.id is not null").groupBy(F.col("first.id").alias("shared_id")).agg(
+        F.count("*").alias("n"), F.min("first.key").alias("owner")).where("n > 1").select("shared_id", "owner"), "shared")
+    classes = classes.join(shared, F.col("first.id") == F.col("shared_id"), "left").select(
+        "root", "class_size", "first",
+        F.when(F.col("owner").isNull() | (F.col("owner") == F.col("first.key")), F.col("first.id")).alias("own_id"))
     return scratch.save(named.join(classes, "root").select(
-        "key", F.coalesce("first.id", F.xxhash64("first.key")).alias("class_id"), "class_size",
+        "key", F.coalesce("own_id", F.xxhash64("first.key")).alias("class_id"), "class_size",
         F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "classes")
 
 
@@ -148,4 +155,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 def keep_first(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **options) -> DataFrame:
     """One row of each class, with the columns of ``docs``; one of repeated rows stays, any of them."""
     firsts = near_duplicates(docs, text, id_column, **options).where("is_first")
-    return firsts.dropDuplicates(["class_id", "class_size"]).select(*docs.columns)
+    return firsts.dropDuplicates(["class_id"]).select(*docs.columns)

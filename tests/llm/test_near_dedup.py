@@ -144,3 +144,14 @@ def test_null_ids_repeated_rows_and_empty_tables(spark, table):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.text == text) for r in kept.collect()) == [(False, True), (True, False)]
     assert near_duplicates(table([])).count() == 0 and keep_first(table([])).count() == 0
+
+
+def test_one_id_with_different_texts(spark, table):
+    texts = [prose(60 + i, 50) for i in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (2, texts[2]), (2, texts[3]), (1, texts[0])]
+    kept = keep_first(table(rows, "n_chars"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(
+        [(1, texts[0]), (1, texts[1]), (1, texts[2]), (2, texts[3])])
+    got = near_duplicates(table(rows)).toPandas()
+    assert got.groupby("text").class_id.nunique().eq(1).all() and got.class_id.nunique() == 4
+    assert {1, 2} <= set(got.class_id)
