@@ -30,10 +30,14 @@ BITS = {"hex": 3.0, "alphanumeric": 3.6, "base64": 3.7}
 ALLOWED = (
     re.compile(r"[A-Za-z_=+/-]+"),  # no digit: words, paths, separators
     re.compile(r"[0-9_=+/-]+"),  # no letter: numbers, dates
+)
+#: The same for the parts of a string between `/` and `=`; what is beside such a part is judged without it.
+ALLOWED_PARTS = (
     re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"),  # UUID
     re.compile(r"(?i).*(example|placeholder|changeme|xxxx|0123456789).*"),
 )
 
+_PART = re.compile("[^/=]+")
 _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", np.uint8)] = True
 _LOG = [0.0] + [c * math.log2(c) for c in range(1, 4096)]
@@ -80,18 +84,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def spans_of(text: str, candidates: list[tuple[int, int]], allowed=ALLOWED) -> list[tuple[str, int, int]]:
-    """All spans of a text by start, then kind; ``candidates``: its runs of candidate characters."""
+def without(begin: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a range outside of other ranges."""
+    left = []
+    for a, b in sorted(taken):
+        if begin < a < end:
+            left.append((begin, a))
+        begin = max(begin, b)
+    return [*left, (begin, end)] if begin < end else left
+
+
+def spans_of(text: str, candidates: list[tuple[int, int]], allowed=ALLOWED,
+             allowed_parts=ALLOWED_PARTS) -> list[tuple[str, int, int]]:
+    """All spans of a text by start, then kind; ``candidates``: its runs of candidate characters.
+
+    Windows are scored inside what other spans and allowed parts leave of a run.
+    """
     spans = base_spans(text)
     for begin, end in candidates:
         spans += [("hex", *m.span()) for m in HEX.finditer(text, begin, end)]
-    base = list(spans)
+    base = [(a, b) for _, a, b in spans]
     for begin, end in candidates:
-        value = text[begin:end]
-        if any(rule.fullmatch(value) for rule in allowed):
-            continue
-        spans += [("entropy", begin + a, begin + b) for a, b in entropy_spans(value)
-                  if not any(s < begin + b and begin + a < e for _, s, e in base)]
+        taken = [(a, b) for a, b in base if a < end and begin < b]
+        parts = [m.span() for m in _PART.finditer(text, begin, end)]
+        taken += [part for part in parts if any(rule.fullmatch(text, *part) for rule in allowed_parts)]
+        for a, b in without(begin, end, taken):
+            if b - a >= WINDOW and not any(rule.fullmatch(text, a, b) for rule in allowed):
+                spans += [("entropy", a + i, a + j) for i, j in entropy_spans(text[a:b])]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
