@@ -41,6 +41,11 @@ SENTENCES = {
     "software foundation": "gpl-terms",
     "either version 3 of the license or at your option any later version": "gpl-v3-later",
     "either version 2 of the license or at your option any later version": "gpl-v2-later",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the "
+    "free software foundation": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the "
+    "free software foundation": "agpl-terms",
+    "either version 2.1 of the license or at your option any later version": "gpl-v21-later",
     "licensed under the gnu lesser general public license version 2.1": "lgpl21-short",
     "licensed under the gnu lesser general public license version 3": "lgpl3-short",
     "licensed under the gnu affero general public license version 3": "agpl3-short",
@@ -66,6 +71,39 @@ SENTENCES = {
     "released into the public domain under cc0 1.0": "cc0",
     "all rights reserved": "proprietary",
 }
+# Third clause of BSD-3, with the usual holders; after a name with a stop ("Inc.") its end is a sentence of its own.
+SENTENCES |= {
+    f"{holder}nor the names of {its} contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission": "bsd-neither"
+    for holder in ("", *(f"neither the name of {x} " for x in (
+        "the copyright holder", "the copyright owner", "the copyright holders", "the author", "the authors", "the project",
+        "this project", "the organization", "the company", "the university", "the institute", "the developer")))
+    for its in ("its", "the", "other")
+}
+# Statements as README files have them.
+SENTENCES |= {
+    f"{head}{verb} under {terms}{name}{tail}": known
+    for head in ("", "this project is ", "this software is ")
+    for verb in ("licensed", "released", "distributed")
+    for terms in ("the ", "the terms of the ")
+    for name, known in (
+        ("mit license", "mit-short"), ("apache license 2.0", "apache2-short"), ("apache license version 2.0", "apache2-short"),
+        ("apache 2.0 license", "apache2-short"), ("gnu general public license v3.0", "gpl3-short"),
+        ("gnu general public license version 3", "gpl3-short"), ("gnu general public license v2.0", "gpl2-short"),
+        ("gnu general public license version 2", "gpl2-short"), ("mozilla public license 2.0", "mpl2-short"),
+        ("bsd 3 clause license", "bsd3-short"), ("bsd 2 clause license", "bsd2-short"), ("isc license", "isc-short"))
+    for tail in ("", " see the license file for details", " see the license md file for details",
+                 " see the license license file for details", " see the license md license md file for details",
+                 " see license for details", " see license")
+}
+# The GNU notices as one sentence: a comma stands before the version.
+SENTENCES |= {
+    f"you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the "
+    f"free software foundation either version {version} of the license or at your option any later version": name
+    for kind, version, name in (
+        ("", "3", "gpl3-notice"), ("", "2", "gpl2-notice"), ("lesser ", "3", "lgpl3-notice"),
+        ("lesser ", "2.1", "lgpl21-notice"), ("affero ", "3", "agpl3-notice"))
+}
 # Licences and the ordered sentence identifiers that show them; every rule that fits counts.
 RULES = [
     ("Apache-2.0", ["apache2-short"]),
@@ -78,6 +116,14 @@ RULES = [
     ("GPL-2.0-only", ["gpl2-short"]),
     ("GPL-3.0-or-later", ["gpl-terms", "gpl-v3-later"]),
     ("GPL-2.0-or-later", ["gpl-terms", "gpl-v2-later"]),
+    ("GPL-3.0-or-later", ["gpl3-notice"]),
+    ("GPL-2.0-or-later", ["gpl2-notice"]),
+    ("LGPL-3.0-or-later", ["lgpl-terms", "gpl-v3-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-notice"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "gpl-v21-later"]),
+    ("LGPL-2.1-or-later", ["lgpl21-notice"]),
+    ("AGPL-3.0-or-later", ["agpl-terms", "gpl-v3-later"]),
+    ("AGPL-3.0-or-later", ["agpl3-notice"]),
     ("LGPL-2.1-only", ["lgpl21-short"]),
     ("LGPL-3.0-only", ["lgpl3-short"]),
     ("AGPL-3.0-only", ["agpl3-short"]),
@@ -85,8 +131,10 @@ RULES = [
     ("MPL-2.0", ["mpl2-grant"]),
     ("BSD-3-Clause", ["bsd3-short"]),
     ("BSD-2-Clause", ["bsd2-short"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-neither"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-short"]),
     ("Unlicense", ["unlicense"]),
     ("CC-BY-4.0", ["cc-by-4"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
@@ -94,6 +142,8 @@ RULES = [
     ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4"]),
     ("CC0-1.0", ["cc0"]),
 ]
+#: A last sentence of a rule does not count where the first of these follows before the next of the second.
+OUTRANKED = {"bsd-binary": ("bsd-neither", "bsd-grant")}
 #: Every known sentence holds one of these; a text without any is not cut up.
 HINTS = "licen|permission|redistribut|free software|free and unencumbered|public license|public domain|all rights reserved|" \
         "version [23] of"
@@ -119,7 +169,11 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
 
 def rule_pattern(ids: list[str]) -> str:
     """Pattern over the identifiers joined as `,a,b,`: these, in this order, with any others between."""
-    return ",(.*,)?".join(["", *ids, ""]).replace(",(.*,)?", ",", 1)[:-len(",(.*,)?")] + ","
+    pattern = ",(.*,)?".join(["", *ids, ""]).replace(",(.*,)?", ",", 1)[:-len(",(.*,)?")] + ","
+    if ids[-1] not in OUTRANKED:
+        return pattern
+    others = "|".join(sorted(set(SENTENCES.values()) - set(OUTRANKED[ids[-1]])))
+    return f"{pattern}(({others}),)*({OUTRANKED[ids[-1]][1]},|$)"
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES,

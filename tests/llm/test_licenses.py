@@ -53,3 +53,37 @@ def test_rules_name_known_sentences():
     known = set(SENTENCES.values())
     assert all(i in known for _, ids in RULES for i in ids)
     assert rule_pattern(["a", "b"]) == ",a,(.*,)?b," and rule_pattern(["a"]) == ",a,"
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NEITHER = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_notices_clauses_and_readme_forms(spark):
+    semicolon = GPL.replace("Foundation, either", "Foundation; either").replace("GNU General", "GNU Lesser General")
+    cases = [
+        (GPL, ["GPL-3.0-or-later"]), (GPL.replace("version 3", "version 2"), ["GPL-2.0-or-later"]),
+        (GPL.replace("GNU General", "GNU Affero General"), ["AGPL-3.0-or-later"]), (semicolon, ["LGPL-3.0-or-later"]),
+        (BSD, ["BSD-2-Clause"]), (BSD + NEITHER, ["BSD-3-Clause"]),
+        (BSD + NEITHER.replace("the copyright holder", "Some Company, Inc."), ["BSD-3-Clause"]),
+        (BSD + "\n" + BSD + NEITHER, ["BSD-2-Clause", "BSD-3-Clause"]), (BSD + NEITHER + "\n" + BSD + NEITHER, ["BSD-3-Clause"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ("This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details", ["MIT"]),
+        ("This software is released under the Apache License 2.0, see LICENSE.", ["Apache-2.0"]),
+        ("Distributed under the terms of the MIT License.", ["MIT"]),
+        ("This project is not licensed under the MIT License.", []),
+    ]
+    docs = spark.createDataFrame(list(enumerate(text for text, _ in cases)), "doc_id int, text string")
+    got = {r.doc_id: r.licenses for r in scan_licenses(docs).collect()}
+    assert got == {i: names for i, (_, names) in enumerate(cases)}
