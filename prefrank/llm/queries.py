@@ -4,6 +4,7 @@ from prefrank.llm.decontamination_queries import op7_block_max_wand
 from prefrank.llm.licenses_queries import OP8_SQL, op8_sentence_rules
 from prefrank.llm.near_dedup_queries import op4_probminhash
 from prefrank.llm.packing_queries import op5_best_fit
+from prefrank.llm.piece_encoding_queries import op11_prefix_table
 from prefrank.llm.quality_model_queries import op6_boosted_trees
 from prefrank.llm.quality_rules_queries import op10_line_first
 from prefrank.llm.secrets_queries import op9_entropy
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_sentence_rules": op8_sentence_rules,
     "op9_entropy": op9_entropy,
     "op10_line_first": op10_line_first,
+    "op11_prefix_table": op11_prefix_table,
 }
 ORACLES = {
     "op3_blocked_bloom": OP3_SQL,
