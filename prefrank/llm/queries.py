@@ -1,5 +1,6 @@
 """All queries of the subpackage and the SQL of those that SQL can express."""
 
+from prefrank.llm.collocations_queries import OP12_SQL, op12_debruijn
 from prefrank.llm.decontamination_queries import op7_block_max_wand
 from prefrank.llm.licenses_queries import OP8_SQL, op8_sentence_rules
 from prefrank.llm.near_dedup_queries import op4_probminhash
@@ -24,8 +25,10 @@ QUERIES = {
     "op9_entropy": op9_entropy,
     "op10_line_first": op10_line_first,
     "op11_prefix_table": op11_prefix_table,
+    "op12_debruijn": op12_debruijn,
 }
 ORACLES = {
+    "op12_debruijn": OP12_SQL,
     "op3_blocked_bloom": OP3_SQL,
     "op8_sentence_rules": OP8_SQL,
 }
