@@ -2,6 +2,7 @@
 
 from prefrank.llm.collocations_queries import OP12_SQL, op12_debruijn
 from prefrank.llm.decontamination_queries import op7_block_max_wand
+from prefrank.llm.filter_audit_queries import OP13_SQL, op13_retraction_audit
 from prefrank.llm.licenses_queries import OP8_SQL, op8_sentence_rules
 from prefrank.llm.near_dedup_queries import op4_probminhash
 from prefrank.llm.packing_queries import op5_best_fit
@@ -26,9 +27,11 @@ QUERIES = {
     "op10_line_first": op10_line_first,
     "op11_prefix_table": op11_prefix_table,
     "op12_debruijn": op12_debruijn,
+    "op13_retraction_audit": op13_retraction_audit,
 }
 ORACLES = {
     "op12_debruijn": OP12_SQL,
+    "op13_retraction_audit": OP13_SQL,
     "op3_blocked_bloom": OP3_SQL,
     "op8_sentence_rules": OP8_SQL,
 }
