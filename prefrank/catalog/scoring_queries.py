@@ -9,7 +9,7 @@ from prefrank.catalog.registry import query
 from prefrank.functions import scoring
 from prefrank.functions.text import cache_key
 from prefrank.operators import cache, dataset, metrics
-from prefrank.plans import evaluation, training
+from prefrank.plans import evaluation
 from prefrank.plans import scoring as plan
 
 
@@ -184,17 +184,6 @@ def evaluate_triples(spark, folder):
     return _rounded(result, "accuracy", "auc", "log_loss", "preference_score_mean", "ece")
 
 
-@query("train_classifier")
-def train_classifier(spark, folder):
-    """Fit on labelled document pairs and evaluate the fitted model on them."""
-    labels = v.table(spark, folder, "labels").select(
-        "doc_id", F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality")).alias("label"))
-    triples = v.document_pairs(spark, folder).join(labels, "doc_id").withColumn(
-        "conversation_id", F.col("doc_id").cast("string"))
-    model = training.fit(triples, max_iter=10)
-    return metrics.evaluation_metrics(training.predict(model, triples))
-
-
 @query("log_loss_by_label", f"""WITH {v.VECTORS_SQL} SELECT label, count(*) AS n,
   round(avg(-ln(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)), 6) AS log_loss FROM preds GROUP BY label""")
 def log_loss_by_label(spark, folder):

@@ -139,6 +139,9 @@ AUX_DIM = 12
 LABEL_SMOOTHING = 0.1
 RANKING_MARGIN = 0.1
 CLASSIFICATION_WEIGHT = 0.7
+EPOCHS = 3
+WARMUP_SHARE = 0.1
+WEIGHT_DECAY = 0.01
 PATIENCE = 2
 KEEP_CHECKPOINTS = 2
 

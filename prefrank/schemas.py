@@ -63,3 +63,10 @@ RUN_HISTORY = T.StructType([
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("log_loss", T.DoubleType()),
 ])
+
+TRAINING_HISTORY = T.StructType([
+    *RUN_HISTORY.fields,
+    T.StructField("loss", T.DoubleType()),
+    T.StructField("cls_loss", T.DoubleType()),
+    T.StructField("rank_loss", T.DoubleType()),
+])

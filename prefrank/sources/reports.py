@@ -43,6 +43,11 @@ def parse_feedback(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select(F.from_json(value, FEEDBACK).alias("event")).select("event.*")
 
 
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """Small settings as one line of JSON, to be read with `load_rules`."""
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def load_rules(spark: SparkSession, path: str) -> dict:
     """Settings file on the driver: YAML when the library is present, else JSON.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from prefrank.operators import dataset
-from prefrank.schemas import CACHE_ENTRY, RUN_HISTORY
+from prefrank.schemas import CACHE_ENTRY, RUN_HISTORY, TRAINING_HISTORY
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -64,3 +64,8 @@ def append_history(rows: DataFrame, path: str) -> None:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_HISTORY).parquet(path)
+
+
+def read_training_history(spark: SparkSession, path: str) -> DataFrame:
+    """Per-epoch losses and metrics of training runs, a folder for each run and epoch."""
+    return spark.read.schema(TRAINING_HISTORY).parquet(path).select(*TRAINING_HISTORY.fieldNames())
