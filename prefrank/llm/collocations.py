@@ -6,8 +6,9 @@ count of a shorter phrase is what flows out of it: the grams that continue it an
 end with it. Runs of edges without a branch between them are compacted to paths, phrases of
 any length with one count.
 
-Grams that cannot hold a phrase often enough are never built: bigrams are counted by hash slots
-first, and a slot below the least count breaks a piece (other phrases keep their exact counts).
+Grams that cannot hold a phrase often enough are never built: pairs of words are counted by hash slots
+first, then triples of those that are frequent; a slot below the least count ends the gram before it (other
+phrases keep their exact counts).
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ PART_BYTES = 2 << 20
 VOCABULARY = 400_000
 #: Slots gathered by a task before it hands them on.
 GATHERED = 2_000_000
-#: Slots for a count of words, and their bounds: a map of 32 MB at most. Too few of them only prune less.
+#: Slots for a count of words, and their bounds: two maps of 32 MB at most. Too few of them only prune less.
 WORDS_PER_SLOT = 12
 LEAST_BITS, MOST_BITS = 16, 28
 #: Edges in a row of a compacted path.
 PATH_EDGES = 256
 
 _U = np.uint64
-_LEFT, _RIGHT = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_PLACES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 _BREAK, _NOTHING = 0, 1
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _AHEAD = re.compile(rb"(?: *[^ \n]+){0,%d}" % (LONGEST - 1))
@@ -71,6 +72,22 @@ class Vocabulary(dict):
         self.counts[:len(found)] += found
 
 
+class Kept(dict):
+    """Numbers of the words of grams, few beside those of a vocabulary."""
+
+    def __init__(self):
+        super().__init__({b"\n": _BREAK})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def numbers(self, vocabulary: Vocabulary, columns: list[np.ndarray]) -> list[np.ndarray]:
+        used, names = np.unique(np.concatenate(columns)), list(vocabulary)
+        own = np.array([self[names[i]] for i in used.tolist()], np.int64)
+        return [own[np.searchsorted(used, column)] for column in columns]
+
+
 def parts(texts: list[bytes], limit: int = PART_BYTES) -> Iterator[tuple[bytes, bytes]]:
     """(owned, ahead): lowered text with breaks as line feeds, cut between words; grams begin in ``owned`` only."""
     held, size = [], 0
@@ -108,35 +125,56 @@ class Tokens:
         self.words, self.numbers = words, numbers[self.place]
         self.vocabulary = vocabulary
 
-    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of words with a following one in their piece, and the slots of the two."""
-        at = np.flatnonzero((self.numbers[:-1] != _BREAK) & (self.numbers[1:] != _BREAK))
+    def slots(self, at: np.ndarray, size: int, bits: int) -> np.ndarray:
+        """Slots of the ``size`` words from each position."""
         hashes = self.vocabulary.hashes()[self.numbers]
-        code = mix(hashes[at] * _LEFT + hashes[at + 1] * _RIGHT + self.vocabulary.seed)
-        return at, (code >> _U(64 - bits)).astype(np.int64)
+        code = self.vocabulary.seed + sum(hashes[at + k] * _PLACES[k] for k in range(size))
+        return (mix(code) >> _U(64 - bits)).astype(np.int64)
+
+    def pairs(self) -> np.ndarray:
+        """Positions of words with a following one in their piece."""
+        return np.flatnonzero((self.numbers[:-1] != _BREAK) & (self.numbers[1:] != _BREAK))
 
-    def grams(self, bits: int, often: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
-        """(gram, words, count) of the positions that begin an often enough bigram."""
-        at, slot = self.slots(bits)
+    def frequent(self, at: np.ndarray, size: int, bits: int, often: np.ndarray) -> np.ndarray:
+        """For every position whether it begins ``size`` words of a frequent slot; ``at``: those that may."""
+        slot = self.slots(at, size, bits)
         good = np.zeros(len(self.numbers) + LONGEST, bool)
         good[at] = _BITS[often[slot >> 3], slot & 7]
+        return good
+
+    def triples(self, bits: int, often: np.ndarray) -> np.ndarray:
+        """Positions that begin two frequent pairs."""
+        good = self.frequent(self.pairs(), 2, bits, often)
+        return np.flatnonzero(good[:-1] & good[1:])
+
+    def grams(self, bits: int, often: np.ndarray, often3: np.ndarray, kept: Kept) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Grams (as two keys of numbers of ``kept``) and counts, of positions that begin a frequent pair.
+
+        A gram goes on as long as its triples are frequent.
+        """
+        good = self.frequent(self.pairs(), 2, bits, often)
+        triple = self.frequent(np.flatnonzero(good[:-1] & good[1:]), 3, bits, often3)
         begin = np.flatnonzero(good[:self.own])
-        on, length = np.ones(len(begin), bool), np.ones(len(begin), np.int64)
-        columns = [self.numbers[begin]]
-        for j in range(1, LONGEST):
-            on = on & good[begin + j - 1]
-            length += on
+        columns = [self.numbers[begin], self.numbers[begin + 1]]
+        on = np.ones(len(begin), bool)
+        for j in range(2, LONGEST):
+            on = on & triple[begin + j - 2]
             # Breaks are no words: their number fills grams that end sooner.
             columns.append(np.where(on, self.numbers[np.where(on, begin + j, 0)], _BREAK))
+        columns = kept.numbers(self.vocabulary, columns)
         # Numbers stay below 2**21, so two 64-bit keys hold a gram exactly.
         high = (columns[0] << 42) | (columns[1] << 21) | columns[2]
-        low = (columns[3] << 21) | columns[4]
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])]) if len(high) else order
-        counts = np.diff(np.r_[new, len(high)])
-        for i, k, n in zip(begin[order[new]].tolist(), length[order[new]].tolist(), counts.tolist()):
-            yield b" ".join([self.words[p] for p in self.place[i:i + k].tolist()]), k, n
+        return _summed(high, (columns[3] << 21) | columns[4], np.ones(len(begin), np.int64))
+
+
+def _summed(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys and the sums of their counts."""
+    if not len(high):
+        return high, low, n
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    return high[new], low[new], np.add.reduceat(n[order], new)
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -157,8 +195,11 @@ def _tokens(batches: Iterator[pa.RecordBatch], known: dict[str, Vocabulary]) ->
 _COUNTED = pa.schema([("lang", pa.string()), ("key", pa.binary()), ("c", pa.int64())])
 
 
-def _counter(bits: int):
-    """Counts of words (lang, word), of slots (null, slot) and of all words (lang, null)."""
+def _counter(bits: int, often=None):
+    """Counts of words (lang, word), of all words (lang, null) and of the slots of pairs (null, slot).
+
+    With the frequent pairs: counts of the slots of triples alone.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Vocabulary] = {}
@@ -171,14 +212,11 @@ def _counter(bits: int):
                 keys = pa.array([*list(vocabulary)[2:], None], pa.binary())
                 yield pa.record_batch([pa.array([lang] * (n + 1), pa.string()), keys,
                                        pa.array(np.r_[counts, counts.sum()])], schema=_COUNTED)
-            known.clear()
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             slot, n = (np.concatenate(a) for a in zip(*gathered))
-            order = np.argsort(slot, kind="stable")
-            slot = slot[order]
-            new = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            return slot[new], np.add.reduceat(n[order], new)
+            slot, _, n = _summed(slot, np.zeros_like(slot), n)
+            return slot, n
 
         def slots() -> Iterator[pa.RecordBatch]:
             slot, n = merged()
@@ -187,9 +225,12 @@ def _counter(bits: int):
             yield pa.record_batch([pa.nulls(len(slot), pa.string()), keys, pa.array(n)], schema=_COUNTED)
 
         for _, tokens in _tokens(batches, known):
-            tokens.vocabulary.add(tokens.numbers[:tokens.own])
-            at, slot = tokens.slots(bits)
-            slot, n = np.unique(slot[at < tokens.own], return_counts=True)
+            if often is None:
+                tokens.vocabulary.add(tokens.numbers[:tokens.own])
+                at, size = tokens.pairs(), 2
+            else:
+                at, size = tokens.triples(bits, np.frombuffer(often.value, np.uint8)), 3
+            slot, n = np.unique(tokens.slots(at[at < tokens.own], size, bits), return_counts=True)
             if len(slot):
                 gathered.append((slot, n))
                 held += len(slot)
@@ -200,8 +241,11 @@ def _counter(bits: int):
                     yield from slots()
                     gathered, held = [], 0
             if sum(map(len, known.values())) > VOCABULARY:
-                yield from words()
-        yield from words()
+                if often is None:
+                    yield from words()
+                known.clear()
+        if often is None:
+            yield from words()
         if gathered:
             yield from slots()
 
@@ -211,19 +255,48 @@ def _counter(bits: int):
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("words", pa.int32()), ("c", pa.int64())])
 
 
-def _builder(bits: int, often):
+def _builder(bits: int, often, often3):
+    def rows(lang: str, kept: Kept, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        words, mask = list(kept), (1 << 21) - 1
+        numbers = np.stack([high >> 42, high >> 21 & mask, high & mask, low >> 21, low & mask])
+        length = (numbers != _BREAK).sum(0)
+        gram = [b" ".join([words[i] for i in column if i]) for column in numbers.T.tolist()]
+        return pa.record_batch([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.binary()).cast(pa.string()),
+                                pa.array(length, pa.int32()), pa.array(n)], schema=_GRAMS)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Vocabulary] = {}
-        bitmap = np.frombuffer(often.value, np.uint8)
+        kept: dict[str, Kept] = {}
+        gathered: dict[str, list] = {}
+        held = 0
+        maps = [np.frombuffer(o.value, np.uint8) for o in (often, often3)]
+
+        def merge() -> int:
+            for lang, parts_ in gathered.items():
+                gathered[lang] = [_summed(*(np.concatenate(a) for a in zip(*parts_)))]
+            return sum(len(parts_[0][0]) for parts_ in gathered.values())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            merge()
+            for lang, [keys] in gathered.items():
+                for a in range(0, len(keys[0]), 1 << 16):
+                    yield rows(lang, kept[lang], *(k[a:a + (1 << 16)] for k in keys))
+            gathered.clear()
+            kept.clear()
+
         for lang, tokens in _tokens(batches, known):
-            rows = list(tokens.grams(bits, bitmap))
-            if rows:
-                gram, words, n = zip(*rows)
-                yield pa.record_batch([pa.array([lang] * len(rows), pa.string()),
-                                       pa.array(gram, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()),
-                                       pa.array(n, pa.int64())], schema=_GRAMS)
+            found = tokens.grams(bits, *maps, kept.setdefault(lang, Kept()))
+            if len(found[0]):
+                gathered.setdefault(lang, []).append(found)
+                held += len(found[0])
+            if held > GATHERED:
+                held = merge()
+            if held > GATHERED // 2 or sum(map(len, kept.values())) > VOCABULARY:
+                yield from flush()
+                held = 0
             if sum(map(len, known.values())) > VOCABULARY:
                 known.clear()
+        yield from flush()
 
     return build
 
@@ -236,6 +309,18 @@ def _last(gram: str | Column, k: int) -> Column:
     return F.substring_index(gram, " ", -k)
 
 
+def _often(slots: DataFrame, bits: int) -> bytes:
+    """Bitmap of slots (as big-endian keys): 2**bits bits."""
+    slot = F.conv(F.hex("key"), 16, 10).cast("bigint") + 1
+    blocks = slots.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    held = bytearray(max(1, 1 << bits >> 3))
+    for row in blocks.toLocalIterator():
+        begin = (row["block"] - 1) * 4096
+        held[begin:begin + 4096] = row["bits"][:len(held) - begin]
+    return bytes(held)
+
+
 class PhraseGraph:
     """Counts of words and grams of a table, built on construction; all tables are saved.
 
@@ -259,8 +344,11 @@ class PhraseGraph:
         self.totals = self.counted.where("key is null").select("lang", F.col("c").alias("n"))
         self.single = self.counted.where("lang is not null and key is not null").select(
             "lang", F.col("key").cast("string").alias("gram"), "c")
-        often = spark.sparkContext.broadcast(self._often(bits))
-        grams = table.mapInArrow(_builder(bits, often), "lang string, gram string, words int, c bigint")
+        often = spark.sparkContext.broadcast(_often(self.counted.where("lang is null and key is not null"), bits))
+        triples = table.mapInArrow(_counter(bits, often), "lang string, key binary, c bigint").groupBy("key").agg(
+            F.sum("c").alias("c")).where(F.col("c") >= min_count)
+        often3 = spark.sparkContext.broadcast(_often(triples, bits))
+        grams = table.mapInArrow(_builder(bits, often, often3), "lang string, gram string, words int, c bigint")
         self.grams = scratch.save(grams.groupBy("lang", "gram", "words").agg(F.sum("c").alias("c")), "grams")
         self.flow = {LONGEST: self.grams.where(F.col("words") == LONGEST).select("lang", "gram", "c")}
         for k in range(LONGEST - 1, 1, -1):
@@ -269,18 +357,6 @@ class PhraseGraph:
             self.flow[k] = scratch.save(
                 out.union(ended).groupBy("lang", "gram").agg(F.sum("c").alias("c")), f"flow-{k}")
 
-    def _often(self, bits: int) -> bytes:
-        """Bitmap of the slots with at least the least count: 2**bits bits."""
-        slot = F.conv(F.hex("key"), 16, 10).cast("bigint") + 1
-        blocks = self.counted.where("lang is null and key is not null").select(slot.alias("slot")).groupBy(
-            F.bitmap_bucket_number("slot").alias("block")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-        held = bytearray(max(1, 1 << bits >> 3))
-        for row in blocks.toLocalIterator():
-            begin = (row["block"] - 1) * 4096
-            held[begin:begin + 4096] = row["bits"][:len(held) - begin]
-        return bytes(held)
-
     def often(self, k: int) -> DataFrame:
         """Phrases of k words with the least count."""
         table = self.single if k == 1 else self.flow[k]

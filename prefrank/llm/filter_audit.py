@@ -4,6 +4,7 @@ A stream reads the files in available-now micro-batches. Each text has a mask of
 the state of a text is the smallest id seen with it, because all later ids are copies. When a
 smaller id arrives, the mask counted for the earlier one is retracted and counted again as a copy. Every
 micro-batch adds its differences to counters by part and mask, which are all that the report needs.
+Texts are keyed by a hash; some hundred of them share one key, because a call for each text costs more than its work.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql.types import IntegralType, LongType, StringType
 from prefrank.session import scratch_path
 
 LETTERS = "ABCDE"
-#: Keys that rows without a say in the state of their text are spread over.
-SPREAD = 1024
+#: Keys of the state; a key holds the texts whose hash it is.
+KEYS = 4096
 _CAPITALS = bytes(range(0x41, 0x5B))
 _MARKS = b"#$%&*|"
 
@@ -41,25 +42,25 @@ def judge_document(text: bytes) -> int:
             | (len(text.translate(None, _MARKS)) < len(text)) << 3)
 
 
-def _collapse(judge: Callable[[bytes], int], copy: int, numeric: bool):
-    """Rows of a batch by text: only the smallest id of each text goes to its state, the others are copies for sure."""
-    kind = pa.int64() if numeric else pa.string()
-    schema = pa.schema([("key", pa.binary()), ("id", kind), ("known", pa.bool_()), ("part", pa.string()),
-                        ("mask", pa.int32()), ("n", pa.int64())])
+def _collapse(judge: Callable[[bytes], int], copy: int, numeric: bool, keys: int):
+    """Rows of a batch by text: only the smallest id of each text goes to its state, the others are copies for sure.
 
-    def spread(value) -> bytes:
-        return (zlib.crc32(str(value).encode()) % SPREAD).to_bytes(2, "big")
+    Copies have no digest, and a key that only spreads them.
+    """
+    kind = pa.int64() if numeric else pa.string()
+    schema = pa.schema([("key", pa.int32()), ("digest", pa.string()), ("id", kind), ("known", pa.bool_()),
+                        ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             parts = batch.column(1).fill_null("").to_pylist()
-            masks: dict[bytes, int] = {}
-            least: dict[bytes, object] = {}
+            masks: dict[str, int] = {}
+            least: dict[str, object] = {}
             digests = []
             for own, value in zip(ids, batch.column(2).cast(pa.large_binary())):
                 text = value.as_py() or b""
-                digest = hashlib.sha256(text).digest()
+                digest = hashlib.sha256(text).hexdigest()
                 digests.append(digest)
                 if digest not in masks:
                     masks[digest] = judge(text)
@@ -68,14 +69,14 @@ def _collapse(judge: Callable[[bytes], int], copy: int, numeric: bool):
             rows: dict[tuple, int] = {}
             for i, (own, part, digest) in enumerate(zip(ids, parts, digests)):
                 mask = masks[digest]
-                if own is None:
-                    # Without an id a row is no copy and makes none; its key only spreads it.
-                    own = zlib.crc32(digest, i) if numeric else f"{zlib.crc32(digest, i)}"
-                    row = (spread(own), own, False, part, mask)
-                elif own == least[digest]:
-                    row = (digest, own, True, part, mask)
+                if own is not None and own == least[digest]:
+                    row = (int(digest[:12], 16) % keys, digest, own, True, part, mask)
                 else:
-                    row = (spread(own), own, True, part, mask | copy)
+                    # Without an id a row is no copy and makes none; it gets a number that only spreads it.
+                    known = own is not None
+                    number = zlib.crc32(str(own).encode() if known else digest.encode(), i * (not known))
+                    own = own if known else number if numeric else str(number)
+                    row = (number % keys, None, own, known, part, mask | copy * known)
                 rows[row] = rows.get(row, 0) + 1
             if rows:
                 columns = [*zip(*rows), list(rows.values())]
@@ -84,43 +85,45 @@ def _collapse(judge: Callable[[bytes], int], copy: int, numeric: bool):
     return run
 
 
-def _least_id(copy: int, id_name: str = "id"):
-    """State of a text: its smallest id, the mask and the rows of each part that carry it."""
-    names = [id_name, "known", "part", "mask", "n"]
+def _least_ids(copy: int):
+    """State of the texts of a key: for each its smallest id, the mask and the rows of each part that carry it."""
+    names = ["id", "known", "part", "mask", "n"]
 
-    def keep(key, frames, state: GroupState):
-        if len(key[0]) == 2:
-            for frame in frames:
-                yield frame[names]
-            return
-        least, mask, parts = None, 0, {}
-        if state.exists:
-            least, mask, held = state.get
-            parts = json.loads(held)
+    def keep(_, frames, state: GroupState):
+        texts = json.loads(state.get[0]) if state.exists else {}
+        changed = False
         for frame in frames:
-            out = []
-            for own, part, own_mask, n in zip(frame[id_name].tolist(), frame["part"].tolist(), frame["mask"].tolist(),
-                                              frame["n"].tolist()):
+            settled = frame["digest"].isna()
+            if settled.any():
+                yield frame.loc[settled, names]
+            frame, out = frame[~settled], []
+            for digest, own, part, own_mask, n in zip(*(frame[c].tolist() for c in ("digest", "id", "part", "mask", "n"))):
+                least, mask, parts = texts.get(digest) or (None, 0, {})
                 if least is None or own < least:
                     for other, rows in parts.items():
                         out += [(least, True, other, mask, -rows), (least, True, other, mask | copy, rows)]
                     least, mask, parts = own, own_mask, {}
                 if own == least:
                     parts[part] = parts.get(part, 0) + n
+                    texts[digest] = (least, mask, parts)
                     out.append((own, True, part, own_mask, n))
+                    changed = True
                 else:
                     out.append((own, True, part, own_mask | copy, n))
-            yield pd.DataFrame(out, columns=names)
-        state.update((least, mask, json.dumps(parts)))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if changed:
+            state.update((json.dumps(texts),))
 
     return keep
 
 
 def mask_changes(docs: DataFrame, text: str = "text", id_column: str = "doc_id", part: str = "lang",
-                 judge: Callable[[bytes], int] = judge_document, letters: str = LETTERS) -> DataFrame:
+                 judge: Callable[[bytes], int] = judge_document, letters: str = LETTERS, keys: int = KEYS) -> DataFrame:
     """Stream of (id, known, part, mask, n): rows to add to, or with a negative n to take from, the counters.
 
     ``docs`` is a stream. Ids may be integers or texts; ``known`` is false for null ids. The last letter's bit marks copies.
+    ``keys`` should grow with the documents, a key for some hundred of them; it stays as it is for a checkpoint.
     """
     copy = 1 << len(letters) - 1
     numeric = isinstance(docs.schema[id_column].dataType, IntegralType)
@@ -129,9 +132,9 @@ def mask_changes(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
                         F.col(text).alias("text"))
     name = kind.simpleString()
     rows = f"id {name}, known boolean, part string, mask int, n bigint"
-    collapsed = table.mapInArrow(_collapse(judge, copy, numeric), f"key binary, {rows}")
+    collapsed = table.mapInArrow(_collapse(judge, copy, numeric, keys), f"key int, digest string, {rows}")
     return collapsed.groupBy("key").applyInPandasWithState(
-        _least_id(copy), rows, f"least {name}, mask int, parts string", "append", GroupStateTimeout.NoTimeout)
+        _least_ids(copy), rows, "texts string", "append", GroupStateTimeout.NoTimeout)
 
 
 def label_flags(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefrank.llm.filter_audit import audit_filters
+from prefrank.llm.filter_audit import KEYS, audit_filters
 
 #: Micro-batches for all files; each reads the labels once, so their number does not grow with the input.
 BATCHES = 8
+#: Documents for each key of the state.
+KEYED = 256
 
 OP13_SQL = r"""WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
   words AS (SELECT *, list_filter(string_split_regex(text, '[\x09-\x0D\x20]+'), lambda w: w <> '') AS ws,
@@ -41,4 +43,4 @@ def op13_retraction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = len(table.inputFiles())
     docs = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(
         f"{sf_dir}/documents.parque[t]")
-    return audit_filters(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return audit_filters(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keys=max(KEYS, table.count() // KEYED))

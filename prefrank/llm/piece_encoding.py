@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +26,8 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "i
 
     The ids are those of the model's own merging without sampling, then its end id (with
     ``end_id``). Null and empty texts give the end id alone. Texts of any length are encoded
-    whole, in time proportional to their length; a worker holds one batch, four bytes for each character of the
-    longest word, and bounded caches. Rows are independent: repeated rows and ties give repeated results, an
+    whole, in time proportional to their length; a worker holds one batch and bounded tables and caches (four bytes for
+    each character of a longer fragment). Rows are independent: repeated rows and ties give repeated results, an
     empty table an empty one. Other columns pass through; one named like ``ids`` is replaced. ``model`` is a path
     that every executor can open; a model that normalises texts, or is not of the merging type, is a ValueError.
     """
@@ -37,13 +36,10 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "i
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         coder = model_of(model)
-        found, bounds = array("i"), np.zeros(len(texts) + 1, np.int32)
-        for i, value in enumerate(texts):
-            found.extend(coder.encode(value.as_py() or ""))
-            if end_id:
-                found.append(coder.end_id)
-            bounds[i + 1] = len(found)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(found, np.int32)))
+        tail = np.int32(coder.end_id).tobytes() if end_id else b""
+        coded = [ids + tail for ids in coder.encode_all(value.as_py() or "" for value in texts)]
+        bounds = np.r_[0, np.cumsum([len(c) // 4 for c in coded])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
     return tidy(docs, ids).select("*", encode(docs[text]).alias(ids))
 
@@ -60,16 +56,11 @@ def decode_pieces(coded: DataFrame, model: str, ids: str = "ids", text: str = "d
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
         coder = model_of(model)
-        found = []
-        for row in rows:
-            held = row.values
-            if held is not None and len(held):
-                lowest = held.null_count and -1 or held.to_numpy().min()
-                if lowest < 0:
-                    raise ValueError("ids are numbers from 0")
-                found.append(coder.decode(held.to_pylist()))
-            else:
-                found.append("")
-        return pa.array(found, pa.string())
+        flat = rows.flatten()
+        if flat.null_count or len(flat) and flat.to_numpy().min() < 0:
+            raise ValueError("ids are numbers from 0")
+        values = flat.to_numpy()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy())
+        return pa.array([coder.decode(values[a:b].tolist()) for a, b in zip(np.r_[0, ends[:-1]], ends)], pa.string())
 
     return tidy(coded, text).select("*", decode(coded[ids]).alias(text))

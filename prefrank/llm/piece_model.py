@@ -8,6 +8,9 @@ there is none. So the merges inside a run of result tokens do not depend on what
 
 An automaton over all pieces reports those that end at a place. The last token there is the one
 of them that is compatible with the last token of the prefix before it. Ids are recovered from the end.
+
+Two characters that stand side by side in no piece are never merged over, so a text falls into
+fragments that are encoded apart. Fragments that are new to a worker go through the table together, place by place.
 """
 
 from __future__ import annotations
@@ -15,22 +18,24 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import ahocorasick
+import numpy as np
 
 SPACE = "▁"
 # Fixed values of the model file: types of pieces, the model type for merging.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGING = 2
 
-#: Words and pairs of tokens remembered by a worker, and the longest word remembered.
-CACHED_WORDS = 200_000
-CACHED_PAIRS = 400_000
+#: Words and fragments remembered by a worker (each), the longest of them, and a power of two of pairs of tokens.
+CACHED = 200_000
 CACHED_CHARS = 64
-#: Texts are cut between words after so many characters.
-PART_CHARS = 1 << 20
+PAIR_BITS = 20
+#: Characters handled together; longer texts are cut between words. Fragments in one table.
+PART_CHARS = 1 << 21
+FRAGMENTS = 20_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -60,7 +65,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class PieceModel:
-    """A model file with merging, no text normalisation and blanks kept as they are."""
+    """A model file with merging, no text normalisation, a blank before the text and blanks kept as they are."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -71,7 +76,8 @@ class PieceModel:
             raise ValueError("not a merge-type model with blanks before words")
         if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
             raise ValueError("the model normalises texts")
-        self.dummy_prefix = bool(rules.get(3, 1))
+        if not rules.get(3, 1):
+            raise ValueError("the model adds no blank before texts")
         self.pieces: list[str] = []
         self.types: list[int] = []
         scores: list[float] = []
@@ -97,16 +103,38 @@ class PieceModel:
         for piece, i in self.ids.items():
             self._automaton.add_word(piece, i)
         self._automaton.make_automaton()
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
+            raise ValueError("a piece goes on over the start of a word")
         self._lengths = [len(p) for p in self.pieces]
+        self._sizes = np.array(self._lengths)
         self._histories: dict[int, tuple] = {}
         self._pairs: dict[int, bool] = {}
-        # No piece has a blank after another character: nothing merges over the start of a word.
-        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        inner = set("".join(p for p in self.ids if len(p) > 1))
-        alone = "".join(chr(c) for c in range(128) if chr(c) not in inner and chr(c) != " ")
-        self._cuts = re.compile(f"([{re.escape(alone)}])")
-        self._words: dict[str, array] = {}
-        self._parts: dict[str, array] = {}
+        self._keys = np.full(1 << PAIR_BITS, -1, np.int64)
+        self._good = np.zeros(1 << PAIR_BITS, bool)
+        # Merges of every token met, by place: score, and the tokens that then stand first and last.
+        steps = max(self._lengths)
+        self._met = np.zeros(len(self.pieces), bool)
+        self._whole = np.zeros(len(self.pieces), bool)
+        self._scores = np.full((len(self.pieces), steps), -np.inf)
+        self._heads = np.zeros((len(self.pieces), steps), np.int32)
+        self._tails = np.zeros((len(self.pieces), steps), np.int32)
+        unions = {ids << 16 | self.ids[p[k:]]: self.score[p] for p in self.ids for k in range(1, len(p))
+                  if (ids := self.ids.get(p[:k])) is not None and p[k:] in self.ids}
+        self._unions = np.array([*sorted(unions), 1 << 40])
+        self._union_scores = np.array([*(unions[k] for k in sorted(unions)), -np.inf])
+        # Characters as small numbers (0: no piece) and which of them stand side by side in a piece.
+        known = sorted({c for p in self.ids for c in p})
+        self._codes = np.zeros(0x110000, np.uint16)
+        self._codes[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        self._build_trie()
+        self._beside = np.zeros((len(known) + 1,) * 2, bool)
+        for piece in self.ids:
+            codes = self._codes[[ord(c) for c in piece]]
+            self._beside[codes[:-1], codes[1:]] = True
+        self._stop = next(chr(c) for c in range(0x110000) if not self._codes[c])
+        self._single = {c: np.int32(i).tobytes() for c, i in self.ids.items() if len(c) == 1}
+        self._words: dict[str, bytes] = {}
+        self._fragments: dict[str, bytes] = {}
 
     def _bytes_of(self, i: int, surface: bytes) -> bytes:
         kind = self.types[i]
@@ -114,6 +142,43 @@ class PieceModel:
             return bytes([int(self.pieces[i][3:5], 16)])
         return b"" if kind == CONTROL else surface if kind == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
 
+    def _build_trie(self) -> None:
+        """States of all beginnings of pieces; ``state * 2**16 + character`` finds the next state."""
+        nodes: dict[int, int] = {}
+        states, token = 1, [-1]
+        for piece, i in self.ids.items():
+            state = 0
+            for code in self._codes[[ord(c) for c in piece]].tolist():
+                key = state << 16 | code
+                state = nodes.get(key, 0)
+                if not state:
+                    state = nodes[key] = states
+                    states += 1
+                    token.append(-1)
+            token[state] = i
+        self._edges = np.array(sorted(nodes))
+        self._next = np.array([nodes[k] for k in sorted(nodes)])
+        self._token = np.array(token)
+
+    def _matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, token) of all pieces in a text: the automaton runs from every place at once."""
+        start, state, depth = np.flatnonzero(codes), 0, 0
+        found = []
+        while len(start):
+            key = state << 16 | codes[start + depth].astype(np.int64)
+            place = np.searchsorted(self._edges, key)
+            place[place == len(self._edges)] = 0
+            on = self._edges[place] == key
+            start, state = start[on], self._next[place[on]]
+            depth += 1
+            token = self._token[state]
+            ends = token >= 0
+            found.append((start[ends], depth, token[ends]))
+            inside = start + depth < len(codes)
+            start, state = start[inside], state[inside]
+        return (np.concatenate([s for s, _, _ in found]), np.concatenate([s + d for s, d, _ in found]),
+                np.concatenate([t for _, _, t in found]))
+
     # Pair compatibility
 
     def _history(self, token: int) -> tuple:
@@ -137,7 +202,7 @@ class PieceModel:
         key = left * (1 << 21) + right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= CACHED_PAIRS:
+            if len(self._pairs) >> PAIR_BITS - 2:
                 self._pairs.clear()
             known = self._pairs[key] = self._check(left, right)
         return known
@@ -205,30 +270,120 @@ class PieceModel:
         found.reverse()
         return found
 
-    def _part(self, text: str) -> array:
-        ids = self._parts.get(text)
-        if ids is None:
-            ids = self._ids_of(text)
-            if len(text) <= CACHED_CHARS:
-                if len(self._parts) >= CACHED_WORDS:
-                    self._parts.clear()
-                self._parts[text] = ids
-        return ids
+    def _meet(self, tokens: np.ndarray) -> None:
+        for token in np.unique(tokens[~self._met[tokens]]).tolist():
+            whole, first, last, steps = self._history(token)
+            self._met[token], self._whole[token] = True, whole
+            self._heads[token, 0], self._tails[token, 0] = self.ids[first], self.ids[last]
+            for k, (score, head, tail) in enumerate(steps):
+                self._scores[token, k] = score
+                self._heads[token, k + 1], self._tails[token, k + 1] = self.ids[head], self.ids[tail]
 
-    def _word(self, word: str) -> array:
-        """Ids of a blank and a word without blanks."""
-        ids = self._words.get(word)
-        if ids is None:
-            # ASCII characters of no longer piece are tokens of their own.
-            parts = self._cuts.split(SPACE + word) if self.fallback else [SPACE + word]
-            ids = self._ids_of(parts[0])
-            for part in filter(None, parts[1:]):
-                ids.extend(self._part(part))
-            if len(word) <= CACHED_CHARS:
-                if len(self._words) >= CACHED_WORDS:
-                    self._words.clear()
-                self._words[word] = ids
-        return ids
+    def _check_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`_check` of many pairs, one merge of each at a time."""
+        self._meet(left)
+        self._meet(right)
+        good = self._whole[left] & self._whole[right]
+        pair = np.flatnonzero(good)
+        left, right = left[pair], right[pair]
+        i, j = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+        while len(pair):
+            key = self._tails[left, i].astype(np.int64) << 16 | self._heads[right, j]
+            place = np.searchsorted(self._unions, key)
+            over = np.where(self._unions[place] == key, self._union_scores[place], -np.inf)
+            a, b = self._scores[left, i], self._scores[right, j]
+            none = np.maximum(a, b) == -np.inf
+            crossed = (over > a) & (over >= b)
+            good[pair[crossed]] = False
+            ahead = a >= b
+            i, j = i + ahead, j + ~ahead
+            going = ~(crossed | none)
+            pair, left, right, i, j = pair[going], left[going], right[going], i[going], j[going]
+        return good
+
+    def _compatible_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 16 | right
+        slot = (key * 0x9E3779B1 >> 12) & (1 << PAIR_BITS) - 1
+        good = self._good[slot]
+        lost = np.flatnonzero(self._keys[slot] != key)
+        if len(lost):
+            new, back = np.unique(key[lost], return_inverse=True)
+            good[lost] = self._check_all(new >> 16, new & 0xFFFF)[back]
+            self._keys[slot[lost]], self._good[slot[lost]] = key[lost], good[lost]
+        return good
+
+    def _whole_all(self, tokens: np.ndarray) -> np.ndarray:
+        self._meet(tokens)
+        return self._whole[tokens]
+
+    def _solve(self, fragments: list[str]) -> list[bytes]:
+        """Ids of fragments of characters that are pieces: one prefix table for all, filled place by place."""
+        text = self._stop.join(fragments)
+        sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
+        begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+        start, end, token = self._matches(self._codes[np.frombuffer(text.encode("utf-32-le"), np.uint32)])
+        first = np.repeat(begin, sizes + 1)[end - 1]
+        place = (end - first).astype(np.int16)
+        order = np.argsort(place, kind="stable")
+        table = np.zeros(len(text) + 1, np.int64)
+        bounds = np.searchsorted(place[order], np.arange(1, sizes.max() + 2))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            now = order[a:b]
+            here, tokens, heads = start[now], token[now], start[now] == first[now]
+            good = np.zeros(len(now), bool)
+            good[heads] = self._whole_all(tokens[heads])
+            good[~heads] = self._compatible_all(table[here[~heads]], tokens[~heads])
+            table[end[now[good]]] = tokens[good]
+        at, owner = begin + sizes, np.arange(len(fragments))
+        tokens, owners = [], []
+        while len(owner):
+            last = table[at]
+            tokens.append(last)
+            owners.append(owner)
+            at = at - self._sizes[last]
+            going = at > begin[owner]
+            at, owner = at[going], owner[going]
+        owner = np.concatenate(owners[::-1])
+        order = np.argsort(owner, kind="stable")
+        data = np.concatenate(tokens[::-1])[order].astype(np.int32).tobytes()
+        cuts = (4 * np.r_[0, np.cumsum(np.bincount(owner, minlength=len(fragments)))]).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _encode_fragments(self, fragments: Iterable[str]) -> dict[str, bytes]:
+        """Ids of different fragments; new ones are remembered."""
+        held, new = self._fragments, []
+        found = {}
+        for fragment in fragments:
+            ids = held.get(fragment)
+            if ids is None:
+                if len(fragment) == 1 and fragment not in self._single or len(fragment) > CACHED_CHARS:
+                    found[fragment] = self._ids_of(fragment).tobytes()
+                else:
+                    new.append(fragment)
+            else:
+                found[fragment] = ids
+        for a in range(0, len(new), FRAGMENTS):
+            part = new[a:a + FRAGMENTS]
+            solved = dict(zip(part, self._solve(part)))
+            found.update(solved)
+            if len(held) + len(solved) > CACHED:
+                held.clear()
+            held.update(solved)
+        return found
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of a blank and each of the words."""
+        text = SPACE + SPACE.join(words)
+        codes = self._codes[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        cut = np.r_[True, ~self._beside[codes[:-1], codes[1:]]]
+        starts = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
+        cut[starts[:-1]] = True
+        places = np.flatnonzero(cut)
+        bounds = [*places.tolist(), len(text)]
+        fragments = [text[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        ids = list(map(self._encode_fragments(set(fragments)).__getitem__, fragments))
+        upto = np.searchsorted(places, starts).tolist()
+        return [b"".join(ids[a:b]) if b - a > 1 else ids[a] for a, b in zip(upto[:-1], upto[1:])]
 
     def _cut(self, text: str) -> Iterator[str]:
         """Parts of an escaped text that begin at the start of a word."""
@@ -241,22 +396,45 @@ class PieceModel:
             begin = border.start()
         yield text[begin:]
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as 32-bit numbers, without an end id."""
+        held: list[tuple[list[str], bool]] = []
+        size = 0
+        for text in texts:
+            parts = list(self._cut(SPACE + text.replace(" ", SPACE))) if text else [""]
+            for k, part in enumerate(parts):
+                words = part.split(SPACE)[1:]
+                if "" in words:
+                    # More than one blank: all but the first of them lead the word.
+                    words = [run[1:] for run in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", part)]
+                held.append((words, k == len(parts) - 1))
+                size += len(part)
+                if size > PART_CHARS:
+                    yield from self._encode_held(held)
+                    held, size = [], 0
+        yield from self._encode_held(held)
+
+    _begun = b""
+
+    def _encode_held(self, held: list[tuple[list[str], bool]]) -> Iterator[bytes]:
+        wanted = set(chain.from_iterable(words for words, _ in held))
+        new = list(wanted.difference(self._words))
+        if len(self._words) + len(new) > CACHED:
+            self._words = {w: self._words[w] for w in wanted.intersection(self._words)}
+        if new:
+            self._words.update(zip(new, self._encode_words(new)))
+        for words, last in held:
+            ids = self._begun + b"".join(map(self._words.__getitem__, words))
+            self._begun = b"" if last else ids
+            if last:
+                yield ids
+        if len(self._words) > CACHED:
+            self._words = {}
+
     def encode(self, text: str) -> array:
         """Ids of a text, without an end id."""
-        if not text:
-            return array("i")
-        escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        if not self.by_word:
-            return self._ids_of(escaped)
         ids = array("i")
-        for part in self._cut(escaped):
-            words = part.split(SPACE)
-            if words[0] == "" and "" not in words[1:]:
-                for word in words[1:]:
-                    ids.extend(self._words.get(word) or self._word(word))
-            else:
-                for run in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", part):
-                    ids.extend(self._part(run))
+        ids.frombytes(b"".join(self.encode_all([text])))
         return ids
 
     # Decoding
@@ -264,13 +442,12 @@ class PieceModel:
     def decode(self, ids) -> str:
         """Text of ids: control ids are empty, bytes that are no UTF-8 become U+FFFD one by one."""
         held = [self.bytes[i] for i in ids]
-        if self.dummy_prefix:
-            # The blank before the text goes; ids that give nothing do not count as its start.
-            for k, i in enumerate(ids):
-                if held[k]:
-                    if self.types[i] == NORMAL and held[k][:1] == b" ":
-                        held[k] = held[k][1:]
-                    break
+        # The blank before the text goes; ids that give nothing do not count as its start.
+        for k, i in enumerate(ids):
+            if held[k]:
+                if self.types[i] == NORMAL and held[k][:1] == b" ":
+                    held[k] = held[k][1:]
+                break
         try:
             return b"".join(held).decode() if all(held[:-1]) else "".join(_lenient(held))
         except UnicodeDecodeError:

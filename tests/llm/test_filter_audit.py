@@ -75,11 +75,11 @@ LABELS = [(i, i % 2, i % 3 == 0 or None) for i in range(0, 200, 3)] + [(3, 0, 1)
 LABELS = [(i, q, t if t is None else int(t)) for i, q, t in LABELS]
 
 
-@pytest.mark.parametrize("files", [1, 3, 9])
-def test_any_cut_into_micro_batches(spark, tmp_path, files):
+@pytest.mark.parametrize("files, keys", [(1, 4096), (3, 2), (9, 64)])
+def test_any_cut_into_micro_batches(spark, tmp_path, files, keys):
     rows = texts(5, 160)
     docs = written(spark, tmp_path / "docs", rows, files)
-    assert collected(audit_filters(docs, label_table(spark, LABELS))) == expected(rows, LABELS)
+    assert collected(audit_filters(docs, label_table(spark, LABELS), keys=keys)) == expected(rows, LABELS)
 
 
 def test_smaller_ids_that_come_later_retract(spark, tmp_path):
@@ -113,11 +113,11 @@ def test_many_copies_do_not_meet(spark, tmp_path):
     docs = written(spark, tmp_path / "docs", rows, 2)
     got = collected(audit_filters(docs, label_table(spark, LABELS)))
     assert got == expected(rows, LABELS)
-    run = filter_audit._collapse(judge_document, 16, True)
+    run = filter_audit._collapse(judge_document, 16, True, 1 << 20)
     import pyarrow as pa
     batch = pa.record_batch([pa.array(range(3000)), pa.array(["en"] * 3000), pa.array(["one text"] * 3000)], names=["id", "part", "text"])
-    keys = Counter(k for b in run(iter([batch])) for k in b.column(0).to_pylist())
-    assert max(keys.values()) < 20 and sum(len(k) == 32 for k in keys) == 1
+    out = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert max(Counter(r["key"] for r in out).values()) < 20 and sum(r["digest"] is not None for r in out) == 1
 
 
 def test_nothing(spark, tmp_path):
