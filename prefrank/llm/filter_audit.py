@@ -23,11 +23,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegralType, LongType, StringType
 
+from prefrank.llm.words import utf8
 from prefrank.session import scratch_path
 
 LETTERS = "ABCDE"
 #: Keys of the state; a key holds the texts whose hash it is.
 KEYS = 4096
+#: Documents that a task holds at once.
+BATCH_ROWS = 2000
 _CAPITALS = bytes(range(0x41, 0x5B))
 _MARKS = b"#$%&*|"
 
@@ -58,8 +61,9 @@ def _collapse(judge: Callable[[bytes], int], copy: int, numeric: bool, keys: int
             masks: dict[str, int] = {}
             least: dict[str, object] = {}
             digests = []
-            for own, value in zip(ids, batch.column(2).cast(pa.large_binary())):
-                text = value.as_py() or b""
+            data, offsets = utf8(batch.column(2))
+            for own, begin, end in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
+                text = data[begin:end].tobytes()
                 digest = hashlib.sha256(text).hexdigest()
                 digests.append(digest)
                 if digest not in masks:
@@ -165,8 +169,15 @@ def start_audit(docs: DataFrame, labels: DataFrame, path: str, checkpoint: str,
             F.sum("n").alias("n"), *[F.sum(F.col("n") * F.coalesce(c, F.lit(0))).alias(c) for c in ("good", "toxic")])
         counted.write.mode("overwrite").parquet(f"{path}/counters/batch={number}")
 
-    return (changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(count).start())
+    # A stream takes the settings of its start; the session gets its own back.
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        return (changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).foreachBatch(count).start())
+    finally:
+        spark.conf.set(setting, rows)
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
