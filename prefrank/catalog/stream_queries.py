@@ -11,7 +11,7 @@ from prefrank.catalog.scoring_queries import _P_SQL, _SCORED_SQL, _WINNER_SQL, P
 from prefrank.operators.ordering import exact_quantiles
 from prefrank.plans import scoring as plan
 from prefrank.sources.reports import feedback_json
-from prefrank.streaming import feeds
+from prefrank.streaming import feeds, lateness, panes, repeats, versions
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 _STAMP_SQL = "'%Y-%m-%d %H:%M:%S'"
@@ -45,6 +45,13 @@ def run_complete(spark, df, name):
     return feeds.latest_batch(spark, f"{out}/rows")
 
 
+def run_updating(spark, df, name, *keys):
+    """Update-mode stream, then the newest row of each key."""
+    out = session.scratch_path(spark, name)
+    versions.start_updating(df, f"{out}/rows", f"{out}/state").awaitTermination()
+    return versions.latest_rows(spark, f"{out}/rows", df.schema, *keys)
+
+
 def stamp(column):
     return F.date_format(column, STAMP).alias(column)
 
@@ -52,8 +59,9 @@ def stamp(column):
 @query("stream_tumbling_counts", f"""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), {_STAMP_SQL}) AS window_start,
   event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_tumbling_counts(spark, folder):
+    """Open windows too: the newest version of each window and label."""
     counts = feeds.tumbling_counts(events(spark, folder), "ts", "event_type")
-    return run_complete(spark, counts, "tumbling").select(stamp("window_start"), "event_type", "n")
+    return run_updating(spark, counts, "tumbling", "window_start", "event_type").select(stamp("window_start"), "event_type", "n")
 
 
 @query("stream_closed_windows", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n
@@ -78,6 +86,51 @@ def stream_sliding_latency(spark, folder):
         stamp("window_start"), "n", "p50_ms", "p95_ms", "p99_ms", "over_limit")
 
 
+@query("stream_sliding_sketch", f"""WITH w AS (
+    SELECT unnest([time_bucket(INTERVAL 15 MINUTES, ts) - i * INTERVAL 15 MINUTES for i in range(0, 16)]) AS start FROM events)
+  SELECT strftime(start, {_STAMP_SQL}) AS window_start, count(*) AS n, true AS p50_near, true AS p95_near, true AS p99_near
+  FROM w GROUP BY start""")
+def stream_sliding_sketch(spark, folder):
+    """Four-hour windows merged from panes of a quarter; every percentile's rank among the window's rows is near its share."""
+    stream = panes.latency_panes(events(spark, folder), "ts", "value")
+    stored = run_updating(spark, stream, "panes", "pane_start")
+    found = panes.sliding_percentiles(stored, "4 hours")
+    rows = v.table(spark, folder, "events").select(F.window(F.col("ts").cast("timestamp"), "4 hours", "15 minutes")["start"]
+                                                   .alias("window_start"), "value")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    # The share that a value stands for lies between the share of smaller rows and that of rows up to it.
+    ranks = [F.count_if(F.col("value") < F.col(f"{p}_ms")).alias(f"{p}_below") for p in shares]
+    ranks += [F.count_if(F.col("value") <= F.col(f"{p}_ms")).alias(f"{p}_upto") for p in shares]
+    held = rows.join(found, "window_start").groupBy("window_start", "n").agg(*ranks)
+    slack = 2 * panes.RANK_ERROR * F.col("n")
+    return held.select(stamp("window_start"), "n", *[
+        ((F.col(f"{p}_below") <= share * F.col("n") + slack) & (F.col(f"{p}_upto") >= share * F.col("n") - slack)).alias(f"{p}_near")
+        for p, share in shares.items()])
+
+
+#: Five files by day, in which one event of ten comes twelve days late.
+_FILE_SQL = "least(4, (date_diff('day', DATE '2024-01-01', ts::DATE) + CASE WHEN event_id % 10 = 0 THEN 12 ELSE 0 END) // 6)"
+
+
+@query("stream_late_rows", f"""WITH e AS (SELECT *, {_FILE_SQL} AS file FROM events),
+  marks AS (SELECT f.file, max(e.ts) - INTERVAL 1 HOUR AS mark FROM range(0, 5) f(file) LEFT JOIN e ON e.file < f.file GROUP BY f.file)
+  SELECT event_id, coalesce(ts < date_trunc('millisecond', mark), false) AS late,
+    CASE WHEN ts < date_trunc('millisecond', mark) THEN round(epoch(date_trunc('millisecond', mark)) - epoch(ts), 3) END AS delay_seconds
+  FROM e JOIN marks USING (file)""")
+def stream_late_rows(spark, folder):
+    """Events in five files, each a micro-batch: kept and late rows are all rows, late ones with their delay."""
+    out = session.scratch_path(spark, "late")
+    rows = v.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01")) + F.when(F.col("event_id") % 10 == 0, 12).otherwise(0)
+    filed = rows.withColumn("file", F.least(F.lit(4), F.floor(day / 6)))
+    for file in range(5):
+        filed.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = feeds.read_table(spark, f"{out}/in", rows.schema, max_files=1)
+    lateness.start_split(stream, "ts", f"{out}/rows", f"{out}/state").awaitTermination()
+    stored = lateness.read_split(spark, f"{out}/rows", rows.schema)
+    return stored.select("event_id", (F.col("arrival") == "late").alias("late"), F.round("delay_seconds", 3).alias("delay_seconds"))
+
+
 @query("stream_sessions", f"""WITH g AS (SELECT user_id, ts,
     CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -96,8 +149,10 @@ def stream_sessions(spark, folder):
     GROUP BY k.user_id)
   SELECT user_id, strftime(ts, {_STAMP_SQL}) AS ts FROM kept""")
 def stream_repeat_suppression(spark, folder):
-    first = feeds.suppress_repeats(events(spark, folder).select("user_id", "ts"), "user_id", "ts")
-    return run(spark, first, "repeats").select("user_id", stamp("ts"))
+    out = session.scratch_path(spark, "repeats")
+    requests = events(spark, folder).select("user_id", "ts")
+    repeats.start_suppressing(requests, "user_id", "ts", out, f"{out}/state").awaitTermination()
+    return repeats.read_kept(spark, out, requests.schema).select("user_id", stamp("ts"))
 
 
 @query("stream_feedback_join", """SELECT v.event_id AS predicted_id, p.event_id AS feedback_id

@@ -17,6 +17,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; one that does not exist is none to delete."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_preferences(spark: SparkSession, path: str, max_rows: int | None = None,
                      order: str | None = None,
                      observation: Observation | None = None) -> DataFrame:
