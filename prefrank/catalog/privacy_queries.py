@@ -7,7 +7,7 @@ from prefrank.catalog import views as v
 from prefrank.catalog.registry import query
 from prefrank.functions import privacy
 from prefrank.operators import audit, monitoring
-from prefrank.plans.auditing import audit_files
+from prefrank.plans.auditing import audit_files, has_violation
 
 @query("redact_documents", f"SELECT doc_id, {v.redact_sql('text')} AS text FROM documents")
 def redact_documents(spark, folder):
@@ -120,13 +120,31 @@ def audit_report(spark, folder):
                          first["line"].cast("long").alias("first_line"), first["content"].alias("first_content"))
 
 
+def _tree(spark, folder):
+    """Documents as text files by source; every seventh below a hidden folder, every eleventh below another."""
+    docs = v.table(spark, folder, "documents").select("doc_id", "source", F.col("text").alias("value"))
+    tree = session.scratch_path(spark, "audit-tree")
+    place = F.when(F.col("doc_id") % 7 == 0, ".hidden").when(F.col("doc_id") % 11 == 0, "_inner").otherwise("plain")
+    for name in (".hidden", "_inner", "plain"):
+        docs.where(place == name).drop("doc_id").write.partitionBy("source").text(f"{tree}/{name}")
+    return tree
+
+
 @query("audit_file_tree", f"""{_FOUND_SQL}
   SELECT d.source, f.content, count(*) AS n FROM found f JOIN documents d USING (doc_id) GROUP BY 1, 2""")
 def audit_file_tree(spark, folder):
-    """Documents written as text files, one folder per source, then audited as a file tree."""
-    docs = v.table(spark, folder, "documents")
-    tree = session.scratch_path(spark, "audit-tree")
-    docs.select("source", F.col("text").alias("value")).write.partitionBy("source").text(tree)
-    found = audit_files(spark, [tree]).violations
+    """A file tree with hidden folders, audited with two overlapping targets."""
+    tree = _tree(spark, folder)
+    found = audit_files(spark, [tree, f"{tree}/.hidden"]).violations
     source = F.regexp_extract("path", "source=([^/]+)", 1).alias("source")
     return found.groupBy(source, "content").agg(F.count("*").alias("n"))
+
+
+@query("audit_strict", f"""{_FOUND_SQL}
+  SELECT count(*) AS total_violations, 0::BIGINT AS files_skipped, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+    count(*) > 0 AS found_any, count(*) FILTER (WHERE doc_id % 7 = 0) > 0 AS hidden_any FROM found""")
+def audit_strict(spark, folder):
+    """Totals of the tree, and the strict probe of all of it and of its hidden part."""
+    tree = _tree(spark, folder)
+    return audit_files(spark, [tree]).summary.drop("files_scanned").withColumns({
+        "found_any": F.lit(has_violation(spark, [tree])), "hidden_any": F.lit(has_violation(spark, [f"{tree}/.hidden"]))})

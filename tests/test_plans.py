@@ -212,15 +212,94 @@ def test_audit_of_files(spark, tmp_path):
     assert clean.passed and clean.summary.first().status == "PASS"
 
 
-def test_line_numbers_over_many_splits(spark, tmp_path):
+def test_audit_reads_hidden_names_and_says_what_it_could_not_read(spark, tmp_path, monkeypatch):
+    for name in (".secret.log", "_part.txt", ".git/x.csv", "a/_b/.c/deep.json", "plain.log", "gone.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("one\nmail a@b.co\n")
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    (tmp_path / "dangling.log").symlink_to(tmp_path / "nowhere")
+    list_files = auditing.file_tree.list_files
+
+    def and_lose_one(*args):
+        files = list_files(*args)
+        assert files.count() == 6
+        (tmp_path / "gone.log").unlink()
+        return files
+
+    monkeypatch.setattr(auditing.file_tree, "list_files", and_lose_one)
+    result = auditing.audit_files(spark, [str(tmp_path), f"file:{tmp_path}/a", str(tmp_path / "plain.log")])
+    found = sorted((r.path[len(str(tmp_path)) + 1:], r.line) for r in result.violations.collect())
+    assert found == [(n, 2) for n in (".git/x.csv", ".secret.log", "_part.txt", "a/_b/.c/deep.json", "plain.log")]
+    assert [(r.path, r.error.split(":")[0]) for r in result.unreadable.collect()] == [(f"{tmp_path}/gone.log", "FileNotFoundError")]
+    summary = result.summary.first()
+    assert (summary.files_scanned, summary.files_skipped, summary.total_violations, summary.status) == (6, 1, 5, "FAIL")
+    result.write_report(str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "unreadable")).count() == 1
+    monkeypatch.setattr(auditing.file_tree, "list_files", list_files)
+    assert auditing.has_violation(spark, [str(tmp_path / ".git")])
+    assert not auditing.has_violation(spark, [str(tmp_path / ".git")], (".log",))
+
+
+def test_an_audit_that_could_not_read_a_file_is_incomplete(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.log").write_text("fine")
+    (tmp_path / "b.log").write_text("fine")
+    list_files = auditing.file_tree.list_files
+
+    def and_lose_one(*args):
+        files = list_files(*args)
+        files.count()
+        (tmp_path / "b.log").unlink()
+        return files
+
+    monkeypatch.setattr(auditing.file_tree, "list_files", and_lose_one)
+    result = auditing.audit_files(spark, [str(tmp_path)])
+    assert result.summary.first().status == "INCOMPLETE" and not result.passed
+
+
+def test_wide_trees_are_dealt_out_again(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"d{i % 7}" / f"e{i}").mkdir(parents=True)
+        (tmp_path / f"d{i % 7}" / f"e{i}" / "f.txt").write_text("x")
+    monkeypatch.setattr(auditing.file_tree, "WALK", 3)
+    files = auditing.file_tree.list_files(spark, [str(tmp_path)])
+    assert files.count() == 40
+
+
+@pytest.mark.parametrize("chunk, span", [(1, 3), (2, 5), (7, 4), (100, 10), (5, 1), (64, 1000)])
+def test_lines_of_ranges(monkeypatch, chunk, span):
+    import io
+    import random
+    from prefrank.sources import file_tree
+    monkeypatch.setattr(file_tree, "CHUNK_BYTES", chunk)
+    rng = random.Random(chunk * 1000 + span)
+    for _ in range(300):
+        data = "".join(rng.choice(["a", "bc", "\n", "\r", "\r\n", ""]) for _ in range(rng.randrange(20))).encode()
+        got = [line for begin in range(0, max(len(data), 1), span)
+               for line in file_tree.lines_between(io.BytesIO(data), begin, begin + span)]
+        want = data.decode().replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        assert [x.decode() for x in got] == (want[:-1] if want[-1] == "" else want), data
+
+
+def test_line_numbers_over_many_ranges(spark, tmp_path, monkeypatch):
+    lines = [f"linha {i} " + ("a@b.co" if i % 997 == 0 else "x" * (i % 50)) for i in range(20000)]
+    (tmp_path / "big.log").write_text("\n".join(lines))
+    read = auditing.file_tree.read_lines
+    monkeypatch.setattr(auditing.file_tree, "read_lines", lambda files: read(files, 65536))
+    result = auditing.audit_files(spark, [str(tmp_path)])
+    assert sorted(r.line for r in result.violations.collect()) == [i + 1 for i in range(0, 20000, 997)]
+
+
+def test_spark_reads_what_tasks_cannot_open(spark, tmp_path, monkeypatch):
     lines = [f"linha {i} " + ("a@b.co" if i % 997 == 0 else "x" * (i % 50)) for i in range(20000)]
     (tmp_path / "big.log").write_text("\n".join(lines))
+    (tmp_path / ".hidden.log").write_text("a@b.co")
+    monkeypatch.setattr(auditing.file_tree, "readable_in_tasks", lambda target: False)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
     try:
         result = auditing.audit_files(spark, [str(tmp_path)])
-        assert result.violations.select("line").distinct().count() == len(range(0, 20000, 997))
         assert sorted(r.line for r in result.violations.collect()) == [i + 1 for i in range(0, 20000, 997)]
+        assert result.skipped == 1 and auditing.has_violation(spark, [str(tmp_path)])
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
