@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import _col
+from prefrank.session import scratch_path
+
+#: Characters of the rules that become one automaton and travel to the tasks with the plan.
+SHARD_CHARS = 4_000_000
 
 
 def detect_intent(message, rules=fixed.INTENT_RULES, default: str = fixed.DEFAULT_INTENT) -> Column:
@@ -17,28 +22,104 @@ def detect_intent(message, rules=fixed.INTENT_RULES, default: str = fixed.DEFAUL
         F.lit(default))
 
 
+def _first_place(rules: list[tuple]):
+    """Function from a batch of texts to the place, in ``rules``, of the first rule whose keyword each contains.
+
+    A trie of the keywords with failure links reports all that a text contains in one run over it. It is
+    built with the first batch of a task.
+    """
+    built = []
+
+    def build():
+        import ahocorasick
+
+        trie = ahocorasick.Automaton()
+        for place in range(len(rules) - 1, -1, -1):
+            if rules[place][1]:
+                trie.add_word(rules[place][1], place)  # of equal keywords the first rule stays
+        trie.make_automaton()
+        return trie if len(trie) else None, next((i for i, r in enumerate(rules) if not r[1]), None)
+
+    def places(texts: pa.Array) -> list[int | None]:
+        if not built:
+            built.append(build())
+        trie, always = built[0]
+        found = []
+        for text in texts.to_pylist():
+            best = None if text is None else always
+            if trie is not None and text:
+                first = min((place for _, place in trie.iter(text)), default=None)
+                best = first if best is None or first is not None and first < best else best
+            found.append(best)
+        return found
+
+    return places
+
+
+def _intent_of(rules: list[tuple]):
+    places = _first_place(rules)
+
+    @F.arrow_udf("string")
+    def intent(texts: pa.Array) -> pa.Array:
+        return pa.array([None if i is None else rules[i][2] for i in places(texts)], pa.string())
+
+    return intent
+
+
+def _place_of(rules: list[tuple]):
+    places = _first_place(rules)
+
+    @F.arrow_udf("int")
+    def place(texts: pa.Array) -> pa.Array:
+        return pa.array(places(texts), pa.int32())
+
+    return place
+
+
+def _shards(rules: DataFrame) -> tuple[DataFrame, int]:
+    """Rules with the number of their shard, of `SHARD_CHARS` characters each on average, and how many there are."""
+    size = rules.agg(F.sum(F.length("keyword") + F.length("intent") + 16)).first()[0] or 0
+    count = -(-size // SHARD_CHARS) or 1
+    return rules.withColumn("_shard", F.pmod(F.xxhash64("keyword"), F.lit(count))), count
+
+
+def _rules_of(shard: DataFrame) -> list[tuple]:
+    """(ord, keyword, intent) in the order in which rules win."""
+    rows = [tuple(r) for r in shard.select("ord", "keyword", "intent").collect()]
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] is not None, r[2] or ""))
+
+
 def match_rule_table(df: DataFrame, rules: DataFrame, message: str = "message",
                      default: str = fixed.DEFAULT_INTENT, out: str = "intent") -> DataFrame:
     """The same with rules from a table (ord, keyword, intent).
 
-    Keywords meet messages in an equi-join on their first three characters (shorter ones on
-    all they have), so neither table has to fit anywhere. Equal messages are matched once. The
-    rule with the smallest ``ord`` wins; an empty keyword is in every message.
+    The rule with the smallest ``ord`` wins; an empty keyword is in every message. Keywords become an
+    automaton that runs once over each message, without a shuffle. Rules of more than `SHARD_CHARS`
+    characters are cut into shards by a hash of the keyword; then the different messages are stored and run through one
+    shard after the other, each with its own job, and the hits are joined back.
     """
+    placed, count = _shards(rules.where(F.col("keyword").isNotNull()))
     lower = F.lower(F.col(message))
-    texts = df.where(F.col(message).isNotNull()).select(lower.alias("_text")).distinct().withColumn("_key", F.md5("_text"))
-    chars = F.regexp_extract_all("_text", F.lit("(?s)."), F.lit(0))  # substring() would count from the start each time
-    grams = F.get(F.transform(F.array(chars), lambda c: F.array_distinct(F.concat(
-        F.array(F.lit("")), c, F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.get(c, i + 1), F.lit("")))),
-        F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.get(c, i + 1), F.lit("")), F.coalesce(F.get(c, i + 2), F.lit(""))))
-    ))), 0)
-    keyed = rules.where(F.col("keyword").isNotNull()).select(
-        F.substring("keyword", 1, 3).alias("_gram"), "ord", "keyword", "intent")
-    near = texts.select("_key", F.explode(grams).alias("_gram")).join(keyed, "_gram").drop("_gram")
-    hits = near.join(texts, "_key").where(F.contains("_text", F.col("keyword")))
-    best = hits.groupBy("_text").agg(F.min_by("intent", F.struct("ord", "keyword", "intent")).alias("_intent"))
-    return (df.withColumn("_lower", lower).join(best, F.col("_lower") == F.col("_text"), "left")
-            .withColumn(out, F.coalesce("_intent", F.lit(default))).drop("_lower", "_text", "_intent"))
+    if count == 1:
+        found = _rules_of(placed)
+        return df.withColumn(out, F.coalesce(_intent_of(found)(lower), F.lit(default)))
+    spark = df.sparkSession
+    place = scratch_path(spark, "rule-table")
+    df.where(F.col(message).isNotNull()).select(lower.alias("_text")).distinct().withColumn(
+        "_key", F.md5("_text")).write.parquet(f"{place}/texts")
+    texts = spark.read.schema("_text string, _key string").parquet(f"{place}/texts")
+    placed.select("ord", "keyword", "intent", "_shard").write.partitionBy("_shard").parquet(f"{place}/rules")
+    stored = spark.read.parquet(f"{place}/rules")
+    schema = "_key string, ord int, keyword string, intent string"
+    for shard in range(count):
+        found = _rules_of(stored.where(F.col("_shard") == shard))
+        table = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "_at int, ord int, keyword string, intent string")
+        hits = texts.withColumn("_at", _place_of(found)("_text")).where("_at is not null")
+        hits.join(table, "_at").select("_key", "ord", "keyword", "intent").write.parquet(f"{place}/hits/{shard}")
+    hits = spark.read.schema(schema).parquet(*[f"{place}/hits/{shard}" for shard in range(count)])
+    best = hits.groupBy("_key").agg(F.min_by("intent", F.struct("ord", "keyword", "intent")).alias("_intent"))
+    return (df.withColumn("_own", F.md5(lower)).join(best, F.col("_own") == F.col("_key"), "left")
+            .withColumn(out, F.coalesce("_intent", F.lit(default))).drop("_own", "_key", "_intent"))
 
 
 def _lookup(mapping: dict, key, default: str) -> Column:

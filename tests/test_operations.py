@@ -37,6 +37,32 @@ def test_rule_tables_of_any_size(spark):
     assert got == sorted([("x K19999. k7. y", "i7"), ("nothing", "outros"), ("", "outros"), ("Über", "one"), ("ab", "two"), ("ab", "two")])
 
 
+@pytest.mark.parametrize("shard", [routing.SHARD_CHARS, 40_000])
+def test_rules_that_share_their_first_letters(spark, monkeypatch, shard):
+    monkeypatch.setattr(routing, "SHARD_CHARS", shard)
+    rng = random.Random(8)
+    keywords = ["abc" + "".join(rng.choices("abcé日", k=rng.randrange(3, 7))) for _ in range(20_000)]
+    order = list(range(20_000))
+    rng.shuffle(order)
+    rules = [(None if i == 7 else o, k, f"i{i % 50}") for i, (o, k) in enumerate(zip(order, keywords))]
+    rules += [(o, k, "same keyword") for o, k, _ in rules[:100]] + [(5, None, "none")]
+    texts = [" ".join(rng.choices([*keywords, "x", "Z"], k=rng.randrange(0, 4))) for _ in range(60)] + ["", None, "ABCÉ", "abc" * 40, "xabcx"]
+    first = {}
+    for o, k, intent in sorted([r for r in rules if r[1]], key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        first.setdefault(k, (len(first), intent))
+    want = []
+    for text in texts:
+        hits = [first[k] for k in first if text is not None and k in text.lower()]
+        want.append((text or "", min(hits)[1] if hits else "outros"))
+    df = spark.createDataFrame([(t,) for t in texts + texts[:5]], "message string")
+    table = spark.createDataFrame(rules, "ord int, keyword string, intent string")
+    got = [(r.message or "", r.intent) for r in routing.match_rule_table(df, table).collect()]
+    assert sorted(got) == sorted(want + want[:5]) and len({i for _, i in got}) > 5
+    always = routing.match_rule_table(df, table.union(spark.createDataFrame([(-1, "", "always")], table.schema)))
+    assert {r.intent for r in always.where("message is not null").collect()} <= {"always", "i7"}
+    assert {r.intent for r in routing.match_rule_table(df, table.limit(0)).collect()} == {"outros"}
+
+
 def test_routing_and_prompt(spark):
     df = spark.createDataFrame([("cancelamento", "MEI", "oi"), ("desconhecido", "XX", "tchau")],
                                "intent string, segment string, message string")
