@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
     from prefrank.catalog import (  # noqa: F401
         monitoring_queries, privacy_queries, quality_queries, metric_queries,
-        routing_queries, scoring_queries, stream_queries, text_queries, training_queries,
+        reader_queries, routing_queries, scoring_queries, stream_queries, text_queries, training_queries,
     )
 
     return QUERIES, ORACLES

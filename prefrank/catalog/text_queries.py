@@ -92,14 +92,16 @@ def truncate_tokens(spark, folder):
         F.array_join(F.col("kept")[c], " ").alias(c) for c in ("prompt", "response_a", "response_b")])
 
 
-@query("pad_encoding", """WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)
-  SELECT doc_id, least(n, 256)::BIGINT AS attended, 256::BIGINT AS ids, 256::BIGINT AS mask,
-         greatest(256 - n, 0)::BIGINT AS padded FROM w""")
+@query("pad_encoding", """WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents),
+  ids AS (SELECT doc_id, len(ws) AS n, list_transform(ws[1:256], lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 50000) AS ids FROM w)
+  SELECT doc_id, least(n, 256)::BIGINT AS attended,
+    md5(array_to_string(list_concat(ids, list_transform(range(n, 256), lambda i: -1)), ',')) AS ids,
+    md5(array_to_string(list_transform(range(0, 256), lambda i: (i < n)::INT), ',')) AS mask FROM ids""")
 def pad_encoding(spark, folder):
-    ids = text.token_ids("text", 50_000)
+    """Ids from a hash that SQL has too; both arrays as digests."""
+    ids = text.token_ids("text", 50_000, 256, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
     rows = v.table(spark, folder, "documents").select("doc_id", text.pad_encoding(ids, 256, -1).alias("e"))
     ones = F.aggregate(F.col("e.attention_mask"), F.lit(0), lambda s, m: s + m)
     return rows.select(
-        "doc_id", ones.cast("long").alias("attended"), F.size("e.input_ids").cast("long").alias("ids"),
-        F.size("e.attention_mask").cast("long").alias("mask"),
-        F.size(F.filter("e.input_ids", lambda i: i == -1)).cast("long").alias("padded"))
+        "doc_id", ones.cast("long").alias("attended"),
+        *[F.md5(F.array_join(f"e.{c}", ",")).alias(name) for c, name in (("input_ids", "ids"), ("attention_mask", "mask"))])

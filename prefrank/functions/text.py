@@ -18,9 +18,19 @@ def words(text) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0))
 
 
-def token_ids(text, vocabulary: int) -> Column:
-    """Hashed word ids in ``[0, vocabulary)``."""
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(vocabulary)).cast("int"))
+def hash_word(word) -> Column:
+    return F.xxhash64(word)
+
+
+def token_ids(text, vocabulary: int, limit: int | None = None, hash_of=hash_word) -> Column:
+    """Hashed word ids in ``[0, vocabulary)``, of the first ``limit`` words if it is given.
+
+    ``hash_of`` turns a word into a whole number.
+    """
+    found = words(text)
+    if limit is not None:
+        found = F.slice(found, 1, limit)
+    return F.transform(found, lambda w: F.pmod(hash_of(w), F.lit(vocabulary)).cast("int"))
 
 
 def truncate_triple(prompt, response_a, response_b, max_length: int,

@@ -34,7 +34,7 @@ def test_entry(spark):
     assert entry(spark).count() == 3
 
 
-def test_only_training_lacks_an_oracle():
+def test_only_epochs_lack_an_oracle():
     """Among the library's own queries; those of the corpus operators have tests of their own."""
     own, oracles = load_all()
-    assert set(own) - set(oracles) == {"train_classifier"} and own.keys() <= queries().keys()
+    assert set(own) - set(oracles) == {"train_epochs"} and own.keys() <= queries().keys()

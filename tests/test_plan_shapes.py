@@ -17,7 +17,9 @@ ROW_WISE = (
     "answer_interactions", "retention",
 )
 # These run a job while they are built.
-EAGER = {"train_classifier", "evaluate_triples", "audit_file_tree", "gate_report", "submission_csv"}
+EAGER = {"train_classifier", "train_epochs", "training_objective", "evaluate_triples", "audit_file_tree", "audit_strict",
+         "gate_report", "submission_csv", "cache_compaction", "pii_gate", "rule_file", "read_preferences",
+         "read_preferences_limited", "read_for_validation", "required_columns"}
 
 
 @pytest.fixture(scope="module")
