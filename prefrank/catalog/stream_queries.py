@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from prefrank import session
 from prefrank.catalog import views as v
+from prefrank.catalog.metric_queries import _BEST
 from prefrank.catalog.privacy_queries import _TYPES
 from prefrank.catalog.quality_queries import FEEDBACK_ERRORS_SQL, FEEDBACK_SQL, feedback
 from prefrank.catalog.registry import query
@@ -11,7 +12,7 @@ from prefrank.catalog.scoring_queries import _P_SQL, _SCORED_SQL, _WINNER_SQL, P
 from prefrank.operators.ordering import exact_quantiles
 from prefrank.plans import scoring as plan
 from prefrank.sources.reports import feedback_json
-from prefrank.streaming import feeds, lateness, panes, repeats, versions
+from prefrank.streaming import feeds, lateness, panes, repeats, run_watch, versions
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 _STAMP_SQL = "'%Y-%m-%d %H:%M:%S'"
@@ -108,6 +109,22 @@ def stream_sliding_sketch(spark, folder):
         for p, share in shares.items()])
 
 
+@query("stream_run_decisions", f"""WITH {v.HISTORY_SQL}, {_BEST},
+  stops AS (SELECT run_id, min(epoch) AS stop_epoch FROM best WHERE streak >= 2 GROUP BY run_id),
+  ran AS (SELECT best.*, stop_epoch FROM best LEFT JOIN stops USING (run_id) WHERE stop_epoch IS NULL OR epoch <= stop_epoch)
+  SELECT run_id, count(*)::INT AS epochs, max(epoch) AS last_epoch, max(best_so_far) AS best_auc,
+    max(CASE WHEN improved THEN epoch END) AS best_epoch, any_value(stop_epoch) AS stop_epoch FROM ran GROUP BY run_id""")
+def stream_run_decisions(spark, folder):
+    """Histories written in three parts; the stream is started after each and goes on where it was."""
+    out = session.scratch_path(spark, "runs")
+    history = v.run_history(spark, folder).withColumns({c: F.lit(None).cast("double") for c in (
+        "accuracy", "log_loss", "loss", "cls_loss", "rank_loss")})
+    for low, high in ((0, 3), (3, 20), (20, 1000)):
+        history.where((F.col("epoch") > low) & (F.col("epoch") <= high)).write.parquet(f"{out}/history/{low}")
+        run_watch.start_watching(spark, f"{out}/history", f"{out}/rows", f"{out}/state").awaitTermination()
+    return run_watch.current_decisions(spark, f"{out}/rows").drop("no_improve_count")
+
+
 #: Five files by day, in which one event of ten comes twelve days late.
 _FILE_SQL = "least(4, (date_diff('day', DATE '2024-01-01', ts::DATE) + CASE WHEN event_id % 10 = 0 THEN 12 ELSE 0 END) // 6)"
 

@@ -200,3 +200,27 @@ def test_tables_that_cannot_be_trained_on(spark, tmp_path):
     assert training.training_rows(personal).rows().count() == 6
     blank = triples.withColumn("response_a", F.when(F.col("conversation_id") == "1", " ").otherwise(F.col("response_a")))
     assert training.training_rows(blank).rows().count() == 5
+
+
+def test_decisions_follow_a_run(spark, tmp_path):
+    from prefrank.streaming import run_watch
+
+    rows, held_out = training.training_rows(pairs(spark, 60), steps=2), training.training_rows(pairs(spark, 60))
+    path, place = str(tmp_path / "runs"), str(tmp_path / "watch")
+
+    def seen():
+        run_watch.start_watching(spark, f"{path}/history", f"{place}/rows", f"{place}/state", patience=2).awaitTermination()
+        return {r.run_id: r for r in run_watch.current_decisions(spark, f"{place}/rows").collect()}
+
+    for epochs, run in ((2, "one"), (5, "two")):
+        training.train(rows, path, run, held_out, schedule=Schedule(epochs=epochs, steps=2, learning_rate=0.3))
+        got = seen()
+        for name, r in got.items():
+            history = runs.early_stopping(training.run_history(spark, path, name)).orderBy("epoch").collect()
+            assert (r.epochs, r.last_epoch, r.best_epoch, r.stop_epoch) == (
+                len(history), history[-1].epoch, history[-1].best_epoch, history[-1].stop_epoch)
+            assert r.best_auc == pytest.approx(max(0.0, *[h.val_auc for h in history]))
+    assert set(got) == {"one", "two"} and seen() == got
+    training.train(rows, path, "three", schedule=Schedule(epochs=4, steps=2))
+    third = seen()["three"]
+    assert (third.epochs, third.best_epoch, third.stop_epoch) == (4, None, None)
