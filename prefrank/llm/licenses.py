@@ -148,8 +148,9 @@ OUTRANKED = {"bsd-binary": ("bsd-neither", "bsd-grant")}
 HINTS = "licen|permission|redistribut|free software|free and unencumbered|public license|public domain|all rights reserved|" \
         "version [23] of"
 #: Sentences end at stops before white space, at semicolons and colons, at blank lines, at list marks, and at line
-#: breaks before a capital, digit or mark; a line that goes on in lower case belongs to its sentence.
-SENTENCE_END = r"[.!?;:]+(?:\s+|$)|\n\s*\n|\n\s*[^a-z\s]{0,3}\s*(?=[A-Z0-9])"
+#: breaks before a capital, digit or mark; a line that goes on in lower case belongs to its sentence. For texts whose
+#: runs of blanks are one blank each; a run of stops is tried from its first one only, so time grows with the text.
+SENTENCE_END = r"(?<![.!?;:])[.!?;:]++(?:\s+|$)|\n ?\n|\n ?[^a-z\s]{0,3} ?(?=[A-Z0-9])"
 
 
 def normalised(sentence: Column) -> Column:
@@ -159,36 +160,55 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order; repeats stay."""
+    """Identifiers of the known sentences of a text, in order; repeats stay.
+
+    Texts without a hint word are passed over for the library's own table, whose sentences all hold one.
+    """
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    even = F.regexp_replace(text, r"[^\S\n]++", " ")
     # A sentence that follows a line break may begin with the break's capital: the break is not part of it.
-    found = F.transform(F.split(text, SENTENCE_END), lambda s: F.try_element_at(known, normalised(s)))
-    hinted = F.lower(text).rlike(HINTS)
-    return F.when(hinted, F.array_compact(found)).otherwise(F.array().cast("array<string>"))
+    found = F.array_compact(F.transform(F.split(even, SENTENCE_END), lambda s: F.try_element_at(known, normalised(s))))
+    if sentences is not SENTENCES:
+        return found
+    return F.when(F.lower(text).rlike(HINTS), found).otherwise(F.array().cast("array<string>"))
+
+
+def rule_fits(ids: list[str], found: Column, outranked: dict[str, tuple[str, str]]) -> Column:
+    """Whether the identifiers of a rule stand in ``found`` in their order, with any others between.
+
+    One pass over the places: ``step`` counts the rule's identifiers met so far. If the last one is outranked, the
+    rule fits only if, of its two others, the first does not come next.
+    """
+    last = len(ids)
+    rule = F.array(*[F.lit(i) for i in ids])
+    above, again = outranked.get(ids[-1], (None, None))
 
+    def after(step, own):
+        going = F.when(F.get(rule, step) == own, step + 1).otherwise(step)
+        if above is None:
+            return F.when(step >= last, step).otherwise(going)
+        waiting = F.when(own == above, F.lit(last - 1)).when(own == again, F.lit(last + 1)).otherwise(step)
+        return F.when(step > last, step).when(step == last, waiting).otherwise(going)
 
-def rule_pattern(ids: list[str]) -> str:
-    """Pattern over the identifiers joined as `,a,b,`: these, in this order, with any others between."""
-    pattern = ",(.*,)?".join(["", *ids, ""]).replace(",(.*,)?", ",", 1)[:-len(",(.*,)?")] + ","
-    if ids[-1] not in OUTRANKED:
-        return pattern
-    others = "|".join(sorted(set(SENTENCES.values()) - set(OUTRANKED[ids[-1]])))
-    return f"{pattern}(({others}),)*({OUTRANKED[ids[-1]][1]},|$)"
+    return F.aggregate(found, F.lit(0), after) >= last
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES,
-                  rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+                  rules: list[tuple[str, list[str]]] = RULES,
+                  outranked: dict[str, tuple[str, str]] = OUTRANKED) -> DataFrame:
     """``docs`` with ``license_sentences`` (identifiers in order) and ``licenses`` (names, sorted, each once).
 
-    Null and empty texts have none of either. Columns with the added names are replaced, others
-    pass through; every row gives one row. Tables of sentences and rules are parameters and travel in the plan.
+    Null and empty texts have none of either; texts of any length are read whole, in time that grows with their
+    length. Columns with the added names are replaced, others pass through; every row gives one row, repeated rows
+    repeated ones. Tables of sentences and rules are parameters and travel in the plan.
     """
     rows = tidy(docs, "license_sentences", "licenses")
     with_ids = rows.withColumn("license_sentences", sentence_ids(F.coalesce(F.col(text), F.lit("")), sentences))
-    joined = F.concat(F.lit(","), F.array_join("license_sentences", ","), F.lit(","))
-    names: dict[str, list[str]] = {}
+    found = F.col("license_sentences")
+    names: dict[str, Column] = {}
     for name, ids in rules:
-        names.setdefault(name, []).append(rule_pattern(ids))
-    fits = [F.when(joined.rlike("|".join(patterns)), F.lit(name)) for name, patterns in sorted(names.items())]
+        fits = rule_fits(ids, found, outranked)
+        names[name] = names[name] | fits if name in names else fits
+    fits = [F.when(fit, F.lit(name)) for name, fit in sorted(names.items())]
     some = F.when(F.size("license_sentences") > 0, F.array_compact(F.array(*fits)))
     return with_ids.withColumn("licenses", F.coalesce(some, F.array().cast("array<string>")))

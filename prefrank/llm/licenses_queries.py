@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefrank.llm.licenses import HINTS, RULES, SENTENCES, rule_pattern, scan_licenses
+from prefrank.llm.licenses import HINTS, OUTRANKED, RULES, SENTENCES, scan_licenses
 
 
 def op8_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,15 @@ def op8_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       F.array_join("licenses", ",").alias("licenses"))
 
 
+def rule_pattern(ids: list[str]) -> str:
+    """Pattern over the identifiers joined as `,a,b,`: these, in this order, with any others between."""
+    pattern = ",(.*,)?".join(["", *ids, ""]).replace(",(.*,)?", ",", 1)[:-len(",(.*,)?")] + ","
+    if ids[-1] not in OUTRANKED:
+        return pattern
+    others = "|".join(sorted(set(SENTENCES.values()) - set(OUTRANKED[ids[-1]])))
+    return f"{pattern}(({others}),)*({OUTRANKED[ids[-1]][1]},|$)"
+
+
 _KNOWN = ", ".join(f"('{text}', '{name}')" for text, name in SENTENCES.items())
 _FITS = ", ".join(
     "CASE WHEN " + " OR ".join(f"regexp_matches(joined, '{rule_pattern(ids)}')" for n, ids in RULES if n == name)

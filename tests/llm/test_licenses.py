@@ -1,4 +1,10 @@
-from prefrank.llm.licenses import RULES, SENTENCES, rule_pattern, scan_licenses
+import random
+import re
+import time
+
+from prefrank.llm.licenses import OUTRANKED, RULES, SENTENCES, rule_fits, scan_licenses
+from prefrank.llm.licenses_queries import rule_pattern
+from pyspark.sql import functions as F
 from samples import prose
 
 MIT = """MIT License
@@ -46,7 +52,7 @@ def test_sentences_and_rules(spark):
 def test_headers(spark):
     docs = spark.createDataFrame([(1, APACHE), (2, GPL)], "doc_id int, text string")
     got = {r.doc_id: r.licenses for r in scan_licenses(docs).collect()}
-    assert got[1] == ["Apache-2.0"]
+    assert got[1] == ["Apache-2.0"] and got[2] == ["GPL-3.0-or-later"]
 
 
 def test_rules_name_known_sentences():
@@ -87,3 +93,42 @@ def test_notices_clauses_and_readme_forms(spark):
     docs = spark.createDataFrame(list(enumerate(text for text, _ in cases)), "doc_id int, text string")
     got = {r.doc_id: r.licenses for r in scan_licenses(docs).collect()}
     assert got == {i: names for i, (_, names) in enumerate(cases)}
+
+
+def timed(spark, text):
+    begin = time.perf_counter()
+    row = scan_licenses(spark.createDataFrame([(text,)], "text string")).first()
+    return time.perf_counter() - begin, row
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    scan_licenses(spark.createDataFrame([("x",)], "text string")).collect()
+    known = "All rights reserved.\n" * 100_000
+    spent, row = timed(spark, BSD + known)
+    assert spent < 8 and row.licenses == ["BSD-2-Clause"] and len(row.license_sentences) > 100_000
+    for text in ("licen\n" + " " * 1_000_000 + "x", "licen" + "." * 1_000_000 + "x", "licen" + "\n" * 1_000_000, "licen\n" + "\t \n" * 300_000,
+                 "licen" + " \r" * 500_000 + "\n-" * 200_000):
+        spent, row = timed(spark, text)
+        assert spent < 8 and row.licenses == []
+
+
+def test_other_tables(spark):
+    docs = spark.createDataFrame([(1, "Do as you like.\nThen pay up; or else."), (2, "Do as you like. Never mind. Then pay up."),
+                                  (3, "Then pay up. Do as you like."), (4, None), (4, None)], "doc_id int, text string")
+    sentences = {"do as you like": "like", "then pay up": "pay", "never mind": "mind", "or else": "else"}
+    found = scan_licenses(docs, sentences=sentences, rules=[("L", ["like", "pay"]), ("P", ["pay"])], outranked={}).collect()
+    assert sorted((r.doc_id, r.licenses) for r in found) == [(1, ["L", "P"]), (2, ["L", "P"]), (3, ["P"]), (4, []), (4, [])]
+    above = scan_licenses(docs, sentences=sentences, rules=[("P", ["pay"])], outranked={"pay": ("else", "mind")}).collect()
+    assert sorted((r.doc_id, r.licenses) for r in above) == [(1, []), (2, ["P"]), (3, ["P"]), (4, []), (4, [])]
+
+
+def test_rules_fit_as_their_patterns_do(spark):
+    rng = random.Random(3)
+    ids = sorted(set(SENTENCES.values()))
+    hot = ["bsd-grant", "bsd-source", "bsd-binary", "bsd-neither"]
+    rows = [(i, [rng.choice(hot if rng.random() < 0.8 else ids) for _ in range(rng.randrange(0, 12))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, found array<string>")
+    for name, rule in RULES:
+        got = {r.i: r.fit for r in df.select("i", rule_fits(rule, F.col("found"), OUTRANKED).alias("fit")).collect()}
+        want = {i: bool(re.search(rule_pattern(rule), "," + ",".join(found) + ",")) for i, found in rows}
+        assert got == want, name
