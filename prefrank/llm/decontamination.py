@@ -239,15 +239,16 @@ def _segment_terms(batches):
 def build_index(items: DataFrame, id_column: str = "item_id", text: str = "text") -> list[Shard]:
     """Shards of the index over all items; term counts and lengths are taken over all of them.
 
-    Items with a null id or without a word are left out; of repeated ids the smallest text counts.
+    An item is an id with a text: different texts of one id, or of none, are items of their own; repeated rows are
+    one. Items without a word are left out.
     """
-    kind = items.schema[id_column].dataType.simpleString()
-    items = items.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("item")).agg(
-        F.min(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    items = items.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    own = F.md5(F.concat_ws("\n", F.col("id").isNull().cast("string"), F.col("id").cast("string"), "text"))
+    items = items.withColumn("item", own)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_CHARS))
     shard = lambda: F.pmod(F.xxhash64("item"), F.lit(shards))
-    terms = items.mapInArrow(_segment_terms, f"item {kind}, segment long, term long, tf long, length long")
+    terms = items.select("item", "text").mapInArrow(_segment_terms, "item string, segment long, term long, tf long, length long")
     pieces = terms.select("item", "segment", "length").distinct().agg(
         F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     idf = terms.groupBy("term").agg(F.count("*").alias("df")).select(
@@ -257,19 +258,20 @@ def build_index(items: DataFrame, id_column: str = "item_id", text: str = "text"
     weighted = terms.join(idf, "term").select("item", "segment", "length", "term", impact.alias("impact"))
     found = []
     for k in range(shards):
-        texts = {r["item"]: r["text"] for r in items.where(shard() == k).toLocalIterator()}
-        rows = weighted.where(shard() == k).toArrow().to_pydict()
+        rows = {r["item"]: (r["id"], r["text"]) for r in items.where(shard() == k).toLocalIterator()}
+        weights = weighted.where(shard() == k).toArrow().to_pydict()
         # Segments in order of length: those of one group and block have impacts of one size.
-        order = sorted(set(zip(rows["length"], rows["item"], rows["segment"])))
+        order = sorted(set(zip(weights["length"], weights["item"], weights["segment"])))
         if not order:
             continue
         number = {(item, segment): i for i, (_, item, segment) in enumerate(order)}
-        names = sorted(texts)
+        names = sorted(rows, key=lambda item: (rows[item][0] is None, rows[item][0] or 0, rows[item][1]))
         place = {item: i for i, item in enumerate(names)}
-        segment = np.array([number[pair] for pair in zip(rows["item"], rows["segment"])])
-        impacts = np.array(rows["impact"])
+        segment = np.array([number[pair] for pair in zip(weights["item"], weights["segment"])])
+        impacts = np.array(weights["impact"])
         own = np.bincount(segment, weights=impacts, minlength=len(order))
-        found.append(Shard(names, [texts[i] for i in names], np.array(rows["term"], np.int64).view(_U), segment,
+        found.append(Shard([rows[i][0] for i in names], [rows[i][1] for i in names],
+                           np.array(weights["term"], np.int64).view(_U), segment,
                            impacts / own[segment], np.array([place[item] for _, item, _ in order])))
     return found
 
@@ -295,7 +297,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", id
                        item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` with ``leaks``: the items each text holds, by id, with scores and the best passage's span.
 
-    Ids are integers or strings. Null and empty texts hold none; without items no text does. A
+    Ids are integers or strings, null and repeated ones too; an id stands once for each of its texts that is
+    held. Null and empty texts hold none; without items no text does. A
     column ``leaks`` is replaced, others pass through.
     """
     small_batches(docs.sparkSession)

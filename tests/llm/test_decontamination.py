@@ -72,6 +72,18 @@ def test_long_items_are_found_at_all_offsets(spark, table):
     assert {r.doc_id: [x.item_id for x in r.leaks] for r in found if r.leaks} == want
 
 
+def test_repeated_and_missing_ids(spark, table):
+    texts = [f"{prose(300 + i, 25)}. {prose(400 + i, 7)}." for i in range(5)]
+    rows = [(0, texts[0]), (0, texts[1]), (0, texts[2]), (None, texts[3]), (None, texts[4]), (0, texts[0]), (None, None), (0, "")]
+    docs = [(i, f"{prose(i, 30)} {t} {prose(i + 9, 30)}") for i, t in enumerate(texts)] + [(9, f"{texts[0]} {texts[1]} {texts[3]}")]
+    want = {0: [0], 1: [0], 2: [0], 3: [None], 4: [None], 9: [0, 0, None]}
+    for kind in ("bigint", "string"):
+        named = [(i if i is None or kind == "bigint" else f"q{i}", t) for i, t in rows]
+        found = find_contamination(table(docs), spark.createDataFrame(named, f"item_id {kind}, text string")).collect()
+        plain = {k: [i if i is None or kind == "bigint" else f"q{i}" for i in v] for k, v in want.items()}
+        assert {r.doc_id: [x.item_id for x in r.leaks] for r in found} == plain
+
+
 def test_shards_find_the_same(table, items, monkeypatch):
     rows, frame = items
     docs = [(i, f"{prose(i, 30)} {t} {prose(i + 1, 30)}") for i, t in rows]
