@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from prefrank.llm.links import bucket_components, shared_buckets
 from prefrank.llm.scratch import Scratch, small_batches, tidy
@@ -99,7 +100,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", id_column: str =
                            threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, class_id, class_size, first_id, first_key) of every different text.
 
-    ``key`` is `content_key`; equal texts have one key. ``class_id`` is the smallest id of the
+    ``key`` is `content_key`; equal texts have one key. Ids are integers or texts. ``class_id`` is the smallest id of the
     class (a hash of its first key if all its ids are null, or if a class with a smaller first key
     has the same smallest id); (``first_id``, ``first_key``) names the row to keep. Texts without a word are linked with nothing but their exact copies.
     """
@@ -129,8 +130,11 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", id_column: str =
     classes = classes.join(shared, F.col("first.id") == F.col("shared_id"), "left").select(
         "root", "class_size", "first",
         F.when(F.col("owner").isNull() | (F.col("owner") == F.col("first.key")), F.col("first.id")).alias("own_id"))
+    # Names of classes are of the ids' kind: whole numbers, or texts.
+    other = F.xxhash64("first.key") if isinstance(docs.schema[id_column].dataType, IntegralType) else F.hex("first.key")
+    kind = "bigint" if isinstance(docs.schema[id_column].dataType, IntegralType) else "string"
     return scratch.save(named.join(classes, "root").select(
-        "key", F.coalesce("own_id", F.xxhash64("first.key")).alias("class_id"), "class_size",
+        "key", F.coalesce(F.col("own_id").cast(kind), other).alias("class_id"), "class_size",
         F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "classes")
 
 

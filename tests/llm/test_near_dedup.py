@@ -155,3 +155,15 @@ def test_one_id_with_different_texts(spark, table):
     got = near_duplicates(table(rows)).toPandas()
     assert got.groupby("text").class_id.nunique().eq(1).all() and got.class_id.nunique() == 4
     assert {1, 2} <= set(got.class_id)
+
+
+def test_text_ids(spark):
+    texts = [prose(70 + i, 50) for i in range(3)]
+    rows = [("doc-c", texts[0]), ("doc-a", texts[0] + " tail"), ("doc-b", texts[1]), ("doc-b", texts[2]), (None, texts[2]), (None, prose(80, 50))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = near_duplicates(docs).collect()
+    names = {r.text: r.class_id for r in got}
+    assert names[texts[0]] == names[texts[0] + " tail"] == "doc-a" and len(set(names.values())) == 4
+    assert all(isinstance(r.class_id, str) for r in got)
+    kept = sorted((r.doc_id or "", r.text) for r in keep_first(docs).collect())
+    assert kept == sorted([("doc-a", texts[0] + " tail"), ("doc-b", texts[1]), ("doc-b", texts[2]), ("", rows[5][1])])
