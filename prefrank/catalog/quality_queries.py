@@ -6,6 +6,7 @@ from prefrank.catalog import views as v
 from prefrank.catalog.registry import query
 from prefrank.functions.scoring import winner
 from prefrank.operators import contracts, dataset
+from prefrank.operators.ordering import PRIMES, ROUNDS, round_constants
 from prefrank.plans.validation import validation_report
 
 _COLUMNS = "conversation_id, prompt, response_a, response_b, segment, label"
@@ -32,10 +33,29 @@ def row_counts(spark, folder):
     return dataset.row_counts(v.triples(spark, folder))
 
 
-@query("epoch_order", f"WITH {v.CLEAN_SQL} SELECT conversation_id, label FROM clean")
+def _round_sql(turn: int, factor: int, summand: int) -> str:
+    """One round of the permutation as a lateral subquery; even turns move the left half."""
+    own, other, side = ("l", "r", "width") if turn % 2 == 0 else ("r", "l", "height")
+    first = f"(({other}{turn} * {factor} + {summand}) % {PRIMES[0]})"
+    return (f"LATERAL (SELECT ({own}{turn} + ({first} * {first}) % {PRIMES[1]}) % {side} AS {own}{turn + 1}, "
+            f"{other}{turn} AS {other}{turn + 1}) AS t{turn}")
+
+
+_ONCE_SQL = "LATERAL (SELECT v // height AS l0, v % height AS r0) AS t, " + ", ".join(
+    _round_sql(turn, *pair) for turn, pair in enumerate(round_constants(7)))
+
+
+@query("epoch_order", f"""WITH RECURSIVE {v.CLEAN_SQL}, size AS (SELECT count(*) AS n,
+    (floor(sqrt(count(*) - 1)) + 1)::BIGINT AS width FROM clean),
+  sides AS (SELECT n, width, (n + width - 1) // width AS height FROM size),
+  walk(conversation_id, label, v) AS (
+    SELECT conversation_id, label, l{ROUNDS} * height + r{ROUNDS} FROM (
+      SELECT conversation_id, label, row_number() OVER (ORDER BY conversation_id) - 1 AS v FROM clean) AS c, sides, {_ONCE_SQL}
+    UNION ALL SELECT conversation_id, label, l{ROUNDS} * height + r{ROUNDS} FROM walk, sides, {_ONCE_SQL} WHERE v >= n)
+  SELECT conversation_id, label, v::BIGINT AS position FROM walk, sides WHERE v < n""")
 def epoch_order(spark, folder):
     rows = dataset.clean_preferences(v.triples(spark, folder)).select("conversation_id", "label")
-    return dataset.shuffle_rows(rows, "conversation_id", seed=7)
+    return dataset.epoch_order(rows, "conversation_id", seed=7)
 
 
 @query("label_distribution", f"""WITH {v.TRIPLES_SQL}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import _col, has_pii
+from prefrank.operators.ordering import permuted, with_positions
 from prefrank.schemas import REQUIRED_PREFERENCE_COLUMNS, TEXT_COLUMNS
 
 
@@ -96,6 +97,16 @@ def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
+def epoch_order(df: DataFrame, key: str, seed: int, out: str = "position") -> DataFrame:
+    """Rows with their place in the repeatable order of an epoch; ``key`` is unique.
+
+    The place is that of a keyed permutation of the positions in the order of ``key``: another epoch is another seed, and
+    rows need not be sorted again for it.
+    """
+    placed, total = with_positions(df, key, out="_position")
+    return placed.select(*df.columns, permuted("_position", total, seed).alias(out))
+
+
 def label_distribution(df: DataFrame, winner: str = "winner") -> DataFrame:
     """Count and share of all rows per winner text, with an imbalance flag.
 

@@ -9,10 +9,13 @@ balance the work: results do not depend on where they fall.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from prefrank.session import computed_once
+from prefrank.session import computed_once, scratch_path
 
 #: Pieces an ordered domain is cut into at least; more where the session has more shuffle partitions.
 BUCKETS = 256
@@ -141,3 +144,80 @@ def exact_quantiles(df: DataFrame, value: str, shares, by=(), buckets: int | Non
     return picked.select(
         *by, "share",
         (F.col("low_value") + (F.col("high_value") - F.col("low_value")) * between).alias("quantile"))
+
+
+def with_positions(df: DataFrame, *order: str, out: str = "position", partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Rows with their global 0-based position in the order of some columns, and how many rows there are.
+
+    Rows are dealt by ranges of the order, sorted in their range and stored with their place in it; a running
+    total over the ranges, one row each, gives the positions. The order may be of any type; equal rows take
+    neighbouring positions in any order. The table is read twice, the first time for the bounds of the ranges.
+    """
+    spark = df.sparkSession
+    place = scratch_path(spark, "positions")
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    # The id counts the rows of a task in its lower 33 bits, in their order.
+    ranged.select("*", F.spark_partition_id().cast("long").alias("_part"), F.monotonically_increasing_id().bitwiseAND(
+        F.lit((1 << 33) - 1)).alias("_at")).write.parquet(place)
+    names = StructType([*df.schema.fields, StructField("_part", LongType()), StructField("_at", LongType())])
+    stored = spark.read.schema(names).parquet(place)
+    sizes = stored.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # One row for each partition that was written.
+    found = stored.join(F.broadcast(starts), "_part")
+    return found.select(*df.columns, (F.col("_start") + F.col("_at")).alias(out)), total
+
+
+#: Rounds of a permutation, and the prime moduli of its round function (squares stay below 2**63).
+ROUNDS = 4
+PRIMES = (2147483647, 2147483629)
+
+
+def round_constants(seed: int) -> list[tuple[int, int]]:
+    """(factor, summand) of each round."""
+    found, state = [], seed & ((1 << 64) - 1)
+    for _ in range(ROUNDS):
+        pair = []
+        for _ in range(2):
+            state = (state * 6364136223846793005 + 1442695040888963407) & ((1 << 64) - 1)
+            pair.append((state >> 33) % (PRIMES[0] - 1) + 1)
+        found.append((pair[0], pair[1]))
+    return found
+
+
+def sides(n: int) -> tuple[int, int]:
+    """Width and height of the smallest near-square that holds ``n`` places."""
+    width = math.isqrt(max(n - 1, 0)) + 1
+    return width, -(-max(n, 1) // width)
+
+
+def permuted(position, n: int, seed: int) -> Column:
+    """Place of a position of ``0 .. n-1`` in a repeatable permutation keyed by ``seed``.
+
+    A Feistel network over the two halves of a position; what it sends to the few places of its near-square
+    past ``n`` goes through it again until it is back. No rows move and no permutation is stored.
+    """
+    width, height = sides(n)
+    constants = round_constants(seed)
+
+    def mixed(x, factor, summand):
+        first = (x * factor + summand) % PRIMES[0]
+        return (first * first) % PRIMES[1]
+
+    def once(value):
+        left, right = F.floor(value / height).cast("long"), value % height
+        for turn, (factor, summand) in enumerate(constants):
+            if turn % 2:
+                right = (right + mixed(left, factor, summand)) % height
+            else:
+                left = (left + mixed(right, factor, summand)) % width
+            pair = F.struct(left.alias("l"), right.alias("r"))
+            left, right = pair["l"], pair["r"]
+        return left * height + right
+
+    start = F.col(position) if isinstance(position, str) else position
+    turns = F.sequence(F.lit(1), F.lit(64))
+    return F.aggregate(turns, F.lit(-1).cast("long"), lambda value, turn: F.when(
+        (value >= 0) & (value < n), value).otherwise(once(F.when(turn == 1, start.cast("long")).otherwise(value))))

@@ -187,3 +187,34 @@ def test_positions_and_chunks(spark, buckets):
     assert got == {i: n for n, i in enumerate(sorted(ids))}
     chunks = {r.id: r.chunk for r in ordering.chunk(df, "id", 16, buckets=buckets).collect()}
     assert chunks == {i: n // 16 for n, i in enumerate(sorted(ids))}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 100, 1000, 1023])
+def test_permutations_are_one_to_one(spark, n):
+    places = spark.range(n)
+    orders = [[r[0] for r in places.select("id", ordering.permuted("id", n, seed).alias("p")).orderBy("id").select("p").collect()]
+              for seed in (1, 2)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    if n >= 100:
+        assert orders[0] != orders[1]
+        moved = sum(abs(p - i) > n // 20 for i, p in enumerate(orders[0]))
+        assert moved > 0.7 * n and sum(a + 1 == b for a, b in zip(orders[0], orders[0][1:])) < 0.05 * n
+
+
+def test_permutation_of_large_positions(spark):
+    n = 10 ** 13
+    got = [r.p for r in spark.range(n - 500, n).select(ordering.permuted("id", n, 3).alias("p")).collect()]
+    assert len(set(got)) == 500 and all(0 <= p < n for p in got) and max(got) - min(got) > n // 2
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 7])
+def test_positions_in_any_order(spark, partitions):
+    rows = [(f"k{i * 7919 % 1009:04d}", i % 3) for i in range(1009)]
+    placed, total = ordering.with_positions(spark.createDataFrame(rows, "k string, c int"), "k", partitions=partitions)
+    got = placed.collect()
+    assert total == 1009 and placed.columns == ["k", "c", "position"]
+    assert [r.position for r in sorted(got, key=lambda r: r.k)] == list(range(1009))
+    same, n = ordering.with_positions(spark.createDataFrame([("x",)] * 50, "k string"), "k", partitions=partitions)
+    assert sorted(r.position for r in same.collect()) == list(range(50)) and n == 50
+    none, n = ordering.with_positions(spark.createDataFrame([], "k string"), "k", partitions=partitions)
+    assert none.collect() == [] and n == 0
