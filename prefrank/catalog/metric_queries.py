@@ -7,7 +7,8 @@ from prefrank.catalog import views as v
 from prefrank.catalog.registry import query
 from prefrank.operators import metrics, runs
 from prefrank.operators.ordering import chunk
-from prefrank.plans.evaluation import gate_and_report
+from prefrank.plans.evaluation import GateFailed, gate_and_report
+from prefrank.sources.tables import path_exists
 
 
 def _rounded(df, *names):
@@ -126,6 +127,27 @@ def gate_report(spark, folder):
     return _rounded(gate, "value").join(report, "segment")
 
 
+@query("gate_refuses", f"""WITH {v.VECTORS_SQL}, a AS (SELECT segment, avg((pred = label)::INT) AS accuracy FROM preds GROUP BY segment),
+  middle AS (SELECT round(avg(accuracy), 6) AS limit_ FROM a)
+  SELECT segment, round(accuracy, 6) AS value, CASE WHEN accuracy >= limit_ THEN 'ok' ELSE 'fail' END AS status,
+    true AS refused, false AS report_written, accuracy < limit_ AS named FROM a, middle""")
+def gate_refuses(spark, folder):
+    """A limit between the segments' accuracies: the gate raises, names the segments that fail, and writes no report."""
+    path = session.scratch_path(spark, "gate-refused")
+    result = session.reliable_checkpoint(metrics.evaluation_metrics(v.vector_predictions(spark, folder), ["segment"]))
+    limit = result.agg(F.round(F.avg("accuracy"), 6)).first()[0]
+    rules = (("accuracy", "min", limit, "fail"),)
+    try:
+        gate_and_report(result, path, rules, by=["segment"])
+        error = ""
+    except GateFailed as failure:
+        error = str(failure)
+    gate = metrics.acceptance_gate(result, rules, ["segment"])
+    return _rounded(gate, "value").select(
+        "segment", "value", "status", F.lit(bool(error)).alias("refused"), F.lit(path_exists(spark, path)).alias("report_written"),
+        F.contains(F.lit(error), F.concat(F.lit("'"), "segment", F.lit("'"))).alias("named"))
+
+
 def _dcg_sql(name: str, order: str) -> str:
     """Per query: every row's discount by rank, averaged inside tied groups."""
     return f"""{name}_r AS (SELECT q, {order} AS o, rel,

@@ -1,7 +1,10 @@
 """Intents, prompts, generated text, submissions."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from prefrank import fixed_values as fixed
 from prefrank import session
 from prefrank.catalog import views as v
 from prefrank.catalog.registry import query
@@ -77,20 +80,24 @@ def intent_accuracy(spark, folder):
     return rows.withColumn("accuracy", F.round("accuracy", 6))
 
 
-_TONE_SQL = """CASE segment WHEN 'MEI' THEN 'simples, direto e acolhedor' WHEN 'VAREJO' THEN
-  'consultivo e profissional' WHEN 'CORPORATE' THEN 'técnico, executivo e preciso' ELSE 'profissional' END"""
-_HINT_SQL = """CASE intent WHEN 'reclamacao_taxa' THEN 'ofereça uma simulação de antecipação de recebíveis'
-  WHEN 'duvida_taxa_mdr' THEN 'explique detalhadamente a composição do MDR'
-  WHEN 'problema_terminal' THEN 'abra um chamado técnico e forneça ETA de resolução'
-  WHEN 'cancelamento' THEN 'ative o script de retenção, destaque benefícios exclusivos'
-  WHEN 'outros' THEN 'direcione ao atendimento geral com empatia' ELSE 'responda com empatia' END"""
-_PROMPT_SQL = f"""'<|system|>' || chr(10) || 'Você é o assistente de suporte da Loja. Responda em português, com tom '
-  || {_TONE_SQL} || '. Segmento do lojista: ' || segment || '.' || chr(10) || '<|user|>' || chr(10) || message
-  || chr(10) || '<|assistant|>' || chr(10) || '<think>' || chr(10)
-  || 'Vou analisar a mensagem do lojista passo a passo:' || chr(10) || '1. Intent detectado: ' || intent || chr(10)
-  || '2. Segmento: ' || segment || ' — tom adequado: ' || {_TONE_SQL} || chr(10)
-  || '3. Ação recomendada pelo roteador: ' || {_HINT_SQL} || chr(10)
-  || '4. Devo ser empático, resolver o problema e ' || {_HINT_SQL} || '.' || chr(10) || '</think>' || chr(10)"""
+def _text_sql(text: str) -> str:
+    """A text as a SQL literal; line breaks are spelled out."""
+    quoted = text.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{line}'" for line in quoted)
+
+
+def _case_sql(column: str, mapping: dict, default: str) -> str:
+    cases = " ".join(f"WHEN {_text_sql(k)} THEN {_text_sql(value)}" for k, value in mapping.items())
+    return f"CASE {column} {cases} ELSE {_text_sql(default)} END"
+
+
+_PROMPT_PARTS = {
+    "company": "'Loja'", "segment": "segment", "message": "message", "intent": "intent",
+    "tone": _case_sql("segment", fixed.SEGMENT_TONES, fixed.DEFAULT_TONE),
+    "action": _case_sql("intent", fixed.ACTION_HINTS, fixed.DEFAULT_ACTION_HINT)}
+_PROMPT_SQL = " || ".join(
+    _PROMPT_PARTS[name] if name in _PROMPT_PARTS else _text_sql(name)
+    for name in re.split(r"\{(\w+)\}", fixed.REASONING_PROMPT))
 
 
 @query("reasoning_prompt", f"WITH {_MESSAGES_SQL} SELECT conv_id, turn, {_PROMPT_SQL} AS prompt FROM routed")
