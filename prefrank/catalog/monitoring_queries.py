@@ -200,8 +200,7 @@ def _matched(spark, folder):
         "user_id", "ts", "event_id", v.pick(("A", "B", "tie"), F.col("event_id") % 3).alias("predicted"))
     given = e.where(F.col("event_type") == "purchase").select(
         "user_id", "ts", "event_id", v.pick(("A", "B", "tie"), F.col("user_id") % 3).alias("actual"))
-    return feedback.latest_before(predictions, given, "user_id", "ts", "predicted", "event_id",
-                                  slice_seconds=6 * 3600)
+    return feedback.latest_before(predictions, given, "user_id", "ts", "predicted", "event_id")
 
 
 @query("feedback_matches", f"WITH {_MATCHED_SQL} SELECT event_id, actual, predicted FROM matched")

@@ -87,6 +87,9 @@ def test_frames(spark, table):
         assert r.ids == library(r.text) and r.decoded == LIBRARY.decode(r.ids)
     plain = decode_pieces(encode_pieces(docs, MODEL, end_id=False), MODEL, text="Text").collect()
     assert sorted(r.Text for r in plain) == sorted((t or "").replace("▁", " ") for _, t in rows)
+    both = encode_pieces(docs, MODEL, decoded="text")
+    assert both.columns == ["doc_id", "ids", "text"]
+    assert sorted((list(r.ids), r.text) for r in both.collect()) == sorted((list(r.ids), r.decoded) for r in got)
     assert decode_pieces(encode_pieces(table([]), MODEL), MODEL).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [3 + 0xE4, 2, 3 + 0x92])], "k int, ids array<int>")
     assert [r.decoded for r in decode_pieces(odd, MODEL).orderBy("k").collect()] == ["", "", "��"]

@@ -203,22 +203,35 @@ def test_cache(spark):
     assert cache.misses(requests, table, now).count() == 4
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 60, 86400])
-def test_latest_before_equals_scan(spark, slice_seconds):
-    rng = random.Random(4)
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+@pytest.mark.parametrize("span", [400, 3])
+def test_latest_before_equals_scan(spark, partitions, span):
+    rng = random.Random(partitions + span)
     begin = dt.datetime(2024, 1, 1)
-    # User 0 holds a third of all rows; times collide on purpose.
-    key = lambda: 0 if rng.random() < 0.34 else rng.randint(1, 5)
-    made = [(key(), begin + dt.timedelta(seconds=rng.randint(0, 400)), i, f"p{i}") for i in range(150)]
-    given = [(key(), begin + dt.timedelta(seconds=rng.randint(0, 400)), i) for i in range(150)]
+    # User 0 holds most rows; times collide on purpose, at the smaller span almost always.
+    key = lambda: rng.choice([0, 0, 0, rng.randint(1, 5), None])
+    time = lambda: rng.choice([None] + [begin + dt.timedelta(seconds=rng.randint(0, span))] * 20)
+    made = [(key(), time(), i // 2, rng.choice([f"p{i}", None])) for i in range(120)]
+    given = [(key(), time(), i, "old") for i in range(250)]
     p = spark.createDataFrame(made, "k int, ts timestamp, pid int, predicted string")
-    f = spark.createDataFrame(given, "k int, ts timestamp, fid int")
-    got = {r.fid: r.predicted for r in feedback.latest_before(p, f, "k", "ts", "predicted", "pid", slice_seconds).collect()}
-    assert len(got) == 150
-    for k, ts, fid in given:
-        before = [m for m in made if m[0] == k and m[1] <= ts]
-        want = max(before, key=lambda m: (m[1], m[2]))[3] if before else None
-        assert got[fid] == want
+    f = spark.createDataFrame(given, "k int, ts timestamp, fid int, predicted string")
+    matched = feedback.latest_before(p, f, "k", "ts", "predicted", "pid", partitions)
+    assert matched.columns == ["k", "ts", "fid", "predicted", "predicted_at"]
+    got = {r.fid: (r.predicted, r.predicted_at, r.k, r.ts) for r in matched.collect()}
+    assert len(got) == 250
+    for k, ts, fid, _ in given:
+        before = [m for m in made if None not in (k, ts, m[1]) and m[0] == k and m[1] <= ts]
+        want = max(before, key=lambda m: (m[1], m[2], m[3] is not None, m[3] or "")) if before else None
+        assert got[fid] == ((want[3], want[1]) if want else (None, None)) + (k, ts)
+
+
+def test_latest_before_with_text_keys_and_nothing(spark):
+    p = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1, 0.5)], "k string, ts timestamp, pid int, score double")
+    f = spark.createDataFrame([("a", dt.datetime(2024, 1, 2)), ("b", dt.datetime(2024, 1, 2))], "k string, ts timestamp")
+    got = {r.k: r.score for r in feedback.latest_before(p, f, "k", "ts", "score", "pid").collect()}
+    assert got == {"a": 0.5, "b": None}
+    assert feedback.latest_before(p, f.limit(0), "k", "ts", "score", "pid").count() == 0
+    assert [r.score for r in feedback.latest_before(p.limit(0), f, "k", "ts", "score", "pid").collect()] == [None, None]
 
 
 def test_realised_accuracy(spark):

@@ -18,7 +18,7 @@ ROW_WISE = (
 )
 # These run a job while they are built.
 EAGER = {"train_classifier", "train_epochs", "training_objective", "evaluate_triples", "audit_file_tree", "audit_strict",
-         "gate_report", "submission_csv", "epoch_order", "cache_compaction", "pii_gate", "rule_file", "read_preferences",
+         "gate_report", "submission_csv", "epoch_order", "feedback_matches", "feedback_accuracy", "cache_compaction", "pii_gate", "rule_file", "read_preferences",
          "read_preferences_limited", "read_for_validation", "required_columns"}
 
 
