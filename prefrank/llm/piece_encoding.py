@@ -21,27 +21,36 @@ def model_of(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", end_id: bool = True) -> DataFrame:
-    """``docs`` with the ids of ``text`` in an array column ``ids``.
+def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", end_id: bool = True,
+                  decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text`` in an array column ``ids``, and the text of these ids in ``decoded`` if it is named.
 
     The ids are those of the model's own merging without sampling, then its end id (with
     ``end_id``). Null and empty texts give the end id alone. Texts of any length are encoded
     whole, in time proportional to their length; a worker holds one batch and bounded tables and caches (four bytes for
     each character of a longer fragment). Rows are independent: repeated rows and ties give repeated results, an
-    empty table an empty one. Other columns pass through; one named like ``ids`` is replaced. ``model`` is a path
+    empty table an empty one. Other columns pass through; one named like an added one is replaced. ``model`` is a path
     that every executor can open; a model that normalises texts, or is not of the merging type, is a ValueError.
     """
     PieceModel(model)
+    whole = decoded is not None
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>" if whole else "struct<ids:array<int>>")
     def encode(texts: pa.Array) -> pa.Array:
         coder = model_of(model)
         tail = np.int32(coder.end_id).tobytes() if end_id else b""
         coded = [ids + tail for ids in coder.encode_all(value.as_py() or "" for value in texts)]
         bounds = np.r_[0, np.cumsum([len(c) // 4 for c in coded])].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-
-    return tidy(docs, ids).select("*", encode(docs[text]).alias(ids))
+        columns = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), np.int32)))]
+        if whole:
+            columns.append(pa.array([coder.decode(memoryview(c).cast("i").tolist()) for c in coded], pa.string()))
+        return pa.StructArray.from_arrays(columns, names=["ids", "decoded"][:1 + whole])
+
+    # Otherwise the optimizer may copy the encoding into every expression that uses the ids.
+    once = encode.asNondeterministic()
+    names = {ids: "ids"} | ({decoded: "decoded"} if whole else {})
+    return docs.select("*", once(F.col(text)).alias("_coded")).select(
+        *tidy(docs, *names).columns, *[F.col(f"_coded.{part}").alias(name) for name, part in names.items()])
 
 
 def decode_pieces(coded: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

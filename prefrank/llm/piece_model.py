@@ -30,12 +30,12 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGING = 2
 
 #: Words and fragments remembered by a worker (each), the longest of them, and a power of two of pairs of tokens.
-CACHED = 200_000
+CACHED = 250_000
 CACHED_CHARS = 64
 PAIR_BITS = 20
 #: Characters handled together; longer texts are cut between words. Fragments in one table.
-PART_CHARS = 1 << 21
-FRAGMENTS = 20_000
+PART_CHARS = 1 << 19
+FRAGMENTS = 4_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -159,23 +159,26 @@ class PieceModel:
         self._edges = np.array(sorted(nodes))
         self._next = np.array([nodes[k] for k in sorted(nodes)])
         self._token = np.array(token)
+        self._roots = np.zeros(1 << 16, np.int64)
+        self._roots[[k for k in nodes if k < 1 << 16]] = [i for k, i in nodes.items() if k < 1 << 16]
 
     def _matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, token) of all pieces in a text: the automaton runs from every place at once."""
-        start, state, depth = np.flatnonzero(codes), 0, 0
-        found = []
+        start, depth, found = np.flatnonzero(codes), 1, []
+        state = self._roots[codes[start]]
+        codes = np.r_[codes, 0].astype(np.int64)
         while len(start):
-            key = state << 16 | codes[start + depth].astype(np.int64)
-            place = np.searchsorted(self._edges, key)
-            place[place == len(self._edges)] = 0
-            on = self._edges[place] == key
-            start, state = start[on], self._next[place[on]]
-            depth += 1
             token = self._token[state]
             ends = token >= 0
             found.append((start[ends], depth, token[ends]))
-            inside = start + depth < len(codes)
-            start, state = start[inside], state[inside]
+            next_code = codes[start + depth]
+            on = np.flatnonzero(next_code)
+            key = state[on] << 16 | next_code[on]
+            place = np.searchsorted(self._edges, key)
+            place[place == len(self._edges)] = 0
+            good = self._edges[place] == key
+            start, state = start[on[good]], self._next[place[good]]
+            depth += 1
         return (np.concatenate([s for s, _, _ in found]), np.concatenate([s + d for s, d, _ in found]),
                 np.concatenate([t for _, _, t in found]))
 
