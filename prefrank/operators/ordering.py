@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from prefrank.session import computed_once, scratch_path
 
@@ -97,53 +99,84 @@ def chunk(df: DataFrame, order: str, size: int, out: str = "chunk",
             .drop("_position"))
 
 
-def exact_quantiles(df: DataFrame, value: str, shares, by=(), buckets: int | None = None) -> DataFrame:
-    """Linearly interpolated quantiles, exact at any size.
+#: Bits that one pass of the quantile selection settles; four passes settle a double.
+DIGIT = 16
 
-    Rows collapse to (keys, value, count) before anything is ordered. The bucket
-    totals tell which bucket holds each wanted rank; only that bucket's values are
-    then ranked. Returns keys, ``share`` and ``quantile``. ``by`` should name few groups.
+
+def _order_key(value: Column) -> Column:
+    """Whole number that sorts as the double does; -0.0 is 0.0 and NaN comes last."""
+
+    def keys(values: pa.Array) -> pa.Array:
+        x = values.to_numpy(zero_copy_only=False) + 0.0
+        bits = np.where(np.isnan(x), np.nan, x).view(np.int64)
+        return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+    return F.arrow_udf(keys, LongType())(value)
+
+
+def _value_of(key: Column) -> Column:
+    def values(keys: pa.Array) -> pa.Array:
+        bits = keys.to_numpy()
+        return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64))
+
+    return F.arrow_udf(values, DoubleType())(key)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares, by=()) -> DataFrame:
+    """Linearly interpolated quantiles, exact at any size: keys, ``share`` and ``quantile``.
+
+    A value is a whole number of four digits of 16 bits that sorts as it does. Each of four passes counts the values by one
+    digit more, and only below the digits that hold a wanted rank: nothing is sorted, and what is shuffled
+    is at most 65,536 counts for each group and wanted rank, whatever the number of different values. The
+    table is read four times, two columns of it. ``by`` should name few groups; null is a group of its own.
     """
-    by = list(by)
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*by, F.col(value).cast("double").alias("value"))
-               .agg(F.count("*").alias("n")))
-    placed = with_bucket(counted, "value", buckets, also=[F.sum("n")])
-    keyed = placed.withColumn("_all", F.lit(0))
-    keys = by + ["_all"]
-
-    totals = keyed.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))
-    totals = bucket_offsets(totals, keys, "bucket_n", "offset")
-    total = F.sum("bucket_n").over(Window.partitionBy(*keys))
-    wanted = (totals.withColumn("total", total)
-              .withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-              .withColumn("rank", F.col("share") * (F.col("total") - 1))
-              .withColumn("low", F.floor("rank")).withColumn("high", F.ceil("rank")))
-    last = F.col("offset") + F.col("bucket_n") - 1
-    touched = (wanted.where((F.col("low") <= last) & (F.col("high") >= F.col("offset")))
-               .select(*keys, "bucket", "offset", "share", "rank", "low", "high"))
-    # Without groups at most two buckets per share are touched, so broadcasting is safe;
-    # with groups the size depends on the data and Spark decides.
-    hint = (lambda d: d) if by else F.broadcast
-    needed = hint(touched.select(*keys, "bucket", "offset").distinct())
-
-    inside = (Window.partitionBy(*keys, "bucket").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (keyed.join(needed, keys + ["bucket"])
-              .withColumn("end", F.col("offset") + F.sum("n").over(inside))
-              .withColumn("begin", F.col("end") - F.col("n")))
-    spans = ranked.select(*keys, "bucket", "value", "begin", "end")
-    asked = hint(touched.drop("offset"))
-    hit_low = (F.col("low") >= F.col("begin")) & (F.col("low") < F.col("end"))
-    hit_high = (F.col("high") >= F.col("begin")) & (F.col("high") < F.col("end"))
-    picked = (spans.join(asked, keys + ["bucket"]).where(hit_low | hit_high)
-              .groupBy(*keys, "share", "rank", "low")
-              .agg(F.max(F.when(hit_low, F.col("value"))).alias("low_value"),
-                   F.max(F.when(hit_high, F.col("value"))).alias("high_value")))
-    between = F.col("rank") - F.col("low")
-    return picked.select(
-        *by, "share",
-        (F.col("low_value") + (F.col("high_value") - F.col("low_value")) * between).alias("quantile"))
+    spark, by = df.sparkSession, list(by)
+    place = scratch_path(spark, "quantiles")
+    names = [f"_by{i}" for i in range(len(by))]
+    keyed = df.where(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)], _order_key(F.col(value).cast("double")).alias("_key"))
+
+    def saved(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{place}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{place}/{name}")
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        """Join on keys that may be null."""
+        marked = right.select(*[F.col(c).alias(f"{c}_") if c in keys else F.col(c) for c in right.columns])
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        both = left.join(F.broadcast(marked) if not by else marked, same, how)
+        return both if how == "left_semi" else both.drop(*[f"{c}_" for c in keys])
+
+    wanted = None
+    for turn, shift in enumerate(range(64 - DIGIT, -1, -DIGIT)):
+        rows, group = keyed, list(names)
+        if wanted is None:
+            rows = rows.withColumn("_above", F.lit(0).cast("long"))
+        else:
+            rows = rows.withColumn("_above", F.shiftright("_key", shift + DIGIT))
+            rows = joined(rows, wanted.select(*names, "_above").distinct(), [*names, "_above"], "left_semi")
+        counted = rows.groupBy(*names, "_above", F.shiftright("_key", shift).alias("_digits")).agg(F.count("*").alias("_n"))
+        order = Window.partitionBy(*names, "_above").orderBy("_digits")
+        counts = saved(counted, f"counts-{turn}").withColumn("_before", F.coalesce(F.sum("_n").over(
+            order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        if wanted is None:
+            rank = F.col("share") * (F.col("_total") - 1)
+            totals = counts.groupBy(*names).agg(F.sum("_n").alias("_total")).select(
+                *names, "_total", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+            wanted = totals.select(*names, "share", (rank - F.floor(rank)).alias("_part"), F.inline(F.array(
+                F.struct(F.lit(False).alias("_high"), F.floor(rank).alias("_rank")),
+                F.struct(F.lit(True).alias("_high"), F.ceil(rank).alias("_rank"))))).withColumn("_above", F.lit(0).cast("long"))
+        inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        found = joined(counts, wanted, [*names, "_above"]).where(inside)
+        wanted = saved(found.select(*names, "share", "_part", "_high", (F.col("_rank") - F.col("_before")).alias("_rank"),
+                                    F.col("_digits").alias("_above")), f"wanted-{turn}")
+    ends = wanted.groupBy(*names, "share", "_part").agg(
+        F.max(F.when(~F.col("_high"), F.col("_above"))).alias("_low"), F.max(F.when(F.col("_high"), F.col("_above"))).alias("_top"))
+    low, top = _value_of(F.col("_low")), _value_of(F.col("_top"))
+    return ends.select(*[F.col(n).alias(c) for n, c in zip(names, by)], "share",
+                       F.when(F.col("_part") == 0, low).otherwise(low + (top - low) * F.col("_part")).alias("quantile"))
 
 
 def with_positions(df: DataFrame, *order: str, out: str = "position", partitions: int | None = None) -> tuple[DataFrame, int]:

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prefrank.operators import metrics, ordering
 
@@ -162,21 +163,45 @@ def test_gates(spark):
         "auc": "fail", "accuracy": "ok", "ece": "fail"}
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 256])
-def test_exact_quantiles(spark, buckets):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(11)
-    values = np.round(rng.exponential(size=500), 2)
+    values = np.round(rng.normal(size=500) * 10.0 ** rng.integers(-6, 9, 500), 3)
     values[:170] = 0.25
-    group = np.arange(500) % 2
-    df = spark.createDataFrame([(int(g), float(x)) for g, x in zip(group, values)], "g int, x double")
+    values[170:180] = [-0.0, 0.0, 1e-300, -1e-300, 1e300, -1e300, 5e-324, -5e-324, 1.0, -1.0]
+    group = np.array([None, "a", "b"], object)[np.arange(500) % 3]
+    df = spark.createDataFrame([(g, float(x)) for g, x in zip(group, values)] + [("a", None), ("only nulls", None), ("one", 7.0)],
+                               "g string, x double")
     shares = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0]
-    for r in ordering.exact_quantiles(df, "x", shares, buckets=buckets).collect():
-        assert r["quantile"] == pytest.approx(np.quantile(values, r.share))
-    rows = ordering.exact_quantiles(df, "x", shares, ["g"], buckets).collect()
-    assert len(rows) == 12
+    everything = np.append(values, 7.0)
+    got = {r.share: r["quantile"] for r in ordering.exact_quantiles(df, "x", shares).collect()}
+    assert got == {s: pytest.approx(np.quantile(everything, s), rel=1e-12) for s in shares}
+    rows = ordering.exact_quantiles(df, "x", shares, ["g"]).collect()
+    assert len(rows) == 4 * 6
     for r in rows:
-        assert r["quantile"] == pytest.approx(np.quantile(values[group == r.g], r.share))
+        inside = values[[g == r.g for g in group]] if r.g != "one" else np.array([7.0])
+        assert r["quantile"] == pytest.approx(np.quantile(inside, r.share), rel=1e-12)
     assert ordering.exact_quantiles(df.limit(0), "x", shares).collect() == []
+    whole = df.select(F.rint("x").try_cast("int").alias("n"))
+    assert ordering.exact_quantiles(whole.where("abs(n) < 1000"), "n", [0.5]).first()["quantile"] is not None
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double")
+    ends = {r.share: r["quantile"] for r in ordering.exact_quantiles(odd, "x", [0.0, 1.0]).collect()}
+    assert ends[0.0] == float("-inf") and np.isnan(ends[1.0])
+
+
+def test_quantiles_read_the_table_four_times(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    df = spark.range(2000, numPartitions=1).selectExpr("cast(id * 37 % 1009 as double) x", "id % 3 g").mapInArrow(counted, "x double, g bigint")
+    shares = [i / 20 for i in range(21)]
+    got = {r.share: r["quantile"] for r in ordering.exact_quantiles(df, "x", shares).collect()}
+    assert reads.value == 4
+    values = np.array([i * 37 % 1009 for i in range(2000)], float)
+    assert got == {s: pytest.approx(np.quantile(values, s)) for s in shares}
+    assert len(ordering.exact_quantiles(df, "x", [0.5], ["g"]).collect()) == 3 and reads.value == 8
 
 
 @pytest.mark.parametrize("buckets", [3, 64])
