@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from prefrank.streaming import feeds, lateness, panes, repeats, versions
 
 BEGIN = dt.datetime(2024, 1, 1)
@@ -105,6 +106,34 @@ def test_few_rows_are_exact(spark):
         assert (r.n, r.over_limit) == (plain[start].n, plain[start].over_limit)
 
 
+def test_sliding_latency_is_exact_with_many_equal_values(spark, tmp_path):
+    values = [(i, float(v), minutes(i % 15)) for i, v in enumerate(list(range(1, 100)) * 60)]
+    write(spark, values, "event_id long, value double, ts timestamp", str(tmp_path / "events.parquet"))
+    rows = queries()["stream_sliding_latency"](spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and {(r.n, r.p50_ms, r.p95_ms, r.p99_ms, r.over_limit) for r in rows} == {(5940, 50.0, 95.0, 99.0, False)}
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_exact_percentiles_add_up_over_micro_batches(spark, tmp_path, buckets):
+    rng, rows = random.Random(7), []
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(3):
+        # Later parts reach back behind the watermark of a stateful stream; some rows have no value.
+        new = [(minutes(rng.randrange(600)), None if rng.random() < 0.1 else round(rng.lognormvariate(4, 1), 1)) for _ in range(400)]
+        new += [(minutes(-300), None)]
+        rows += new
+        write(spark, new, "ts timestamp, v double", source)
+        panes.start_counting(feeds.read_table(spark, source, "ts timestamp, v double"), "ts", "v", out, str(tmp_path / "s")).awaitTermination()
+    got = panes.exact_percentiles(panes.read_counts(spark, out), buckets=buckets).collect()
+    assert {r.window_start for r in got} == {ts - dt.timedelta(minutes=ts.minute % 15 + 15 * i) for ts, _ in rows for i in range(4)}
+    for r in got:
+        all_ = [x for ts, x in rows if r.window_start <= ts < r.window_start + dt.timedelta(hours=1)]
+        inside = [x for x in all_ if x is not None]
+        want = [exact(inside, s) if inside else None for s in (0.5, 0.95, 0.99)]
+        assert (r.n, [r.p50_ms, r.p95_ms, r.p99_ms]) == (len(all_), want)
+        assert r.over_limit == (None if not inside else want[2] > 300)
+
+
 @pytest.mark.parametrize("files", [1, 5])
 def test_kept_and_late_rows_are_all_rows(spark, tmp_path, files):
     rng = random.Random(files)
