@@ -8,13 +8,19 @@ ordered parts (AUC, NDCG) collapse equal scores first and never rank raw rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from prefrank import fixed_values as fixed
 from prefrank.functions import scoring
-from prefrank.operators.ordering import bucket_offsets, with_bucket
+from prefrank.operators.ordering import bucket_offsets, pieces
 
 
 def labelled(df: DataFrame, label: str = "label") -> DataFrame:
@@ -55,30 +61,127 @@ def point_metrics(df: DataFrame, by=()) -> DataFrame:
     return _averages(df, by).drop("ece", "off")
 
 
+#: Rows of predictions that a task sorts at once, and scores for each point that the cut points are taken from.
+CHUNK_ROWS = 400_000
+SCORES_PER_POINT = 256
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _scores(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, class and score of every probability; null comes first in the order."""
+    lists = table["probabilities"].combine_chunks()
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    scores = lists.flatten().cast(pa.float64()).fill_null(-math.inf).to_numpy(zero_copy_only=False)
+    return row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row], scores
+
+
+def _cut_points(df: DataFrame, buckets: int) -> np.ndarray:
+    """Approximate quantiles of all scores, from evenly spaced ones of every sorted chunk; they only balance the work."""
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            scores = np.sort(_scores(table)[2])
+            step = max(1, min(SCORES_PER_POINT, len(scores) // 1024))
+            yield pa.record_batch([pa.array(scores[step // 2::step])], ["score"])
+
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = df.select("probabilities").mapInArrow(points, "score double").agg(
+        F.percentile_approx("score", shares, F.lit(8 * buckets))).first()[0]
+    return np.unique(np.array(edges or [], float))
+
+
+def _groups(table: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the group of each row, and a row of each group."""
+    group, first = np.zeros(table.num_rows, np.int64), np.zeros(1, np.int64)
+    for c in by:
+        values = table[c].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = group * len(values.dictionary) + values.indices.to_numpy(zero_copy_only=False)
+        _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    return group, first
+
+
+def _sorted_scores(by: list[str], edges: np.ndarray, schema: pa.Schema):
+    """Different scores and their counts, in order, of each group, class, side and bucket of a chunk."""
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            row, of, scores = _scores(table)
+            if not len(row):
+                continue
+            group, first = _groups(table, by)
+            classes = int(of.max()) + 1
+            label = table["label"].cast(pa.int64()).to_numpy()
+            code = (group[row] * classes + of) * 2 + (label[row] == of)
+            if code.max() < 1 << 15:
+                code = code.astype(np.int16)  # sorted by digits
+            order = np.argsort(code, kind="stable")
+            code, scores = code[order], scores[order]
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            codes, buckets, found, counts = [], [], [], []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(code)]):
+                values, n = np.unique(scores[a:b], return_counts=True)
+                # Edges below a value are its bucket, so equal scores share one.
+                ends = np.r_[0, np.searchsorted(values, edges, side="right"), len(values)]
+                for k in np.flatnonzero(np.diff(ends)).tolist():
+                    codes.append(int(code[a]))
+                    buckets.append(k)
+                    found.append(values[ends[k]:ends[k + 1]].tobytes())
+                    counts.append(n[ends[k]:ends[k + 1]].astype(np.int64).tobytes())
+            codes = np.array(codes)
+            keys = table.select(by).take(pa.array(first[codes // (2 * classes)])).columns if by else []
+            yield from pa.Table.from_arrays(
+                [*keys, pa.array(codes // 2 % classes, pa.int32()), pa.array(buckets, pa.int32()), pa.array(codes % 2 == 1),
+                 pa.array(found, pa.binary()), pa.array(counts, pa.binary())], schema=schema).to_batches()
+
+    return sort
+
+
+def _bucket_pairs(table: pa.Table) -> pa.Table:
+    """Positives times negatives below them inside one bucket, ties for a half, and how many there are of each."""
+    positive = table["positive"].to_numpy()
+    scores, counts = table["scores"].to_pylist(), table["counts"].to_pylist()
+    (high, n_high), (low, n_low) = (
+        [np.frombuffer(b"".join([x for x, p in zip(column, positive) if p == side]), kind)
+         for column, kind in ((scores, np.float64), (counts, np.int64))] for side in (True, False))
+    order = np.argsort(low, kind="stable")
+    low, below = low[order], np.r_[0, np.cumsum(n_low[order])]
+    # Negatives up to the score and below it: half of their sum counts a tie for a half.
+    twice = below[np.searchsorted(low, high, "left")] + below[np.searchsorted(low, high, "right")]
+    columns = {"pairs": np.dot(n_high.astype(float), twice / 2), "pos": float(n_high.sum()), "neg": float(n_low.sum())}
+    keys = table.slice(0, 1).drop_columns(["positive", "scores", "counts"])
+    for name, value in columns.items():
+        keys = keys.append_column(name, pa.array([float(value)]))
+    return keys
+
+
 def auc_by_class(df: DataFrame, by=(), buckets: int | None = None) -> DataFrame:
     """One-vs-rest area under the ROC curve of every class.
 
-    Pairs are counted as positives times negatives below plus half the ties. Scores
-    collapse to (class, score) counts; a bucket of the score range is ranked on its
-    own and the negatives of the buckets below are added from the bucket totals.
-    ``auc`` is null when a class has no positives or no negatives.
+    Pairs are counted as positives times negatives below plus half the ties. Tasks sort their scores and
+    collapse equal ones; what is shuffled, once, is a sorted run for each bucket of the score range. A bucket is
+    ranked on its own and the negatives of the buckets below are added from the bucket totals. The table is read
+    twice, the first time, at the call, for the cut points. ``auc`` is null when a class has no positives or no negatives.
     """
     by = list(by)
     keys = by + ["class"]
-    scored = labelled(df).select(*by, "label", F.posexplode("probabilities").alias("class", "score"))
-    positive = (F.col("label") == F.col("class")).cast("long")
-    grouped = scored.groupBy(*keys, "score").agg(
-        F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    placed = with_bucket(grouped, "score", buckets, also=[F.sum("pos"), F.sum("neg")])
-
-    below = (Window.partitionBy(*keys, "bucket").orderBy("score")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    pairs = pos * (F.coalesce(F.sum(neg).over(below), F.lit(0.0)) + neg / 2)
-    pieces = (placed.withColumn("pairs", pairs)
-              .groupBy(*keys, "bucket")
-              .agg(F.sum("pairs").alias("pairs"), F.sum(pos).alias("pos"), F.sum(neg).alias("neg")))
-    linked = bucket_offsets(pieces, keys, "neg", "neg_below")
+    rows = labelled(df).select(*by, "label", F.col("probabilities").cast("array<double>").alias("probabilities"))
+    edges = _cut_points(rows, pieces(df, buckets))
+    sides = StructType([*[rows.schema[c] for c in by], StructField("class", IntegerType()), StructField("bucket", IntegerType()),
+                        StructField("positive", BooleanType()), StructField("scores", BinaryType()), StructField("counts", BinaryType())])
+    totals = StructType([*sides.fields[:-3], *[StructField(c, DoubleType()) for c in ("pairs", "pos", "neg")]])
+    sorted_ = rows.mapInArrow(_sorted_scores(by, edges, to_arrow_schema(sides)), sides)
+    counted = sorted_.groupBy(*keys, "bucket").applyInArrow(_bucket_pairs, totals)
+    linked = bucket_offsets(counted, keys, "neg", "neg_below")
     return linked.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pairs") + F.col("pos") * F.col("neg_below")),
                      F.sum("pos") * F.sum("neg")).alias("auc"),

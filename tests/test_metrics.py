@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,39 @@ def test_auc_equals_pairwise_definition(spark, sample, buckets):
         assert got[c].positives == (labels == c).sum()
 
 
+def test_auc_of_chunks_null_and_nan_scores(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(["x", None][i % 2], int(rng.integers(0, 3)), [float(v) for v in np.round(rng.random(3), 2)]) for i in range(900)]
+    rows[0] = ("x", 0, [None, float("nan"), 0.5])
+    rows[1] = (None, 1, None)
+    table = pa.table({"g": [r[0] for r in rows], "label": pa.array([r[1] for r in rows], pa.int32()),
+                      "probabilities": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
+    monkeypatch.setattr(metrics, "CHUNK_ROWS", 100)
+    schema = pa.schema([("g", pa.string()), ("class", pa.int32()), ("bucket", pa.int32()), ("positive", pa.bool_()),
+                        ("scores", pa.binary()), ("counts", pa.binary())])
+    runs = pa.Table.from_batches(metrics._sorted_scores(["g"], np.array([0.2, 0.5]), schema)(iter(table.to_batches(40))))
+    for g in ("x", None):
+        for c in range(3):
+            pairs = below = positives = 0
+            for bucket in range(3):
+                part = [i for i, r in enumerate(runs.to_pylist()) if (r["g"], r["class"], r["bucket"]) == (g, c, bucket)]
+                found = metrics._bucket_pairs(runs.take(part)).to_pylist()[0]
+                pairs += found["pairs"] + found["pos"] * below
+                below += found["neg"]
+                positives += found["pos"]
+            group = [r for r in rows if r[0] == g and r[2] is not None]
+            scores = np.array([-1.0 if r[2][c] is None else 2.0 if np.isnan(r[2][c]) else r[2][c] for r in group])
+            want = pairwise_auc(np.array([r[1] for r in group]) == c, scores)
+            assert pairs / (positives * below) == pytest.approx(want, abs=1e-12)
+
+
+def test_auc_shuffles_sorted_runs_not_scores(spark, sample):
+    labels, p = sample
+    plan = metrics.auc_by_class(frame(spark, labels, p))._jdf.queryExecution().executedPlan().toString()
+    assert "score" not in " ".join(line for line in plan.split("\n") if "Exchange" in line)
+    assert plan.count("rangepartitioning") == 0 and "FlatMapGroupsInArrow" in plan
+
+
 def test_bundle(spark, sample):
     labels, p = sample
     row = metrics.evaluation_metrics(frame(spark, labels, p)).first()
