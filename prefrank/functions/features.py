@@ -13,6 +13,10 @@ from prefrank.functions.text import words
 SENTENCE_WORD = f"(?U)[^.{SPACE}]+"
 SENTENCE = f"(?U)[^.{SPACE}][^.]*"
 
+#: Names of the nine features of two responses in vector order.
+PAIR_FEATURES = ["a_chars", "a_sentence_words", "a_ttr", "b_chars", "b_sentence_words", "b_ttr", "len_delta", "jaccard",
+                 "sentence_delta"]
+
 
 def lower_words(text) -> Column:
     return words(F.lower(_col(text)))
@@ -35,9 +39,12 @@ def type_token_ratio(tokens) -> Column:
 def jaccard(tokens_a, tokens_b) -> Column:
     """Set overlap of two word arrays; 0 when both are empty."""
     a, b = _col(tokens_a), _col(tokens_b)
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(F.array_union(a, b))
-    return F.coalesce(F.try_divide(shared, union), F.lit(0.0))
+    return _overlap(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+
+
+def _overlap(shared, size_a, size_b) -> Column:
+    """Share of the common words among all different ones."""
+    return F.coalesce(F.try_divide(shared, size_a + size_b - shared), F.lit(0.0))
 
 
 def length_delta(length_a, length_b) -> Column:
@@ -107,25 +114,35 @@ def with_struct_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
     }).drop("_words")
 
 
-def _with_shared(df: DataFrame, response_a: str, response_b: str):
-    """Project what several features use once, then express the features over it."""
+def _with_pair_features(df: DataFrame, response_a: str, response_b: str, names: list[str]) -> DataFrame:
+    """Add the nine pair features under ``names``.
+
+    What several features use, and every feature, is a column of its own projection: an expression that is
+    used twice in one would be evaluated twice.
+    """
+    a, b = F.col(response_a), F.col(response_b)
     df = df.withColumns({
-        "_wa": lower_words(response_a), "_wb": lower_words(response_b),
-        "_sa": words_per_sentence(response_a), "_sb": words_per_sentence(response_b),
-    })
-    return df, pair_features(response_a, response_b, "_wa", "_wb", "_sa", "_sb")
+        "_wa": lower_words(a), "_wb": lower_words(b), "_sa": words_per_sentence(a), "_sb": words_per_sentence(b)})
+    df = df.withColumns({"_da": F.array_distinct("_wa"), "_db": F.array_distinct("_wb")})
+    df = df.withColumns({"_both": F.size(F.array_intersect("_da", "_db")), "_na": F.size("_da"), "_nb": F.size("_db"),
+                         "_ca": F.length(a), "_cb": F.length(b)})
+    ratio = lambda n, words_: F.coalesce(F.try_divide(F.col(n), F.size(words_)), F.lit(0.0))
+    features = [F.col("_ca"), F.col("_sa"), ratio("_na", "_wa"), F.col("_cb"), F.col("_sb"), ratio("_nb", "_wb"),
+                length_delta("_ca", "_cb"), _overlap(F.col("_both"), F.col("_na"), F.col("_nb")), F.abs(F.col("_sa") - F.col("_sb"))]
+    return df.withColumns(dict(zip(names, features))).drop(
+        "_wa", "_wb", "_sa", "_sb", "_da", "_db", "_both", "_na", "_nb", "_ca", "_cb")
 
 
 def with_pair_features(df: DataFrame, response_a: str = "response_a",
                        response_b: str = "response_b") -> DataFrame:
     """Add the nine pair features as named columns."""
-    df, features = _with_shared(df, response_a, response_b)
-    return df.withColumns(features).drop("_wa", "_wb", "_sa", "_sb")
+    return _with_pair_features(df, response_a, response_b, PAIR_FEATURES)
 
 
 def with_aux_vector(df: DataFrame, response_a: str = "response_a", response_b: str = "response_b",
                     segment: str = "segment", out: str = "x_aux",
                     extra: tuple[Column, ...] = ()) -> DataFrame:
     """Add the 12-dimensional float vector; ``extra`` columns are appended behind it."""
-    df, features = _with_shared(df, response_a, response_b)
-    return df.withColumn(out, aux_vector(features, segment, extra)).drop("_wa", "_wb", "_sa", "_sb")
+    names = [f"_{name}" for name in PAIR_FEATURES]
+    df = _with_pair_features(df, response_a, response_b, names)
+    return df.withColumn(out, aux_vector({name: F.col(name) for name in names}, segment, extra)).drop(*names)

@@ -41,6 +41,12 @@ def test_vector_equals_definition(spark, rows):
         assert np.array_equal(np.float32(row["x_aux"]), np.float32(want))
 
 
+def test_every_feature_is_computed_once(spark):
+    df = spark.createDataFrame([("a b", "b c", "MEI")], "response_a string, response_b string, segment string")
+    plan = features.with_aux_vector(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("array_distinct("), plan.count("array_intersect("), plan.count("lower(")) == (2, 1, 2)
+
+
 def test_known_values(column):
     assert column(features.type_token_ratio(features.lower_words("t")),
                   ["one two three four", "the the the the", ""]) == [1.0, 0.25, 0.0]
