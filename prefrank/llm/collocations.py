@@ -14,6 +14,7 @@ phrases keep their exact counts).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefrank.llm.scratch import Scratch
+from prefrank.llm.scratch import Scratch, small_batches
 from prefrank.llm.words import mix
 
 LONGEST = 5
@@ -34,6 +35,8 @@ PART_BYTES = 2 << 20
 VOCABULARY = 400_000
 #: Slots gathered by a task before it hands them on.
 GATHERED = 2_000_000
+#: Slots of one batch of them.
+HANDED_ON = 1 << 17
 #: Slots for a count of words, and their bounds: two maps of 32 MB at most. Too few of them only prune less.
 WORDS_PER_SLOT = 12
 LEAST_BITS, MOST_BITS = 16, 28
@@ -54,7 +57,7 @@ class Vocabulary(dict):
     def __init__(self, lang: str):
         super().__init__({b"\n": _BREAK, b"": _NOTHING})
         self.seed = _U(int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little"))
-        self._hashes = [0, 0]
+        self._hashes = array("Q", [0, 0])
         self.counts = np.zeros(1024, np.int64)
 
     def __missing__(self, word: bytes) -> int:
@@ -63,7 +66,7 @@ class Vocabulary(dict):
         return number
 
     def hashes(self) -> np.ndarray:
-        return np.array(self._hashes, _U)
+        return np.array(self._hashes, dtype=_U)
 
     def add(self, numbers: np.ndarray) -> None:
         found = np.bincount(numbers)
@@ -215,14 +218,20 @@ def _counter(bits: int, often=None):
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             slot, n = (np.concatenate(a) for a in zip(*gathered))
-            slot, _, n = _summed(slot, np.zeros_like(slot), n)
-            return slot, n
+            gathered.clear()
+            order = np.argsort(slot)
+            slot, n = slot[order], n[order]
+            del order
+            new = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+            return slot[new], np.add.reduceat(n, new, dtype=np.int64)
 
         def slots() -> Iterator[pa.RecordBatch]:
             slot, n = merged()
-            data = pa.py_buffer(slot.astype(">u4").tobytes())
-            keys = pa.Array.from_buffers(pa.binary(4), len(slot), [None, data]).cast(pa.binary())
-            yield pa.record_batch([pa.nulls(len(slot), pa.string()), keys, pa.array(n)], schema=_COUNTED)
+            for a in range(0, len(slot), HANDED_ON):
+                part, counts = slot[a:a + HANDED_ON], n[a:a + HANDED_ON]
+                data = pa.py_buffer(part.astype(">u4").tobytes())
+                keys = pa.Array.from_buffers(pa.binary(4), len(part), [None, data]).cast(pa.binary())
+                yield pa.record_batch([pa.nulls(len(part), pa.string()), keys, pa.array(counts.astype(np.int64))], schema=_COUNTED)
 
         for _, tokens in _tokens(batches, known):
             if often is None:
@@ -232,10 +241,11 @@ def _counter(bits: int, often=None):
                 at, size = tokens.triples(bits, np.frombuffer(often.value, np.uint8)), 3
             slot, n = np.unique(tokens.slots(at[at < tokens.own], size, bits), return_counts=True)
             if len(slot):
-                gathered.append((slot, n))
+                # A part has fewer than 2**32 words; only merged counts need long numbers.
+                gathered.append((slot.astype(np.uint32), n.astype(np.uint32)))
                 held += len(slot)
             if held > GATHERED:
-                gathered[:] = [merged()]
+                gathered.append(merged())
                 held = len(gathered[0][0])
                 if held > GATHERED // 2:
                     yield from slots()
@@ -333,6 +343,7 @@ class PhraseGraph:
         spark = docs.sparkSession
         self.scratch = scratch = Scratch(spark, "collocations")
         self.min_count = min_count
+        small_batches(spark, 2000)
         table = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
         if bits is None:
             size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from samples import prose
 
@@ -122,3 +123,23 @@ def test_scores_pass_64_bits(spark):
     big = spark.sql("SELECT (1000BD * cast(4000000000000000 as decimal(16,0)) * cast(9000000000000000 as decimal(16,0))) div "
                     "(cast(5000000000000000 as decimal(18,0)) * cast(4000000000000000 as decimal(18,0))) AS s").first().s
     assert big == 1000 * 4 * 9 * 10 ** 30 // (5 * 4 * 10 ** 30)
+
+
+def test_slots_are_merged_and_handed_on_in_small_batches(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=200)) for _ in range(20)]
+
+    def slots(gathered):
+        monkeypatch.setattr(collocations, "GATHERED", gathered)
+        monkeypatch.setattr(collocations, "HANDED_ON", 64, raising=False)
+        batches = (pa.record_batch([pa.array(["en"]), pa.array([t])], ["lang", "text"]) for t in texts)
+        counts, most = Counter(), 0
+        for batch in collocations._counter(20)(batches):
+            if batch.column(0).null_count:
+                most = max(most, batch.num_rows)
+                counts.update(dict(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
+        return counts, most
+
+    (once, a), (often, b) = slots(10 ** 6), slots(300)
+    assert once == often and sum(once.values()) == 20 * 199
+    assert max(a, b) <= 64
