@@ -97,7 +97,10 @@ def stream_sliding_sketch(spark, folder):
     """Four-hour windows merged from panes of a quarter; every percentile's rank among the window's rows is near its share."""
     stream = panes.latency_panes(events(spark, folder), "ts", "value")
     stored = run_updating(spark, stream, "panes", "pane_start")
-    found = panes.sliding_percentiles(stored, "4 hours")
+    # Stored, a row for each window has a known size: rows of the table meet it where they are, none is copied into a shuffle.
+    place = session.scratch_path(spark, "percentiles")
+    panes.sliding_percentiles(stored, "4 hours").write.parquet(place)
+    found = spark.read.parquet(place)
     rows = v.table(spark, folder, "events").select(F.window(F.col("ts").cast("timestamp"), "4 hours", "15 minutes")["start"]
                                                    .alias("window_start"), "value")
     shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}

@@ -113,6 +113,16 @@ def test_sliding_latency_is_exact_with_many_equal_values(spark, tmp_path):
     assert len(rows) == 4 and {(r.n, r.p50_ms, r.p95_ms, r.p99_ms, r.over_limit) for r in rows} == {(5940, 50.0, 95.0, 99.0, False)}
 
 
+def test_sketch_check_joins_stored_percentiles(spark, tmp_path):
+    rows = [(i, float(i * 37 % 101), minutes(i)) for i in range(200)]
+    write(spark, rows, "event_id long, value double, ts timestamp", str(tmp_path / "events.parquet"))
+    found = queries()["stream_sliding_sketch"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Windows are joined by their stored size: the rows of the table are neither shuffled for it nor sorted.
+    assert "kll_" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert all(r.p50_near and r.p95_near and r.p99_near for r in found.collect())
+
+
 @pytest.mark.parametrize("buckets", [None, 3])
 def test_exact_percentiles_add_up_over_micro_batches(spark, tmp_path, buckets):
     rng, rows = random.Random(7), []
