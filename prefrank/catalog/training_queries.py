@@ -32,7 +32,7 @@ def train_classifier(spark, folder):
     fitted = labelled_pairs(spark, folder).where(F.col("doc_id") % 5 != 0)
     rows = training.training_rows(fitted, hidden=False)
     head, _ = training.minimize(rows, training.Objective(cls_weight=1.0, l2=0.01), tolerance=1e-8)
-    means = training.predict(head, fitted).agg(
+    means = training.predict_rows(head, rows).agg(
         F.count("*").alias("fitted"), *[F.avg(F.col("probabilities")[c]).alias(f"p{c}") for c in range(3)])
     return means.select("fitted", F.inline(F.array(*[
         F.struct(F.lit(c).alias("label"), F.round(f"p{c}", 4).alias("mean_probability")) for c in range(3)])))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from prefrank.operators import metrics, runs
 from prefrank.operators.dataset import PiiFound
 from prefrank.plans import preference_training as training
@@ -224,3 +225,16 @@ def test_decisions_follow_a_run(spark, tmp_path):
     training.train(rows, path, "three", schedule=Schedule(epochs=4, steps=2))
     third = seen()["three"]
     assert (third.epochs, third.best_epoch, third.stop_epoch) == (4, None, None)
+
+
+def test_fitted_rows_are_scored_without_reading_texts_again(spark, tmp_path, monkeypatch):
+    words = ["a b. c", "d e f", "g. h", "i j k l", "m"]
+    docs = [(i, " ".join([words[i % 5]] * (1 + i % 7)), "s") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, int(i % 9 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    calls = []
+    prepare = training.prepare
+    monkeypatch.setattr(training, "prepare", lambda *a, **k: calls.append(1) or prepare(*a, **k))
+    rows = queries()["train_classifier"](spark, str(tmp_path)).collect()
+    assert len(calls) == 1 and {r.fitted for r in rows} == {47} and sum(r.mean_probability for r in rows) == pytest.approx(1, abs=1e-3)
