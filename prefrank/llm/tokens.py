@@ -8,6 +8,7 @@ only new words go through the merges.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,17 @@ from prefrank.llm.words import utf8
 #: Words remembered by a worker (about 200 bytes each), and their longest.
 CACHED_WORDS = 400_000
 CACHED_BYTES = 64
+#: New words of a text that go through the merges by one call.
+WORDS_AT_ONCE = 64
 
 _caches: dict[str, WordIds] = {}
 
 
+def _stem(word: bytes) -> bytes:
+    """The word without a full stop or comma after a letter or digit, which is a token of its own."""
+    return word[:-1] if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalnum() else word
+
+
 class WordIds(dict):
     """Word (UTF-8) -> its ids as little-endian unsigned 32-bit bytes."""
 
@@ -43,7 +51,41 @@ class WordIds(dict):
 
     def ids(self, text: bytes) -> bytes:
         # Special tokens are matched before letters are lowered, so texts that may hold one stay as they are.
-        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+        if b"<|" in text:
+            return b"".join(map(self.__getitem__, text.split()))
+        words = text.lower().split()
+        found = list(map(self.get, words))
+        if None in found:
+            stems = {_stem(w) for w, ids in zip(words, found) if ids is None and len(w) <= CACHED_BYTES}
+            new = self._encoded([w for w in stems if w not in self])
+            for i, ids in enumerate(found):
+                if ids is None:
+                    word = words[i]
+                    stem = _stem(word)
+                    ids = new.get(stem) or self[stem]
+                    found[i] = ids = ids if stem is word else ids + self[word[-1:]]
+                    if len(self) < CACHED_WORDS and len(word) <= CACHED_BYTES:
+                        self[word] = ids
+        return b"".join(found)
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words, many of them by one call: a token begins in the word that it belongs to."""
+        known = {}
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            part = words[a:a + WORDS_AT_ONCE]
+            texts = [w.decode() for w in part]
+            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            begins = [begin for begin, _ in coded.offsets]
+            at, place = 0, 0
+            for word, text in zip(part, texts):
+                place += len(text) + 1
+                end = bisect_left(begins, place, at)
+                known[word] = ids[4 * at:4 * end]
+                at = end
+            if len(self) < CACHED_WORDS:
+                self.update((w, known[w]) for w in part)
+        return known
 
 
 def _ids_of(path: str) -> WordIds:

@@ -101,3 +101,19 @@ def test_pieces_round_trip_and_pack(spark, table):
             at += length
         assert at <= 4096
     assert pack(token_pieces(table([]), PATH)).count() == 0
+
+
+def test_new_words_are_encoded_together():
+    known = WordIds(PATH)
+    plain, calls = known.tokenizer, []
+
+    class Counting:
+        def encode(self, *args, **settings):
+            calls.append(args[0])
+            return plain.encode(*args, **settings)
+
+    known.tokenizer = Counting()
+    for text in (" ".join(f"wq{i}x{'.' * (i % 3)}" for i in range(200)), "É中. İa, ½ \x00 é. a\u00a0b ẞΣ. 😀😀, .. ,", "z" * 100 + ". y" * 70):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(known.ids(text.encode()), "<u4").tolist() == want
+    assert len(calls) < 40
