@@ -28,6 +28,9 @@ LEAST_DOCUMENTS = 4
 LEAST_Z = 6.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
 TOXIC_FROM = 0.7
+#: Counts of features that a task holds before it hands them on, and of one batch of them.
+GATHERED = 500_000
+HANDED_ON = 1 << 16
 
 _U = np.uint64
 _ENDS = np.zeros(256, bool)
@@ -62,19 +65,48 @@ def _distinct(group: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.nd
     return group[new], feature[new]
 
 
-def _document_counts(batches):
-    """Feature, toxic documents with it, documents with it: sums over one Arrow batch."""
+def _document_counts(batches, gathered: int = GATHERED):
+    """Feature, toxic documents with it, documents with it: sums over the documents of a task, as far as ``gathered`` rows hold them."""
+    held, size = [], 0
+
+    def merged() -> list[np.ndarray]:
+        keys, *sums = (np.concatenate(column) for column in zip(*held))
+        held.clear()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return [keys[new], *(np.add.reduceat(column[order], new) for column in sums)]
+
+    def rows(columns: list[np.ndarray]):
+        for at in range(0, len(columns[0]), HANDED_ON):
+            keys, toxic, n = (column[at:at + HANDED_ON] for column in columns)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array(n.astype(np.int64))],
+                ["feature", "toxic", "n"])
+
     for batch in batches:
         table, y = batch.column("text"), batch.column("y").to_numpy()
         at = 0
         for part in slices(table):
             found = Sentences(part)
             doc, feature = _distinct(found.words.doc[found.at], found.feature)
-            keys, inverse, n = np.unique(feature, return_inverse=True, return_counts=True)
-            toxic = np.bincount(inverse, weights=y[at:at + len(part)][doc], minlength=len(keys)).astype(np.int64)
+            order = np.argsort(feature, kind="stable")
+            feature, label = feature[order], y[at:at + len(part)][doc[order]]
             at += len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(n.astype(np.int64))], ["feature", "toxic", "n"])
+            if not len(feature):
+                continue
+            new = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]])
+            n = np.diff(np.r_[new, len(feature)]).astype(np.int32)
+            held.append([feature[new], np.add.reduceat(label, new, dtype=np.int32), n])
+            size += len(new)
+            if size > gathered:
+                held.append(merged())
+                size = len(held[0][0])
+                if size > gathered // 2:
+                    yield from rows(held.pop())
+                    size = 0
+    if held:
+        yield from rows(merged())
 
 
 @dataclass

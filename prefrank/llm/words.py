@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-BATCH_BYTES = 4 << 20
+#: Text handled at once: its arrays take some 80 bytes a byte of text, and a worker keeps the tables of powers.
+BATCH_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

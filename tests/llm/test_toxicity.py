@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from prefrank.llm.toxicity import fit_noisy_or, score_toxicity, train_toxicity
+from prefrank.llm.toxicity import _document_counts, fit_noisy_or, score_toxicity, train_toxicity
 from samples import prose
 
 
@@ -69,3 +71,25 @@ def test_the_fit_explains_bags():
             feature.append(0 if y[i] and k == 0 else 1 + rng.integers(5))
     w, b = fit_noisy_or(y, np.array(doc), np.array(sentence), np.array(feature), 6)
     assert w[0] + b > 2 and (w[1:] + b < -2).all()
+
+
+def test_a_task_sums_its_counts_in_bounded_memory():
+    texts = [prose(i % 40, 600) for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(1200)], pa.int32())], ["text", "y"])
+    few, = _document_counts(iter([batch.slice(0, 40)]))
+    tracemalloc.start()
+    whole, = _document_counts(iter([batch, batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 4 << 20 and peak < 160 << 20
+    for name in ("feature", "toxic", "n"):
+        times = 1 if name == "feature" else 60
+        assert whole.column(name).to_pylist() == [times * x for x in few.column(name).to_pylist()]
+    parts = list(_document_counts(iter([batch, batch]), gathered=1000))
+    assert len(parts) > 2
+    sums = {}
+    for part in parts:
+        for feature, toxic, n in zip(*(column.to_pylist() for column in part.columns)):
+            a, b = sums.get(feature, (0, 0))
+            sums[feature] = a + toxic, b + n
+    assert sums == {f: (a, b) for f, a, b in zip(*(column.to_pylist() for column in whole.columns))}
