@@ -114,6 +114,16 @@ def with_struct_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
     }).drop("_words")
 
 
+def _apart(function, *columns) -> Column:
+    """``function`` of columns, evaluated by itself.
+
+    In one generated method with all other steps, the loops over matches and words make that method too long for the
+    JVM to compile, and then every one of them is interpreted.
+    """
+    fields = F.struct(*[_col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    return F.transform(F.array(fields), lambda s: function(*[s[f"_{i}"] for i in range(len(columns))]))[0]
+
+
 def _with_pair_features(df: DataFrame, response_a: str, response_b: str, names: list[str]) -> DataFrame:
     """Add the nine pair features under ``names``.
 
@@ -122,9 +132,10 @@ def _with_pair_features(df: DataFrame, response_a: str, response_b: str, names:
     """
     a, b = F.col(response_a), F.col(response_b)
     df = df.withColumns({
-        "_wa": lower_words(a), "_wb": lower_words(b), "_sa": words_per_sentence(a), "_sb": words_per_sentence(b)})
-    df = df.withColumns({"_da": F.array_distinct("_wa"), "_db": F.array_distinct("_wb")})
-    df = df.withColumns({"_both": F.size(F.array_intersect("_da", "_db")), "_na": F.size("_da"), "_nb": F.size("_db"),
+        "_wa": _apart(lower_words, a), "_wb": _apart(lower_words, b),
+        "_sa": _apart(words_per_sentence, a), "_sb": _apart(words_per_sentence, b)})
+    df = df.withColumns({"_da": _apart(F.array_distinct, "_wa"), "_db": _apart(F.array_distinct, "_wb")})
+    df = df.withColumns({"_both": F.size(_apart(F.array_intersect, "_da", "_db")), "_na": F.size("_da"), "_nb": F.size("_db"),
                          "_ca": F.length(a), "_cb": F.length(b)})
     ratio = lambda n, words_: F.coalesce(F.try_divide(F.col(n), F.size(words_)), F.lit(0.0))
     features = [F.col("_ca"), F.col("_sa"), ratio("_na", "_wa"), F.col("_cb"), F.col("_sb"), ratio("_nb", "_wb"),

@@ -47,6 +47,16 @@ def test_every_feature_is_computed_once(spark):
     assert (plan.count("array_distinct("), plan.count("array_intersect("), plan.count("lower(")) == (2, 1, 2)
 
 
+def test_loops_over_words_are_evaluated_apart(spark):
+    df = spark.createDataFrame([("a b. c a", "b c", "MEI"), (None, "", "MEI")], "response_a string, response_b string, segment string")
+    found = features.with_pair_features(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(array(struct(") == 7  # words, words of a sentence and distinct words of two texts; the common words
+    first, second = found.collect()
+    assert [first[c] for c in features.PAIR_FEATURES] == [8, 2.0, 0.75, 3, 2.0, 1.0, 5 / 11, 0.25, 0.0]
+    assert second["a_chars"] is None and second["b_ttr"] == 0.0
+
+
 def test_known_values(column):
     assert column(features.type_token_ratio(features.lower_words("t")),
                   ["one two three four", "the the the the", ""]) == [1.0, 0.25, 0.0]
