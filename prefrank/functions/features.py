@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import SPACE, _col
-from prefrank.functions.text import words
+from prefrank.functions.text import with_rare_spaces, words
 
 # One match per word of a sentence, and one match per sentence that holds a word.
 SENTENCE_WORD = f"(?U)[^.{SPACE}]+"
+PLAIN_SENTENCE_WORD = r"[^. \t\n\x0b\f\r]+"
 SENTENCE = f"(?U)[^.{SPACE}][^.]*"
 
 #: Names of the nine features of two responses in vector order.
@@ -26,7 +27,8 @@ def words_per_sentence(text) -> Column:
     """Mean words per sentence; sentences end at '.', blank ones do not count."""
     text = _col(text)
     sentences = F.regexp_count(text, F.lit(SENTENCE))
-    count = F.regexp_count(text, F.lit(SENTENCE_WORD))
+    count = F.when(with_rare_spaces(text), F.regexp_count(text, F.lit(SENTENCE_WORD))).otherwise(
+        F.regexp_count(text, F.lit(PLAIN_SENTENCE_WORD)))
     return F.coalesce(F.try_divide(count, sentences), F.lit(0.0))
 
 
@@ -132,7 +134,7 @@ def _with_pair_features(df: DataFrame, response_a: str, response_b: str, names:
     """
     a, b = F.col(response_a), F.col(response_b)
     df = df.withColumns({
-        "_wa": _apart(lower_words, a), "_wb": _apart(lower_words, b),
+        "_wa": _apart(words, F.lower(a)), "_wb": _apart(words, F.lower(b)),
         "_sa": _apart(words_per_sentence, a), "_sb": _apart(words_per_sentence, b)})
     df = df.withColumns({"_da": _apart(F.array_distinct, "_wa"), "_db": _apart(F.array_distinct, "_wb")})
     df = df.withColumns({"_both": F.size(_apart(F.array_intersect, "_da", "_db")), "_na": F.size("_da"), "_nb": F.size("_db"),

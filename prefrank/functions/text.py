@@ -11,11 +11,23 @@ from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import SPACE, _col, strip
 
 WORD = f"(?U)[^{SPACE}]+"
+# Texts without any of these characters hold no other spaces than those of a plain "\s".
+RARE = r"[\x1c\x1d\x1e\x1f\x85\xa0\x{1680}-\x{3000}]"
+
+
+def with_rare_spaces(text) -> Column:
+    """Whether a text may hold other spaces than blanks, tabs and line ends; true for some texts without."""
+    return F.rlike(_col(text), F.lit(RARE))
 
 
 def words(text) -> Column:
-    """Whitespace-separated words."""
-    return F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0))
+    """Whitespace-separated words.
+
+    A cut at plain spaces takes half the time of matching words, so these are matched in texts with rare spaces only.
+    """
+    text = _col(text)
+    return F.when(with_rare_spaces(text), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).otherwise(
+        F.array_remove(F.split(text, r"\s+"), ""))
 
 
 def hash_word(word) -> Column:
