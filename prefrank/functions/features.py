@@ -9,9 +9,11 @@ from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import SPACE, _col
 from prefrank.functions.text import words
 
-# One match per word of a sentence, and one match per sentence that holds a word.
-SENTENCE_WORD = f"(?U)[^.{SPACE}]+"
-SENTENCE = f"(?U)[^.{SPACE}][^.]*"
+# One match per sentence that holds a word. Most characters are found in the first range of a class.
+SENTENCE = f"(?U)[/-~[^.{SPACE}]][^.]*"
+# Words of a sentence that follow a full stop without a space, and full stops that begin a word of the text.
+AFTER_STOP = f"(?U)\\.[/-~[^.{SPACE}]]"
+STOP_FIRST = f"(?U)\\.(?<![^{SPACE}]\\.)"
 
 #: Names of the nine features of two responses in vector order.
 PAIR_FEATURES = ["a_chars", "a_sentence_words", "a_ttr", "b_chars", "b_sentence_words", "b_ttr", "len_delta", "jaccard",
@@ -22,11 +24,16 @@ def lower_words(text) -> Column:
     return words(F.lower(_col(text)))
 
 
-def words_per_sentence(text) -> Column:
-    """Mean words per sentence; sentences end at '.', blank ones do not count."""
+def words_per_sentence(text, word_count=None) -> Column:
+    """Mean words per sentence; sentences end at '.', blank ones do not count.
+
+    A word of a sentence follows a space, as a word of the text that does not begin with '.', or it follows a '.'. So
+    no word is taken out of the text again if ``word_count``, the number of words of the text, is known.
+    """
     text = _col(text)
+    word_count = F.size(words(text)) if word_count is None else _col(word_count)
     sentences = F.regexp_count(text, F.lit(SENTENCE))
-    count = F.regexp_count(text, F.lit(SENTENCE_WORD))
+    count = word_count - F.regexp_count(text, F.lit(STOP_FIRST)) + F.regexp_count(text, F.lit(AFTER_STOP))
     return F.coalesce(F.try_divide(count, sentences), F.lit(0.0))
 
 
@@ -109,7 +116,7 @@ def with_struct_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
     df = df.withColumn("_words", lower_words(text))
     return df.withColumns({
         f"{prefix}_chars": F.length(text),
-        f"{prefix}_sentence_words": words_per_sentence(text),
+        f"{prefix}_sentence_words": words_per_sentence(text, F.size("_words")),
         f"{prefix}_ttr": type_token_ratio("_words"),
     }).drop("_words")
 
@@ -131,10 +138,10 @@ def _with_pair_features(df: DataFrame, response_a: str, response_b: str, names:
     used twice in one would be evaluated twice.
     """
     a, b = F.col(response_a), F.col(response_b)
+    df = df.withColumns({"_wa": _apart(lower_words, a), "_wb": _apart(lower_words, b)})
     df = df.withColumns({
-        "_wa": _apart(lower_words, a), "_wb": _apart(lower_words, b),
-        "_sa": _apart(words_per_sentence, a), "_sb": _apart(words_per_sentence, b)})
-    df = df.withColumns({"_da": _apart(F.array_distinct, "_wa"), "_db": _apart(F.array_distinct, "_wb")})
+        "_da": _apart(F.array_distinct, "_wa"), "_db": _apart(F.array_distinct, "_wb"),
+        "_sa": _apart(words_per_sentence, a, F.size("_wa")), "_sb": _apart(words_per_sentence, b, F.size("_wb"))})
     df = df.withColumns({"_both": F.size(_apart(F.array_intersect, "_da", "_db")), "_na": F.size("_da"), "_nb": F.size("_db"),
                          "_ca": F.length(a), "_cb": F.length(b)})
     ratio = lambda n, words_: F.coalesce(F.try_divide(F.col(n), F.size(words_)), F.lit(0.0))

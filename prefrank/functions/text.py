@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from prefrank import fixed_values as fixed
 from prefrank.functions.privacy import SPACE, _col, strip
 
-WORD = f"(?U)[^{SPACE}]+"
+# Most characters are found in the first range; the class has all but spaces.
+WORD = f"(?U)[!-~[^{SPACE}]]+"
 
 
 def words(text) -> Column:

@@ -57,6 +57,23 @@ def test_loops_over_words_are_evaluated_apart(spark):
     assert second["a_chars"] is None and second["b_ttr"] == 0.0
 
 
+def test_words_are_taken_out_of_a_text_once(spark):
+    df = spark.createDataFrame([("a b", "b c", "MEI")], "response_a string, response_b string, segment string")
+    for found, texts in ((features.with_pair_features(df), 2), (features.with_struct_features(df, "response_a", "x"), 1)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(f"{text.WORD}, 0)") == plan.count("]+, 0)") == texts
+
+
+def test_words_of_sentences_at_every_space_and_stop(column):
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    marks = [*spaces, ".", "/", "-", "!", "~", "\x7f", "\x00", "\u200b", "\u0130", "é", "語", "\U0001f600", "\U0001d400"]
+    values = [f"{a}.{b}x" for a in marks for b in marks] + [f"x{a}{b}." for a in marks for b in marks] + [
+        "...", ". . .", ".a", "a.", "..a..b..", "a .b", "a. b", "a.b.c d", ".\U0001f600.\U0001f600", "\U0001f600.", " .", ""]
+    assert column(features.words_per_sentence("t"), values) == [sentence_mean(v) for v in values]
+    assert column(features.words_per_sentence("t", F.size(features.lower_words("t"))), values) == [sentence_mean(v) for v in values]
+    assert column(text.words("t"), values) == [v.split() for v in values]
+
+
 def test_known_values(column):
     assert column(features.type_token_ratio(features.lower_words("t")),
                   ["one two three four", "the the the the", ""]) == [1.0, 0.25, 0.0]
