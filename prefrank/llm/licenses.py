@@ -167,11 +167,11 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     even = F.regexp_replace(text, r"[^\S\n]++", " ")
     # A sentence that follows a line break may begin with the break's capital: the break is not part of it.
-    parts = F.split(even, SENTENCE_END)
-    # A look-up compares with the whole table: the empty parts between many line breaks are spared it.
+    parts = F.transform(F.split(even, SENTENCE_END), normalised)
+    # A look-up compares with the whole table: parts without a word, as between many line breaks, are spared it.
     if "" not in sentences:
         parts = F.array_remove(parts, "")
-    found = F.array_compact(F.transform(parts, lambda s: F.try_element_at(known, normalised(s))))
+    found = F.array_compact(F.transform(parts, lambda s: F.try_element_at(known, s)))
     if sentences is not SENTENCES:
         return found
     return F.when(F.lower(text).rlike(HINTS), found).otherwise(F.array().cast("array<string>"))

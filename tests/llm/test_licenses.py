@@ -112,6 +112,11 @@ def test_very_long_texts_take_time_in_proportion(spark):
         assert spent < 8 and row.licenses == []
 
 
+def test_parts_without_a_word_are_not_looked_up(spark):
+    plan = scan_licenses(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().analyzed().toString()
+    assert "array_remove(transform(split(" in plan
+
+
 def test_other_tables(spark):
     docs = spark.createDataFrame([(1, "Do as you like.\nThen pay up; or else."), (2, "Do as you like. Never mind. Then pay up."),
                                   (3, "Then pay up. Do as you like."), (4, None), (4, None)], "doc_id int, text string")
